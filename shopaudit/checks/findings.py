@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from ..functions import scalars, urls
 from ..functions.text import escape_html, excerpt, has_term, lower_first, match_form, primary_language
 from ..operators import classify
-from ..session import first_by, stored
+from ..session import built_once, derive, first_by, stored
 from ..vocab import copy, rules
 from .signals import evidence_item, page_signals
 
@@ -67,16 +67,26 @@ def link_evidence(documents: DataFrame) -> DataFrame:
              .select("site", "position", F.col("final_url").alias("url"), F.posexplode("links").alias("item", "link"))
              .select("site", "position", "url", "item", "link.text", "link.abs"))
     first = first_by(links, ["site", "abs"], [F.col("position"), F.col("item")])
+    staged = derive(first, **_link_forms())
+    return staged.select("site", "position", "url", F.explode(_link_items()).alias("e")).select("site", "position", "url", "e.*")
+
+
+@built_once
+def _link_forms() -> dict[str, Column]:
+    return {"form": match_form(F.col("text")), "words": match_form(urls.path_words(F.col("abs"))),
+            "document": urls.is_document(F.col("abs"))}
+
+
+@built_once
+def _link_items() -> Column:
     path = F.coalesce(urls.path_of(F.col("abs")), "abs")
-    staged = first.withColumns({"form": match_form(F.col("text")), "words": match_form(urls.path_words(F.col("abs"))),
-                                "document": urls.is_document(F.col("abs"))})
     form, words = F.col("form"), F.col("words")
     action = has_term(form, rules.WITHDRAWAL_ACTION)
     open_link = ~F.col("document") & ~F.lower("abs").startswith("mailto:")
     label = F.when(F.col("text") != "", F.col("text"))
     item = F.col("item")
     nothing = F.lit(None).cast("struct<grp:string,part:int,item:int,quote:string,key:string>")
-    found = F.array_compact(F.array(
+    return F.array_compact(F.array(
         F.when(open_link & action, evidence_item("function", 0, item, F.col("text")))
         .when(open_link & has_term(words, rules.WITHDRAWAL_ACTION_SLUGS), evidence_item(
             "function", 0, item, F.trim(F.concat("text", F.lit(" ("), path, F.lit(")"))))).otherwise(nothing),
@@ -84,7 +94,6 @@ def link_evidence(documents: DataFrame) -> DataFrame:
                evidence_item("route", 0, item, F.coalesce(label, path))),
         F.when(F.col("document") & (has_term(form, rules.WITHDRAWAL_LINK) | has_term(words, rules.WITHDRAWAL_LINK)),
                evidence_item("pdf", 0, item, F.coalesce(label, "abs")))))
-    return staged.select("site", "position", "url", F.explode(found).alias("e")).select("site", "position", "url", "e.*")
 
 
 def evidence_lists(documents: DataFrame, signals: DataFrame) -> DataFrame:
@@ -473,6 +482,11 @@ class Rules:
         ], F.struct(names.alias("signals")), _fix("eu_targeting"))
 
 
+@built_once
+def verdict_rows(reviewed: bool) -> Column:
+    return Rules(reviewed).all()
+
+
 def audit(documents: DataFrame, now: str, verdicts: DataFrame | None = None, failed: DataFrame | None = None,
           keep: bool = True, **vocabularies) -> Audit:
     """Run the nine checks over all sites. ``keep`` stores the page signals once, as three steps read them."""
@@ -489,7 +503,7 @@ def audit(documents: DataFrame, now: str, verdicts: DataFrame | None = None, fai
             .join(counts, "site", "left")
             .join(listed(rows), "site", "left"))
     zero = {n: F.coalesce(n, F.lit(0).cast("long")) for n in ("policy_pages", "accessible_pages", "imprint_pages", "legal_pages")}
-    found = wide.withColumns(zero).select("site", "lists", F.posexplode(Rules(verdicts is not None).all()).alias("position", "f"))
+    found = wide.withColumns(zero).select("site", "lists", F.posexplode(verdict_rows(verdicts is not None)).alias("position", "f"))
     details = found.select("site", "position", "f.*", "lists")
     total = F.when(F.col("grp") != "", F.coalesce(F.element_at("lists", F.col("grp"))["total"], F.lit(0)))
     long_list = F.coalesce(total > INLINE, F.lit(False))

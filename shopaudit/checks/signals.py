@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..functions.text import excerpt, has_term, match_form, primary_language, sentence_forms
-from ..session import let
+from ..session import built_once, let
 from ..vocab import rules
 
 
@@ -142,22 +142,39 @@ def page_signals(documents: DataFrame, environmental: dict | None = None, offset
                  neutrality: list | None = None, self_label: list | None = None) -> DataFrame:
     """Signals of every successfully fetched page."""
     ok = documents.filter(F.col("status_code").between(200, 299))
-    staged = (ok.withColumn("s", sentence_forms(F.col("text")))
-              .withColumn("f", F.array_join(F.col("s.form"), "\n"))
-              .withColumn("chat", vendor_scripts(F.col("scripts"), rules.CHAT_VENDORS))
-              .withColumn("cmp", vendor_scripts(F.col("scripts"), rules.CONSENT_VENDORS))
-              .withColumn("b", F.transform("buttons", lambda b: F.struct(b.alias("text"), match_form(b).alias("form")))))
+    staged = ok.withColumns(_sentence_columns()).withColumns(_vendor_columns())
+    return staged.withColumn("stated", _stated()).select(*_signal_columns(
+        environmental or rules.ENVIRONMENTAL, offset or rules.OFFSET, neutrality or rules.NEUTRALITY, self_label or rules.SELF_LABEL))
+
+
+@built_once
+def _sentence_columns() -> dict[str, Column]:
+    return {"s": sentence_forms(F.col("text"))}
+
+
+@built_once
+def _vendor_columns() -> dict[str, Column]:
+    return {"f": F.array_join(F.col("s.form"), "\n"), "chat": vendor_scripts(F.col("scripts"), rules.CHAT_VENDORS),
+            "cmp": vendor_scripts(F.col("scripts"), rules.CONSENT_VENDORS),
+            "b": F.transform("buttons", lambda b: F.struct(b.alias("text"), match_form(b).alias("form")))}
+
+
+@built_once
+def _stated() -> Column:
+    return F.when(F.col("f").rlike(PERIOD_HINT), F.filter(F.transform("s", lambda x: F.struct(
+        x["text"].alias("text"), periods_in_days(x["form"]).alias("days"))), lambda x: F.size(x["days"]) > 0))
+
+
+@built_once
+def _signal_columns(environmental: dict, offset: list, neutrality: list, self_label: list) -> list[Column]:
     s, f, t = F.col("s"), F.col("f"), F.col("text")
     d = {n: F.col(n) for n in ("lang", "headings", "images", "links", "forms")}
-    periods = F.when(f.rlike(PERIOD_HINT), F.filter(F.transform(s, lambda x: F.struct(
-        x["text"].alias("text"), periods_in_days(x["form"]).alias("days"))), lambda x: F.size(x["days"]) > 0))
     reject = lambda b: has_term(b["form"], rules.REJECT)
     accept = lambda b: ~reject(b) & has_term(b["form"], rules.ACCEPT)
     heading_hit = F.exists(d["headings"], lambda h: (h["level"] > 1) & has_term(match_form(h["text"]), rules.WITHDRAWAL_HEADING))
     fields = F.flatten(d["forms"]["inputs"])
     count = lambda items, test: F.size(F.filter(items, test))
     h1 = F.filter(d["headings"], lambda h: h["level"] == 1)
-    pages = staged.withColumn("stated", periods)
     longest = let(F.array_max(F.transform("stated", lambda x: F.array_max(x["days"]))), lambda top: F.get(F.filter(
         "stated", lambda x: F.array_max(x["days"]) == top), 0))
     items = F.concat(
@@ -172,8 +189,8 @@ def page_signals(documents: DataFrame, environmental: dict | None = None, offset
         F.transform("chat", lambda c, i: evidence_item(
             "widget", 0, i, F.concat(c["name"], F.lit(" chat: "), c["url"]), c["url"])),
         sample_items(d))
-    return pages.select(
-        "site", "page_id", "position", F.col("final_url").alias("url"), "kind", "title", "js_shell",
+    return [
+        F.col("site"), F.col("page_id"), F.col("position"), F.col("final_url").alias("url"), *[F.col(n) for n in ("kind", "title", "js_shell")],
         primary_language(F.col("lang")).alias("language"),
         F.coalesce(F.nullif(F.get(h1, 0)["text"], F.lit("")), "title").alias("headline"),
         heading_hit.alias("withdrawal_heading"),
@@ -210,8 +227,7 @@ def page_signals(documents: DataFrame, environmental: dict | None = None, offset
         count(fields, lambda x: ~x["labelled"]).alias("unlabelled_inputs"),
         count(d["links"], lambda x: F.trim(x["text"]) == "").alias("empty_links"),
         items.alias("items"),
-        claim_sentences(F.col("lang"), s, f, environmental or rules.ENVIRONMENTAL, offset or rules.OFFSET,
-                        neutrality or rules.NEUTRALITY, self_label or rules.SELF_LABEL).alias("claims"))
+        claim_sentences(F.col("lang"), s, f, environmental, offset, neutrality, self_label).alias("claims")]
 
 
 def claim_sentences(lang: Column, s: Column, f: Column, environmental: dict, offset: list, neutrality: list,

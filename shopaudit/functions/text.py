@@ -82,14 +82,9 @@ def trim_all(text: Column) -> Column:
     return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
-_MAPS: dict[int, Column] = {}
-
-
 def _char_map(pairs: dict[str, str]) -> Column:
-    """A constant map column, built once: its many literals are costly to create from Python."""
-    if id(pairs) not in _MAPS:
-        _MAPS[id(pairs)] = F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
-    return _MAPS[id(pairs)]
+    """A constant map in three nodes; one literal per entry would make the plan many times larger."""
+    return F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in pairs.items())), F.lit("\x01"), F.lit("\x02"))
 
 
 def term_form(term: str, keep_case: bool = False) -> str:

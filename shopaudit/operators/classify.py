@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..functions.text import has_term, match_form
-from ..session import let
+from ..session import built_once, derive, let
 from ..vocab import crawl as vocab
 
 
@@ -37,6 +37,11 @@ def link_target(text: Column, url: Column) -> Column:
     return let(F.struct(match_form(text).alias("t"), match_form(urls.path_words(url)).alias("p")), decide)
 
 
+@built_once
+def target_of(text: str, url: str) -> Column:
+    return link_target(F.col(text), F.col(url))
+
+
 def legal_categories(url: Column, title: Column, headings: Column) -> Column:
     """Legal categories of a page by its path, title or h1, in the fixed order."""
     titles = F.filter(F.concat(F.array(title), F.filter(headings, lambda h: h["level"] == 1)["text"]), lambda t: t != "")
@@ -52,24 +57,30 @@ def legal_categories(url: Column, title: Column, headings: Column) -> Column:
 def linked_categories(documents: DataFrame) -> DataFrame:
     """(site, url, categories): what the links of a site call each page. At most six categories per address."""
     links = documents.select("site", F.explode("links").alias("link")).select("site", "link.text", "link.abs").distinct()
-    target = (links.withColumn("target", link_target(F.col("text"), F.col("abs")))
-              .filter(F.col("target.kind") == "legal")
-              .select("site", urls.normalise(F.col("abs")).alias("target_url"), "target.category")
-              .filter(F.col("target_url").isNotNull()))
+    legal = derive(links, target=target_of("text", "abs")).filter(F.col("target.kind") == "legal")
+    target = (derive(legal, target_url=urls.normalise(F.col("abs")))
+              .select("site", "target_url", "target.category").filter(F.col("target_url").isNotNull()))
     return target.groupBy("site", "target_url").agg(F.collect_set("category").alias("linked"))
 
 
+@built_once
+def _page_addresses() -> dict[str, Column]:
+    title, headings = F.col("title"), F.col("headings")
+    return {"own": F.array_distinct(F.concat(legal_categories(F.col("url"), title, headings),
+                                             legal_categories(F.col("final_url"), title, headings))),
+            "addresses": F.array_distinct(F.array(F.coalesce(urls.normalise(F.col("url")), F.col("url")),
+                                                  F.coalesce(urls.normalise(F.col("final_url")), F.col("final_url"))))}
+
+
 def page_categories(documents: DataFrame) -> DataFrame:
     """(site, page_id, categories): a page's own legal signals and those of links that point at it.
 
     Only keys, titles and headings take part in the join; page text stays where it is.
     """
-    own = documents.select(
-        "site", "page_id",
-        F.array_distinct(F.concat(legal_categories(F.col("url"), F.col("title"), F.col("headings")),
-                                  legal_categories(F.col("final_url"), F.col("title"), F.col("headings")))).alias("own"),
-        F.array_distinct(F.array(F.coalesce(urls.normalise(F.col("url")), "url"),
-                                 F.coalesce(urls.normalise(F.col("final_url")), "final_url"))).alias("addresses"))
+    own = derive(
+        documents.select("site", "page_id", "url", "final_url", "title", "headings"),
+        **_page_addresses()
+    ).select("site", "page_id", "own", "addresses")
     named = (own.select("site", "page_id", F.explode("addresses").alias("target_url"))
              .join(linked_categories(documents), ["site", "target_url"])
              .groupBy("site", "page_id").agg(F.array_distinct(F.flatten(F.collect_list("linked"))).alias("linked")))

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import urls
-from ..session import first_by
+from ..session import built_once, derive, first_by, let, stored
 from ..vocab.crawl import LEGAL_CATEGORIES
-from .classify import link_target
+from .classify import target_of
 
 # Pages per site, and how many links of each kind are followed.
 MAX_PAGES = 12
@@ -23,16 +23,27 @@ def _by_slot(slot: Column, values: dict[str, int]) -> Column:
     return reduce(lambda acc, kv: acc.when(slot == kv[0], kv[1]), values.items(), F.when(F.lit(False), 0))
 
 
+@built_once
+def _parsed(column: str) -> Column:
+    return urls.parse(F.col(column))
+
+
+@built_once
+def _address(column: str) -> Column:
+    return F.coalesce(urls.normalise(F.col(column)), F.col(column))
+
+
 def offers(documents: DataFrame, seen: DataFrame) -> DataFrame:
     """Links a site could follow: (site, slot, url, o1, o2) with the first place of each.
 
     ``documents`` are the pages whose links count; ``seen`` (site, url) are addresses already known.
     """
     links = (documents.select("site", "position", F.posexplode("links").alias("item", "link"))
-             .select("site", "position", "item", "link.text", urls.parse(F.col("link.abs")).alias("p")))
-    same = links.filter(F.col("p").isNotNull() & (urls.site_key(F.col("p")) == F.col("site"))
-                        & ~urls.is_asset(F.regexp_replace("p.path", "/+$", "")))
-    target = same.withColumn("url", urls.normalised(F.col("p"))).withColumn("t", link_target(F.col("text"), F.col("url")))
+             .select("site", "position", "item", "link.text", "link.abs"))
+    same = derive(links, p=_parsed("abs")).filter(
+        F.col("p").isNotNull() & (urls.site_key(F.col("p")) == F.col("site"))
+        & ~urls.is_asset(F.regexp_replace("p.path", "/+$", "")))
+    target = derive(derive(same, url=urls.normalised(F.col("p"))), t=target_of("text", "url"))
     slotted = target.filter(F.col("t.kind").isNotNull()).select(
         "site", F.coalesce("t.category", "t.kind").alias("slot"), "url",
         F.col("position").cast("long").alias("o1"), F.col("item").cast("long").alias("o2"))
@@ -82,10 +93,10 @@ def allowed(candidates: DataFrame, robots: DataFrame | None) -> DataFrame:
     """
     if robots is None:
         return candidates.withColumn("allowed", F.lit(True))
-    target = F.concat(urls.parse(F.col("url"))["path"], urls.parse(F.col("url"))["query"])
-    hits = (candidates.select("site", "url", target.alias("target")).distinct()
+    target = let(urls.parse(F.col("url")), lambda p: F.concat(p["path"], p["query"]))
+    hits = (derive(candidates.select("site", "url").distinct(), target=target)
             .join(robots.select("site", "allow", "pattern"), "site")
-            .filter((F.col("pattern") != "") & F.col("target").rlike(robots_pattern(F.col("pattern"))))
+            .filter((F.col("pattern") != "") & F.rlike(F.col("target"), robots_pattern(F.col("pattern"))))
             .groupBy("site", "url").agg(F.max_by("allow", F.struct(F.length("pattern"), F.col("allow"))).alias("rule")))
     return candidates.join(hits, ["site", "url"], "left").withColumn("allowed", F.coalesce("rule", F.lit(True))).drop("rule")
 
@@ -103,13 +114,14 @@ def crawl_plan(seeds: DataFrame, documents: DataFrame, robots: DataFrame | None
 
     ``seeds``: (site, url) start addresses; ``documents``: all analysed pages, found by their normalised address.
     """
-    known = documents.withColumn("address", F.coalesce(urls.normalise(F.col("url")), "url"))
-    home = seeds.select("site", F.col("url").alias("address")).join(known, ["site", "address"], "left_semi")
+    known = derive(documents.select("site", "position", "url", "final_url", "status_code", "links"),
+                   address=_address("url"))
     home_docs = known.join(seeds.select("site", F.col("url").alias("address")), ["site", "address"], "left_semi")
-    seen = seeds.select("site", "url").unionByName(home_docs.select(
-        "site", F.coalesce(urls.normalise(F.col("final_url")), "final_url").alias("url")))
-    first = _within(allowed(fill_slots(offers(home_docs.withColumn("position", F.lit(0)), seen)), robots),
-                    F.lit(max_pages - 1))
+    seen = seeds.select("site", "url").unionByName(derive(
+        home_docs.select("site", "final_url"), url=_address("final_url")).select("site", "url"))
+    # Round one feeds round two in several places, so it is kept.
+    first = stored(_within(allowed(fill_slots(offers(home_docs.withColumn("position", F.lit(0)), seen)), robots),
+                    F.lit(max_pages - 1)), "round_one")
     fetched = first.filter(F.col("state") == "fetch").select("site", F.col("url").alias("address"), "rank")
     sources = (known.join(fetched, ["site", "address"]).filter(F.col("status_code").between(200, 299))
                .withColumn("position", F.col("rank")).drop("rank"))
@@ -133,7 +145,7 @@ def planned_documents(plan: DataFrame, documents: DataFrame) -> DataFrame:
     wanted = plan.filter(F.col("state") == "fetch").select(
         "site", F.col("url").alias("address"), "slot", F.col("kind").alias("slot_kind"),
         (F.row_number().over(order) - 1).cast("long").alias("order"))
-    known = documents.withColumn("address", F.coalesce(urls.normalise(F.col("url")), "url"))
+    known = derive(documents, address=_address("url"))
     kind = F.when(F.col("slot") == "home", "home").when(F.col("kind") == "other", F.col("slot_kind")).otherwise(F.col("kind"))
     return (known.join(wanted, ["site", "address"]).withColumn("kind", kind).withColumn("position", F.col("order"))
             .select(*documents.columns))

@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars, text, urls
 from ..functions.text import SPACE, collapse, decode_references, has_term, match_form, trim_all
-from ..session import let
+from ..session import built_once, let
 from ..vocab import crawl as vocab
-from . import classify
 
 # Limits of the extraction.
 HTML_CHARS = 3_000_000
@@ -33,7 +32,8 @@ ROOT_IDS = ["root", "app", "__next", "__nuxt", "svelte"]
 SKIPPED_INPUTS = ["hidden", "submit", "button", "reset", "image"]
 INLINE_URL = r"""https?://[^\s"'`<>()\\]+"""
 
-STRINGS = "array<string>"
+FORMS = "array<struct<action:string,inputs:array<struct<type:string,name:string,id:string,labelled:boolean>>>>"
+IMAGES = "array<struct<alt:string,src:string>>"
 
 
 def _open(names: str) -> str:
@@ -53,20 +53,22 @@ def inner_of(element: Column) -> Column:
     return F.regexp_replace(element, rf"(?is)^<[a-z][^\s/>]*+{ATTRIBUTES}>|</[a-z][a-z0-9]*\s*+>\z", "")
 
 
-_VALUE = r"""(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+))?+"""
+_ATTRIBUTE = r"""[^\s"'>/=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+))?+"""
 
 
-def _attribute_start(name: str) -> str:
-    return rf"(?is)^<[a-z][^\s/>]*+(?:[\s/]++(?!{name}[\s=/>])[^\s=/>\"']++{_VALUE})*+[\s/]++{name}(?=[\s=/>])"
+def attributes(tag: Column) -> Column:
+    """Names and decoded, trimmed values of a tag's attributes, in order: ``struct<names,values>``."""
+    body = F.regexp_replace(tag, r"(?is)^<[a-z][^\s/>]*+|/?>\z", "")
+    items = F.regexp_extract_all(body, F.lit(_ATTRIBUTE), F.lit(0))
+    bare = lambda i: F.regexp_replace(i, r"""(?s)^[^=\s]*+\s*+=?\s*+(?:"(.*)"|'(.*)'|(.*))\z""", "$1$2$3")
+    return let(items, lambda xs: F.struct(
+        F.transform(xs, lambda i: F.lower(F.regexp_extract(i, r"^[^=\s]+", 0))).alias("names"),
+        F.transform(xs, lambda i: trim_all(decode_references(bare(i), attribute=True))).alias("values")))
 
 
 def attribute(tag: Column, name: str) -> Column:
-    """Decoded, trimmed value of the first attribute of that name; NULL when the attribute is missing."""
-    start = _attribute_start(name)
-    quoted = F.regexp_extract(tag, start + r"""\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)""", 1)
-    bare = let(quoted, lambda q: F.when(q.rlike("^[\"']"), F.substring(q, F.lit(2), F.length(q) - 2)).otherwise(q))
-    return F.when(tag.rlike(start), let(bare, lambda b: F.when(b == "", b).otherwise(
-        trim_all(decode_references(b, attribute=True)))))
+    """Value of the first attribute of that name of a parsed tag; NULL when the attribute is missing."""
+    return F.get(tag["values"], (F.array_position(tag["names"], name) - 1).cast("int"))
 
 
 def value(tag: Column, name: str) -> Column:
@@ -77,16 +79,21 @@ def visible_text(html: Column) -> Column:
     return collapse(decode_references(F.regexp_replace(html, rf"(?is){_open('/?[a-z][a-z0-9:-]*+')}|</[a-z][^>]*+>", "")))
 
 
-def accessible_name(element: Column) -> Column:
-    """aria-label, else visible text, else the alt texts of images, else value, else title."""
-    def name(e: Column) -> Column:
-        tag, inner = e["tag"], e["inner"]
-        alts = F.array_join(F.filter(F.transform(F.regexp_extract_all(inner, F.lit(f"(?is){_open('img')}"), F.lit(0)),
-                                                 lambda i: value(i, "alt")), lambda a: a != ""), " ")
-        some = lambda c: F.nullif(c, F.lit(""))
-        return F.coalesce(some(value(tag, "aria-label")), some(visible_text(inner)), some(alts),
-                          some(value(tag, "value")), value(tag, "title"))
-    return let(F.struct(tag_of(element).alias("tag"), inner_of(element).alias("inner")), name)
+def accessible_name(e: Column) -> Column:
+    """aria-label, else visible text, else the alt texts of images, else value, else title of ``struct<tag,inner>``."""
+    tag, inner = e["tag"], e["inner"]
+    alts = F.array_join(F.filter(F.transform(F.regexp_extract_all(inner, F.lit(f"(?is){_open('img')}"), F.lit(0)),
+                                             lambda i: value(attributes(i), "alt")), lambda a: a != ""), " ")
+    some = lambda c: F.nullif(c, F.lit(""))
+    return F.coalesce(some(value(tag, "aria-label")), some(visible_text(inner)), some(alts),
+                      some(value(tag, "value")), value(tag, "title"))
+
+
+def elements(found: Column) -> Column:
+    """Elements as ``struct<tag,inner,name>``: parsed attributes, content and the element's name."""
+    return F.transform(found, lambda e: F.struct(
+        attributes(tag_of(e)).alias("tag"), inner_of(e).alias("inner"),
+        F.lower(F.regexp_extract(e, "^<([a-zA-Z][a-zA-Z0-9]*)", 1)).alias("name")))
 
 
 def _all(html: Column, pattern: str) -> Column:
@@ -106,7 +113,7 @@ def title_of(markup: Column) -> Column:
 
 
 def language_of(markup: Column) -> Column:
-    return F.nullif(value(F.regexp_extract(markup, f"(?is){_open('html')}", 0), "lang"), F.lit(""))
+    return F.nullif(value(attributes(F.regexp_extract(markup, f"(?is){_open('html')}", 0)), "lang"), F.lit(""))
 
 
 def headings_of(markup: Column) -> Column:
@@ -117,18 +124,18 @@ def headings_of(markup: Column) -> Column:
 
 def links_of(markup: Column, base: Column) -> Column:
     """``a[href]`` and ``area[href]`` in order: accessible name, href as written, absolute address."""
-    found = F.filter(_all(markup, rf"{_open('area')}|{_element('a')}"), lambda e: attribute(tag_of(e), "href").isNotNull())
+    found = F.filter(elements(_all(markup, rf"{_open('area')}|{_element('a')}")), lambda e: attribute(e["tag"], "href").isNotNull())
     named = F.transform(found, lambda e: F.struct(
-        accessible_name(e).alias("text"), value(tag_of(e), "href").alias("href")))
+        accessible_name(e).alias("text"), value(e["tag"], "href").alias("href")))
     return F.transform(named, lambda n: F.struct(n["text"], n["href"], urls.resolve(n["href"], base).alias("abs")))
 
 
 def buttons_of(markup: Column) -> Column:
     role = r"""<([a-z][a-z0-9]*+)(?=[\s/])(?=[^>]*\srole\s*=\s*["']?button["'\s/>])"""
     found = _all(markup, rf"{_element('button')}|{_open('input')}|{role}{ATTRIBUTES}>.*?(?:</\1\s*+>|\z)")
-    plain = F.filter(found, lambda e: ~e.rlike(r"(?i)^<input[\s/>]")
-                     | F.lower(value(tag_of(e), "type")).isin("submit", "button", "reset")
-                     | (value(tag_of(e), "role") == "button"))
+    plain = F.filter(elements(found), lambda e: (e["name"] != "input")
+                     | F.lower(value(e["tag"], "type")).isin("submit", "button", "reset")
+                     | (value(e["tag"], "role") == "button"))
     return F.filter(F.transform(plain, accessible_name), lambda n: n != "")
 
 
@@ -141,18 +148,18 @@ def _fields(html: Column, label_targets: Column) -> Column:
     """Form fields in order with the test whether a label, aria attribute or title names them."""
     groups = _all(html, rf"{LABEL}|{FIELD}")
     tags = F.flatten(F.transform(groups, lambda g: F.transform(
-        _all(g, FIELD), lambda t: F.struct(t.alias("tag"), g.rlike(r"(?i)^<label").alias("inside")))))
+        _all(g, FIELD), lambda t: F.struct(t.alias("open"), attributes(t).alias("tag"), g.rlike(r"(?i)^<label").alias("inside")))))
 
     def describe(item: Column) -> Column:
         tag = item["tag"]
-        kind = F.lower(F.regexp_extract(tag, "(?i)^<([a-z]+)", 1))
-        field_id = value(tag, "id")
+        kind = F.lower(F.regexp_extract(item["open"], "(?i)^<([a-z]+)", 1))
+        fid = value(tag, "id")
         own = (value(tag, "aria-label") != "") | (value(tag, "aria-labelledby") != "") | (value(tag, "title") != "")
-        return let(field_id, lambda fid: F.struct(
+        return F.struct(
             F.when(kind == "input", F.coalesce(F.nullif(F.lower(value(tag, "type")), F.lit("")), F.lit("text")))
             .otherwise(kind).alias("type"),
             value(tag, "name").alias("name"), fid.alias("id"),
-            (own | item["inside"] | ((fid != "") & F.array_contains(label_targets, fid))).alias("labelled")))
+            (own | item["inside"] | ((fid != "") & F.array_contains(label_targets, fid))).alias("labelled"))
     return F.filter(F.transform(tags, describe), lambda f: ~f["type"].isin(*SKIPPED_INPUTS))
 
 
@@ -160,21 +167,22 @@ def forms_of(markup: Column, base: Column) -> Column:
     """Forms with their fields; fields outside any form follow as one more form without action."""
     def build(targets: Column) -> Column:
         forms = F.transform(_all(markup, FORM), lambda f: F.struct(
-            let(value(tag_of(f), "action"), lambda a: F.when(a == "", a).otherwise(urls.resolve(a, base))).alias("action"),
+            let(value(attributes(tag_of(f)), "action"), lambda a: F.when(a == "", a).otherwise(urls.resolve(a, base))).alias("action"),
             _fields(f, targets).alias("inputs")))
         stray = _fields(F.regexp_replace(markup, f"(?is){FORM}", " "), targets)
         rest = let(stray, lambda s: F.filter(F.array(F.struct(F.lit("").alias("action"), s.alias("inputs"))),
                                              lambda f: F.size(f["inputs"]) > 0))
         return F.concat(forms, rest)
-    return let(F.transform(_all(markup, _open("label")), lambda t: value(t, "for")), build)
+    forms = let(F.transform(_all(markup, _open("label")), lambda t: value(attributes(t), "for")), build)
+    # Most pages have no fields at all.
+    return F.when(markup.rlike("(?i)<(?:form|input|select|textarea)"), forms).otherwise(F.array().cast(FORMS))
 
 
 def script_parts(opaque: Column) -> Column:
     """Script elements as ``struct<type,src,code>``."""
     scripts = F.filter(opaque, lambda p: p.rlike(r"(?i)^<script[\s/>]"))
-    return F.transform(scripts, lambda s: F.struct(
-        F.lower(value(tag_of(s), "type")).alias("type"), value(tag_of(s), "src").alias("src"),
-        F.regexp_replace(inner_of(s), r"(?is)</script\s*>\z", "").alias("code")))
+    return F.transform(elements(scripts), lambda s: F.struct(
+        F.lower(value(s["tag"], "type")).alias("type"), value(s["tag"], "src").alias("src"), s["inner"].alias("code")))
 
 
 def script_urls(scripts: Column, base: Column) -> Column:
@@ -193,7 +201,8 @@ def images_of(markup: Column, base: Column) -> Column:
         absolute = lambda s: F.when(s == "", s).otherwise(
             F.coalesce(F.nullif(urls.resolve(s, base), F.lit("")), s))
         return F.struct(attribute(tag, "alt").alias("alt"), let(source, absolute).alias("src"))
-    return F.transform(_all(markup, _open("img")), describe)
+    images = F.transform(F.transform(_all(markup, _open("img")), attributes), describe)
+    return F.when(markup.rlike("(?i)<img"), images).otherwise(F.array().cast(IMAGES))
 
 
 def meta_of(markup: Column) -> Column:
@@ -202,7 +211,7 @@ def meta_of(markup: Column) -> Column:
         some = lambda n: F.nullif(value(tag, n), F.lit(""))
         key = F.lower(F.coalesce(some("name"), some("property"), some("http-equiv")))
         return F.struct(key.alias("key"), attribute(tag, "content").alias("value"))
-    entries = F.filter(F.transform(_all(markup, _open("meta")), describe),
+    entries = F.filter(F.transform(F.transform(_all(markup, _open("meta")), attributes), describe),
                        lambda e: e["key"].isNotNull() & e["value"].isNotNull())
     return let(entries, lambda es: F.map_from_entries(F.filter(
         es, lambda e, i: F.array_position(es["key"], e["key"]) == i + 1)))
@@ -257,32 +266,41 @@ def page_kind(path: Column, url: Column, title: Column, headings: Column, button
     return let(F.struct(path_form.alias("p"), forms.alias("t")), decide)
 
 
+@built_once
+def _parse_columns() -> dict[str, Column]:
+    return {"_where": urls.parse(F.col("final_url")), "_opaque": opaque_parts(F.col("html")), "_markup": without_opaque(F.col("html"))}
+
+
+@built_once
+def _base_column() -> Column:
+    tag = F.regexp_extract("_markup", rf"(?is)<base(?=[\s])(?=[^>]*\shref\s*=){ATTRIBUTES}>", 0)
+    resolved = urls.parse(urls.resolve(value(attributes(tag), "href"), F.col("_where")))
+    return F.coalesce(F.when(tag != "", resolved), F.col("_where"))
+
+
+@built_once
+def _read_columns() -> dict[str, Column]:
+    m, base = F.col("_markup"), F.col("_base")
+    return {"title": title_of(m), "lang": language_of(m), "headings": headings_of(m), "links": links_of(m, base),
+            "buttons": buttons_of(m), "forms": forms_of(m, base), "_scripts": script_parts(F.col("_opaque")),
+            "images": images_of(m, base), "meta": meta_of(m), "text": text_of(m)}
+
+
+@built_once
+def _judged_columns() -> dict[str, Column]:
+    c = F.col
+    return {"scripts": script_urls(c("_scripts"), c("_base")), "js_shell": is_shell(c("_markup"), c("text"), c("_scripts")),
+            "kind": page_kind(c("_where.path"), c("final_url"), c("title"), c("headings"), c("buttons"), c("meta"), c("_scripts"))}
+
+
 def documents(pages: DataFrame) -> DataFrame:
     """``pages`` (page_id, site, position, url, final_url, status_code, html) to structured documents.
 
-    Every step is a projection: the html column is read once per task and never shuffled.
+    Every step is a projection: the html column is read once per task and never shuffled, and columns nobody asks for
+    are not computed.
     """
-    parsed = (pages
-              .withColumn("html", F.substring("html", 1, HTML_CHARS))
-              .withColumn("_where", urls.parse(F.col("final_url")))
-              .withColumn("_opaque", opaque_parts(F.col("html")))
-              .withColumn("_markup", without_opaque(F.col("html"))))
-    base_href = F.nullif(value(F.regexp_extract("_markup", rf"(?is)<base(?=[\s])(?=[^>]*\shref\s*=){ATTRIBUTES}>", 0), "href"),
-                         F.lit(""))
-    parsed = parsed.withColumn("_base", F.coalesce(
-        urls.parse(F.when(base_href.isNotNull(), urls.resolve(base_href, F.col("_where")))), F.col("_where")))
-    m, base = F.col("_markup"), F.col("_base")
-    read = parsed.withColumns({
-        "title": title_of(m), "lang": language_of(m), "headings": headings_of(m), "links": links_of(m, base),
-        "buttons": buttons_of(m), "forms": forms_of(m, base), "_scripts": script_parts(F.col("_opaque")),
-        "images": images_of(m, base), "meta": meta_of(m), "text": text_of(m)})
-    done = read.withColumns({
-        "scripts": script_urls(F.col("_scripts"), base),
-        "js_shell": is_shell(m, F.col("text"), F.col("_scripts")),
-        "kind": page_kind(F.col("_where.path"), F.col("final_url"), F.col("title"), F.col("headings"),
-                          F.col("buttons"), F.col("meta"), F.col("_scripts"))})
-    return done.select("page_id", "site", "position", "url", "final_url", "status_code", "kind", "title", "lang",
-                       "headings", "links", "buttons", "forms", "scripts", "images", "meta", "text", "js_shell")
-
-
-__all__ = ["documents", "classify"]
+    parsed = pages.withColumn("html", F.substring("html", 1, HTML_CHARS)).withColumns(_parse_columns())
+    read = parsed.withColumn("_base", _base_column()).withColumns(_read_columns())
+    return read.withColumns(_judged_columns()).select(
+        "page_id", "site", "position", "url", "final_url", "status_code", "kind", "title", "lang", "headings", "links",
+        "buttons", "forms", "scripts", "images", "meta", "text", "js_shell")

@@ -91,3 +91,38 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("event_id", F.when(F.col("user_id") % 11 != 0, F.col("user_id") % 24 + 1).alias("org_id"),
                        F.lit("cron").alias("actor"), kind.alias("type"), F.lit("scan").alias("entity_type"),
                        entity.alias("entity_id"), F.coalesce(previous, "props").alias("input"), F.col("ts").cast("timestamp").alias("created_at"))
+
+
+def rescan_log(spark: SparkSession, folder: str) -> DataFrame:
+    """Re-scan events of site scans: every third scan was started by the job, every ninth is processed already."""
+    from pyspark.sql.window import Window
+    own = scans(spark, folder).filter(F.col("site_id").isNotNull())
+    before = Window.partitionBy("site_id").orderBy("created_at", "scan_id").rowsBetween(Window.unboundedPreceding, -1)
+    previous = own.withColumn("previous", F.last(F.when(F.col("status") == "done", F.col("scan_id")), ignorenulls=True).over(before))
+    started = previous.filter(F.col("scan_id") % 3 == 0).select(
+        "org_id", F.lit("monitor.scan_started").alias("type"), F.lit("scan").alias("entity_type"), F.col("scan_id").alias("entity_id"),
+        F.to_json(F.struct(F.col("site_id").cast("string").alias("siteId"), F.col("previous").cast("string").alias("previousScanId"))).alias("input"),
+        "created_at")
+    done = own.filter(F.col("scan_id") % 9 == 0).select(
+        "org_id", F.lit("monitor.scan_processed").alias("type"), F.lit("scan").alias("entity_type"), F.col("scan_id").alias("entity_id"),
+        F.lit(None).cast("string").alias("input"), "created_at")
+    return started.unionByName(done)
+
+
+def memberships(spark: SparkSession, folder: str) -> DataFrame:
+    """customer as members of organisations; the household segment owns, except in every fourth organisation."""
+    key = F.col("c_custkey")
+    return table(spark, folder, "customer").select("c_custkey", "c_nationkey", "c_mktsegment").select(
+        F.col("c_nationkey").alias("org_id"), F.concat(F.lit("user"), key.cast("string"), F.lit("@mail.example")).alias("email"),
+        F.when((F.col("c_mktsegment") == "HOUSEHOLD") & (F.col("c_nationkey") % 4 != 0), "owner").otherwise("member").alias("role"),
+        (F.lit("1993-01-01").cast("timestamp") + F.make_dt_interval(key * 7 % 365, F.lit(0), F.lit(0), key)).alias("created_at"))
+
+
+def subscription_events(spark: SparkSession, folder: str) -> DataFrame:
+    """supplier as subscription events: the organisation is named by id, subscription or customer."""
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    states = F.array(*[F.lit(s) for s in ("active", "trialing", "past_due", "canceled", "unpaid")])
+    return table(spark, folder, "supplier").select(
+        k.alias("event_id"), F.when(k % 4 == 0, n).alias("org_hint"),
+        F.when(k % 3 == 0, F.concat(F.lit("sub_x"), k.cast("string"))).otherwise(F.concat(F.lit("sub_"), n.cast("string"))).alias("subscription_id"),
+        F.concat(F.lit("cus_"), n.cast("string")).alias("customer_id"), F.element_at(states, (k % 5 + 1).cast("int")).alias("state"))
