@@ -126,7 +126,7 @@ def expire_stale(scans: DataFrame, now: str) -> DataFrame:
     """Queued or running scans older than ten minutes count as failed."""
     since = F.coalesce("started_at", "created_at")
     stale = F.col("status").isin("queued", "running") & (since <= instant(now) - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(STALE_MINUTES)))
-    return scans.withColumn("status", F.when(stale, "failed").otherwise(F.col("status"))).withColumn("expired", stale)
+    return scans.withColumns({"status": F.when(stale, "failed").otherwise(F.col("status")), "expired": stale})
 
 
 def purged_scans(scans: DataFrame, days: int, now: str) -> DataFrame:
