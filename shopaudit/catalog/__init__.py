@@ -5,9 +5,9 @@ import functools
 from collections.abc import Callable
 
 from ..session import configure
-from . import history_queries
+from . import history_queries, page_queries
 
-AREAS = (history_queries,)
+AREAS = (page_queries, history_queries)
 
 
 def _configured(query: Callable) -> Callable:
