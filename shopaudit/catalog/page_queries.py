@@ -73,7 +73,8 @@ def address_ranges(spark, d):
     heads = F.array(*[F.lit(x) for x in ("fc00", "fdff", "fe80", "febf", "fec0", "ff02", "2001", "2a00", "64", "100")])
     head = F.element_at(heads, (F.col("o_custkey") % 10 + 1).cast("int"))
     v6 = F.when(F.col("o_orderkey") % 2 == 0, F.concat(head, F.lit("::"), F.lower(F.hex(fourth + 2)))).otherwise(F.concat(F.lit("::ffff:"), v4))
-    return o.select("o_orderkey", urls.is_reserved(v4).alias("v4_reserved"), urls.is_reserved(v6).alias("v6_reserved"))
+    return derive(o, v4=v4, v6=v6).select("o_orderkey", urls.is_reserved(F.col("v4")).alias("v4_reserved"),
+                                          urls.is_reserved(F.col("v6")).alias("v6_reserved"))
 
 
 # ---- text -------------------------------------------------------------------------------------------------------
@@ -285,7 +286,7 @@ _TEXT = (f"substr(trim(regexp_replace(regexp_replace({_decoded('''regexp_replace
          ",'\\s*\\n\\s*',chr(10),'g'),'[ \\t]+',' ','g'),' '||chr(10)),1,60000)")
 _MARK = "regexp_replace({0},'([.!?…])\\s+([^\\p{{Ll}}\\s])','\\1'||chr(10)||'\\2','g')"
 _SENT = ("list_filter(list_transform(string_split(" + _MARK.format(_MARK.format("text")) +
-         ",chr(10)), x -> trim(regexp_replace(x,'\\s+',' ','g'))), x -> x<>'')")
+         ",chr(10)), lambda x: trim(regexp_replace(x,'\\s+',' ','g'))), lambda x: x<>'')")
 _FORM = "trim(regexp_replace(replace(replace(lower(strip_accents(replace({0},'…','...'))),'ß','ss'),'’',''''),'[-\\s_‐-―]+',' ','g'))"
 _SENTS = f"""s AS (SELECT doc_id, source site, lang, unnest(l) t, generate_subscripts(l,1)-1 AS item FROM (SELECT doc_id, source, lang, {_SENT} l FROM documents)),
  f AS (SELECT *, {_FORM.format('t')} k, {_FORM.format('substr(t,1,400)')} c FROM s),
@@ -323,13 +324,13 @@ ORACLES = {
         m AS (SELECT lang, CASE WHEN {_WORD.format('the'+_END)} THEN 'the' WHEN {_WORD.format('les'+_END)} THEN 'les' WHEN {_WORD.format('der'+_END)} THEN 'der'
           WHEN {_WORD.format('license'+_END)} THEN 'license' WHEN {_WORD.format('of the'+_END)} THEN 'of the' WHEN {_WORD.format('est')} THEN 'est*'
           WHEN {_WORD.format('con'+_END)} THEN 'con' END first FROM d) SELECT lang, first, count(*) n, count(first) hits FROM m GROUP BY 1,2""",
-    "first_email": f"""WITH l AS (SELECT doc_id, list_filter({_SENT}, x -> regexp_matches(x,'[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{{2,}}')
+    "first_email": f"""WITH l AS (SELECT doc_id, list_filter({_SENT}, lambda x: regexp_matches(x,'[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{{2,}}')
           OR regexp_matches(x,'(?i)[A-Za-z0-9._%+-]+\\s*[\\[(]\\s*at\\s*[\\])]\\s*[A-Za-z0-9-]+(?:\\s*(?:\\.|[\\[(]\\s*dot\\s*[\\])])\\s*[A-Za-z0-9-]+)+')) m FROM documents),
         e AS (SELECT doc_id, m[1] t, substr(m[1],1,200) h, 200-strpos(reverse(substr(m[1],1,200)),' ') sp FROM l WHERE len(m)>0)
         SELECT doc_id, CASE WHEN length(t)<=200 THEN t WHEN strpos(h,' ')>0 AND sp>100 THEN rtrim(substr(h,1,sp))||'…' ELSE rtrim(h)||'…' END email FROM e""",
     "stated_periods": """WITH p AS (SELECT o_orderkey, o_orderkey%1500 a, [14,14,30,1,2][o_custkey%5+1] b, o_orderkey%6 u FROM orders),
-        q AS (SELECT *, CASE WHEN a BETWEEN 1 AND 999 THEN a||'' END first, CASE WHEN u<3 THEN b||'' WHEN u<5 THEN (b*30)||'' END second FROM p)
-        SELECT o_orderkey, coalesce(first||','||second, first, second, '') "days" FROM q""",
+        q AS (SELECT *, CASE WHEN a BETWEEN 1 AND 999 THEN a||'' END p1, CASE WHEN u<3 THEN b||'' WHEN u<5 THEN (b*30)||'' END p2 FROM p)
+        SELECT o_orderkey, coalesce(p1||','||p2, p1, p2, '') "days" FROM q""",
     "registrations": """SELECT s_suppkey, CASE s_suppkey%6 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN s_suppkey+100>=10000
         WHEN 3 THEN s_suppkey>=10000 WHEN 4 THEN false ELSE true END registered,
         CASE s_suppkey%3 WHEN 0 THEN 'Lindenstraße '||s_suppkey||' 10115 Berlin' WHEN 1 THEN 'Lindenstraße '||s_suppkey||', 1010 Wien' END address FROM supplier""",
@@ -350,15 +351,15 @@ ORACLES = {
     "page_links": f"""WITH l AS (SELECT page_id, url, regexp_extract_all({_VISIBLE},'(?s)<a href=.*?</a>') a FROM pages),
         e AS (SELECT page_id, url, unnest(range(1,len(a)+1)) i, a FROM l), h AS (SELECT *, {_decoded("regexp_extract(a[i],'href=\"([^\"]*)\"',1)")} href FROM e)
         SELECT page_id, i-1 AS item, {_plain("a[i]")} AS "text", href, regexp_extract(url,'^https?://[^/]+',0)||array_to_string(list_transform(string_split(href,''),
-          c -> CASE WHEN c=' ' THEN '%20' WHEN ord(c)>126 OR c IN ('"','<','>','`','{{','}}') THEN url_encode(c) ELSE c END),'') "abs" FROM h""",
+          lambda c: CASE WHEN c=' ' THEN '%20' WHEN ord(c)>126 OR c IN ('"','<','>','`','{{','}}') THEN url_encode(c) ELSE c END),'') "abs" FROM h""",
     "page_text": f"SELECT page_id, md5(t) digest, length(t) size FROM (SELECT page_id, {_TEXT} t FROM (SELECT page_id, {_VISIBLE} v FROM pages))",
     "page_rows": f"""SELECT page_id, site, row_number() OVER (PARTITION BY site ORDER BY page_id)-1 AS "position", 200 status_code, md5(substr(t,1,1000)) excerpt
         FROM (SELECT page_id, {_SITE} site, {_TEXT} t FROM (SELECT page_id, url, {_VISIBLE} v FROM pages))""",
     "a11y_counts": f"""WITH p AS (SELECT {_SITE} site, html, {_VISIBLE} v FROM pages)
         SELECT site, count(*) pages, CAST(sum((NOT regexp_matches(html,'<html lang="[^"]+'))::INT) AS BIGINT) missing_lang, CAST(sum((len(regexp_extract_all(v,'<h1>'))<>1)::INT) AS BIGINT) heading_issues,
-        CAST(sum(len(list_filter(regexp_extract_all(v,'<img[^>]*>'), x -> NOT regexp_matches(x,'\\salt=')))) AS BIGINT) missing_alt,
+        CAST(sum(len(list_filter(regexp_extract_all(v,'<img[^>]*>'), lambda x: NOT regexp_matches(x,'\\salt=')))) AS BIGINT) missing_alt,
         CAST(sum(len(regexp_extract_all(v,'<(?:input|select|textarea)'))) AS BIGINT) unlabelled_inputs,
-        CAST(sum(len(list_filter(regexp_extract_all(v,'(?s)<a href=.*?</a>'), x -> trim(regexp_replace(x,'<[^>]*>','','g'))=''))) AS BIGINT) empty_links FROM p GROUP BY 1""",
+        CAST(sum(len(list_filter(regexp_extract_all(v,'(?s)<a href=.*?</a>'), lambda x: trim(regexp_replace(x,'<[^>]*>','','g'))=''))) AS BIGINT) empty_links FROM p GROUP BY 1""",
     "site_locales": f"""WITH c AS (SELECT {_SITE} site, regexp_extract(html,'<html lang="([a-z]+)"',1) l, count(*) n, min(page_id) m FROM pages GROUP BY 1,2)
         SELECT site, string_agg(l, ',' ORDER BY n DESC, m) ranked FROM c GROUP BY 1""",
     "green_candidates": f"WITH {_SENTS} SELECT site, kind, doc_id, item FROM kinds WHERE kind IS NOT NULL",

@@ -242,23 +242,25 @@ def is_reserved_v4(address: Column) -> Column:
 
 def ipv6_groups(address: Column) -> Column:
     """Eight 16-bit groups of an IPv6 address (a dotted tail is accepted), or NULL."""
-    text = F.lower(F.regexp_replace(address, "%.*$", ""))
-    tail = F.split(F.regexp_extract(text, r"(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})$", 1), r"\.")
-    octet = lambda i: F.get(tail, F.lit(i)).cast("int")
-    hexed = F.concat(F.hex(octet(0) * 256 + octet(1)), F.lit(":"), F.hex(octet(2) * 256 + octet(3)))
-    text = F.when(text.contains("."), F.concat(F.regexp_replace(text, r"[^:]*$", ""), F.lower(hexed))).otherwise(text)
+    def plain(text: Column) -> Column:
+        tail = F.split(F.regexp_extract(text, r"(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})$", 1), r"\.")
+        hexed = let(tail, lambda o: F.concat(F.hex(F.get(o, 0).cast("int") * 256 + F.get(o, 1).cast("int")), F.lit(":"),
+                                             F.hex(F.get(o, 2).cast("int") * 256 + F.get(o, 3).cast("int"))))
+        return F.when(text.contains("."), F.concat(F.regexp_replace(text, r"[^:]*$", ""), F.lower(hexed))).otherwise(text)
 
     def groups(t: Column) -> Column:
         halves = F.split(t, "::")
         parts = lambda i: F.filter(F.split(F.coalesce(F.get(halves, F.lit(i)), F.lit("")), ":"), lambda g: g != "")
-        head, rest = parts(0), parts(1)
-        fill = F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - F.size(head) - F.size(rest)))
-        full = F.when(F.size(halves) == 2, F.concat(head, fill, rest)).otherwise(head)
-        well_formed = (t.rlike("^(?:[0-9a-f]{1,4}|:)+$") & (F.size(halves) <= 2) & ~t.contains(":::")
-                       & ((F.size(halves) == 1) | (F.size(head) + F.size(rest) <= 7)) & (F.size(full) == 8)
-                       & F.forall(full, lambda g: F.length(g) <= 4))
-        return F.when(well_formed, F.transform(full, lambda g: F.conv(g, 16, 10).cast("int")))
-    return let(text, groups)
+
+        def join(x: Column) -> Column:
+            fill = F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - F.size(x["head"]) - F.size(x["rest"])))
+            full = F.when(x["n"] == 2, F.concat(x["head"], fill, x["rest"])).otherwise(x["head"])
+            fits = (x["n"] == 1) | ((x["n"] == 2) & (F.size(x["head"]) + F.size(x["rest"]) <= 7))
+            return let(full, lambda f: F.when(fits & (F.size(f) == 8) & F.forall(f, lambda g: F.length(g) <= 4),
+                                              F.transform(f, lambda g: F.conv(g, 16, 10).cast("int"))))
+        split = F.struct(parts(0).alias("head"), parts(1).alias("rest"), F.size(halves).alias("n"))
+        return F.when(t.rlike("^(?:[0-9a-f]{1,4}|:)+$") & ~t.contains(":::"), let(split, join))
+    return let(let(F.lower(F.regexp_replace(address, "%.*$", "")), plain), groups)
 
 
 def is_reserved_v6(address: Column) -> Column:
@@ -279,9 +281,9 @@ def is_reserved_v6(address: Column) -> Column:
 
 def is_reserved(address: Column) -> Column:
     """True for addresses no scan may reach; names that are no address are not judged here."""
-    bare = F.regexp_replace(address, r"^\[|\]$", "")
-    return (F.when(bare.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), is_reserved_v4(bare))
-            .when(bare.contains(":"), is_reserved_v6(bare)).otherwise(F.lit(False)))
+    return let(F.regexp_replace(address, r"^\[|\]$", ""), lambda bare: F.when(
+        bare.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), is_reserved_v4(bare)).when(
+        bare.contains(":"), is_reserved_v6(bare)).otherwise(F.lit(False)))
 
 
 def screen_target(text: Column) -> Column:
