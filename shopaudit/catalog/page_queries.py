@@ -7,7 +7,7 @@ from ..checks import findings as checks
 from ..checks import signals
 from ..functions import scalars, text, urls
 from ..operators import classify, extract
-from ..session import derive
+from ..session import derive, stored
 from ..sources import adapters as a
 from ..sources.pages import document_rows, read_pages, with_order
 from . import history_queries
@@ -24,6 +24,12 @@ def _documents(spark, d):
     return extract.documents(with_order(_pages(spark, d)))
 
 
+def _kept(spark, d, *columns):
+    """The asked columns of the documents, written once as the document sink does and read back."""
+    docs = _documents(spark, d)
+    return stored(docs.select(*columns) if columns else docs, "documents")
+
+
 def _texts(spark, d):
     return a.table(spark, d, "documents").select("doc_id", "text", "lang", "source")
 
@@ -191,7 +197,7 @@ def page_headings(spark, d):
 
 
 def page_links(spark, d):
-    return _documents(spark, d).select("page_id", F.posexplode("links").alias("item", "l")).select(
+    return _kept(spark, d, "page_id", "links").select("page_id", F.posexplode("links").alias("item", "l")).select(
         "page_id", F.col("item").cast("long").alias("item"), "l.text", "l.href", "l.abs")
 
 
@@ -206,18 +212,18 @@ def page_rows(spark, d):
 
 
 def a11y_counts(spark, d):
-    s = signals.page_signals(_documents(spark, d))
+    s = signals.page_signals(_kept(spark, d))
     return s.groupBy("site").agg(F.count("*").alias("pages"), *[F.sum(n).cast("long").alias(n) for n in (
         "missing_lang", "heading_issues", "missing_alt", "unlabelled_inputs", "empty_links")])
 
 
 def site_locales(spark, d):
-    return checks.guessed_locales(_documents(spark, d)).select("site", F.array_join("ranked", ",").alias("ranked"))
+    return checks.guessed_locales(_kept(spark, d, "site", "position", "lang", "status_code")).select("site", F.array_join("ranked", ",").alias("ranked"))
 
 
 def page_findings(spark, d):
     """All nine findings of every site."""
-    f = checks.audit(_documents(spark, d), NOW).findings
+    f = checks.audit(_kept(spark, d), NOW).findings
     return f.select("site", "code", F.col("position").cast("long").alias("position"), "status", "severity", "evidence_total")
 
 
@@ -256,7 +262,7 @@ def green_reviewed(spark, d):
 
 def page_link_targets(spark, d):
     """Kinds of the links on every page."""
-    links = _documents(spark, d).select("site", F.explode("links").alias("l"))
+    links = _kept(spark, d, "site", "links").select("site", F.explode("links").alias("l"))
     return derive(links.select("site", "l.text", "l.abs"), t=classify.target_of("text", "abs")).groupBy(
         "site", "t.kind").agg(F.count("*").alias("n"))
 

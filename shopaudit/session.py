@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Nested pruning would repeat a struct's whole expression for each of its fields below an explode.
+    "spark.sql.optimizer.expression.nestedPruning.enabled": "false",
     # Case mapping by the JVM: the same results here and several times faster than ICU.
     "spark.sql.icu.caseMappings.enabled": "false",
 }
