@@ -5,9 +5,9 @@ import functools
 from collections.abc import Callable
 
 from ..session import configure
-from . import history_queries, page_queries
+from . import history_queries, page_queries, shop_queries, stream_queries
 
-AREAS = (page_queries, history_queries)
+AREAS = (page_queries, shop_queries, history_queries, stream_queries)
 
 
 def _configured(query: Callable) -> Callable:
