@@ -42,16 +42,17 @@ def url_normalise(spark, d):
 
 
 def url_parts(spark, d):
-    pages = _pages(spark, d).select("page_id", "url", F.concat("url", F.lit("&file=x.pdf")).alias("other"))
-    reg = urls.registration(F.col("url"))
-    path = urls.parse(F.col("url"))["path"]
+    pages = derive(_pages(spark, d).select("page_id", "url"), path=urls.parse(F.col("url"))["path"])
+    pages = derive(pages, reg=urls.registration(F.col("url")), safe=urls.safe_href(
+        F.concat(F.when(F.col("page_id") % 2 == 0, F.lit("javascript:")).otherwise(F.lit("")), F.col("url"))))
+    pages = derive(pages, shown=urls.display_path(F.col("url"), F.lit("www.therti.example.org")),
+                   start=urls.start_url(F.concat(F.lit("  "), F.regexp_replace("url", "^https?://", ""))))
+    path = F.col("path")
     return pages.select(
-        "page_id", reg["url"].alias("stored_url"), reg["hostname"].alias("hostname"), urls.path_words(F.col("url")).alias("words"),
+        "page_id", F.col("reg.url").alias("stored_url"), F.col("reg.hostname").alias("hostname"), urls.path_words(F.col("url")).alias("words"),
         urls.is_home_path(F.regexp_replace(path, "[0-9]+.*$", "")).alias("home"), urls.is_product_path(F.concat(F.lit("/Shop"), path)).alias("product"),
         urls.is_asset(F.concat(path, F.lit(".PDF"))).alias("asset"), urls.is_document(F.concat("url", F.lit(".pdf"))).alias("document"),
-        urls.display_path(F.col("url"), F.lit("www.therti.example.org")).alias("shown"),
-        urls.safe_href(F.concat(F.when(F.col("page_id") % 2 == 0, F.lit("javascript:")).otherwise(F.lit("")), F.col("url"))).alias("safe"),
-        urls.start_url(F.concat(F.lit("  "), F.regexp_replace("url", "^https?://", ""))).alias("start"))
+        "shown", "safe", "start")
 
 
 def url_screen(spark, d):
@@ -300,8 +301,10 @@ _SENTS = f"""s AS (SELECT doc_id, source site, lang, unnest(l) t, generate_subsc
  first AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY site, k ORDER BY doc_id, item)=1),
  kinds AS (SELECT site, doc_id, item, CASE WHEN regexp_matches(c,'(^|[^\\p{{L}}\\p{{N}}])apache($|[^\\p{{L}}\\p{{N}}])') THEN 'self_made_label'
    WHEN o AND regexp_matches(c,'(^|[^\\p{{L}}\\p{{N}}])copyright($|[^\\p{{L}}\\p{{N}}])') THEN 'offset_neutrality'
-   WHEN regexp_matches(c,'(^|[^\\p{{L}}\\p{{N}}])('||CASE lang WHEN 'en' THEN 'license($|[^\\p{{L}}\\p{{N}}])' WHEN 'fr' THEN '(license|ouement)($|[^\\p{{L}}\\p{{N}}])'
-     WHEN 'de' THEN 'license($|[^\\p{{L}}\\p{{N}}])|verein' ELSE '(license|mente)($|[^\\p{{L}}\\p{{N}}])' END||')') THEN 'candidate' END kind FROM first JOIN offs USING (doc_id))"""
+   WHEN CASE lang WHEN 'en' THEN regexp_matches(c,'(^|[^\\p{{L}}\\p{{N}}])license($|[^\\p{{L}}\\p{{N}}])')
+     WHEN 'fr' THEN regexp_matches(c,'(^|[^\\p{{L}}\\p{{N}}])(license|ouement)($|[^\\p{{L}}\\p{{N}}])')
+     WHEN 'de' THEN regexp_matches(c,'(^|[^\\p{{L}}\\p{{N}}])(license($|[^\\p{{L}}\\p{{N}}])|verein)')
+     ELSE regexp_matches(c,'(^|[^\\p{{L}}\\p{{N}}])(license|mente)($|[^\\p{{L}}\\p{{N}}])') END THEN 'candidate' END kind FROM first JOIN offs USING (doc_id))"""
 _WORD = "regexp_matches(f,'(^|[^\\p{{L}}\\p{{N}}]){0}')"
 _END = "($|[^\\p{L}\\p{N}])"
 
