@@ -282,7 +282,9 @@ _VISIBLE = "regexp_replace(html,'(?s)<!--.*?-->|<script.*?</script>|<style.*?</s
 
 
 def _decoded(x):
-    return f"replace(replace(replace({x},'&copy;','©'),'&middot;','·'),'&amp;','&')"
+    for name, char in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        x = f"replace({x},'&{name};','{char}')"
+    return x
 
 
 def _plain(x):
