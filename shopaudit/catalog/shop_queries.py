@@ -70,7 +70,7 @@ ORACLES = {
     "shop_findings": _SHOPS + """, f AS (SELECT site, shell,
           CASE WHEN shell THEN 'unknown' WHEN k%4=0 THEN 'pass' WHEN k%4 IN (1,2) OR (k%7=6 AND k%2=0) THEN 'warn' ELSE 'fail' END withdrawal_function,
           CASE WHEN shell THEN 'unknown' WHEN k%7 IN (0,1,2,5) THEN 'pass' WHEN k%7=3 THEN 'fail' WHEN k%7=4 THEN 'warn'
-               WHEN k%2=0 THEN 'warn' ELSE 'fail' END withdrawal_policy,
+               WHEN k%2=0 OR k%4=1 THEN 'warn' ELSE 'fail' END withdrawal_policy,
           CASE WHEN shell THEN 'unknown' WHEN k%3=1 OR (k%3=0 AND k%2=0) THEN 'fail' WHEN k%3=0 THEN 'unknown' ELSE 'pass' END green_claims,
           CASE WHEN shell THEN 'unknown' WHEN k%5=0 THEN 'pass' WHEN k%5=4 THEN 'fail' ELSE 'warn' END accessibility_statement,
           CASE WHEN shell THEN 'unknown' WHEN k%5 IN (0,3) OR k%7=0 THEN 'fail' WHEN k%8=1 THEN 'warn' ELSE 'pass' END a11y_sample,
