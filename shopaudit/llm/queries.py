@@ -124,7 +124,7 @@ WITH payloads AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
 newest AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS newest FROM payloads)
 SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
-  array_to_string(list_transform(range(0, 8), lambda k: array_to_string(list_transform(range(0, 4), j ->
+  array_to_string(list_transform(range(0, 8), lambda k: array_to_string(list_transform(range(0, 4), lambda j:
     substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, 5 * k + 1, 5))::BIGINT >> (15 - 5 * j)) & 31)::INT, 1)), '')), '') AS payload_digest,
   CASE WHEN page_id < newest THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < newest THEN newest END AS refers_to, true AS verified
 FROM newest"""
