@@ -135,7 +135,13 @@ def _whole_sets(documents: DataFrame, ids: DataFrame) -> DataFrame:
                  ], ["page_id", "shingles"])
 
     texts = keyed(documents, "page_id", "text").withColumn("page_id", F.col("page_id").cast("long"))
-    return texts.join(ids, "page_id", "left_semi").mapInArrow(task, "page_id long, shingles binary")
+    # One plan at every size: sorted by page_id, never a broadcast that stops fitting.
+    return texts.join(ids.hint("merge"), "page_id", "left_semi").mapInArrow(task, "page_id long, shingles binary")
+
+
+def _sizes_fit(percent: int, n: Column, m: Column) -> Column:
+    """Sets of these sizes can be similar enough."""
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
 def _likely(a: Column, b: Column) -> Column:
@@ -150,20 +156,21 @@ def _likely(a: Column, b: Column) -> Column:
     return test(a, b)
 
 
+def holds(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union of two sorted sets."""
+    least, most = sorted((len(p), len(q)))
+    if not least or 100 * least < percent * most:
+        return False
+    at = np.minimum(np.searchsorted(p, q), len(p) - 1)
+    both = int((p[at] == q).sum())
+    return 100 * both >= percent * (len(p) + len(q) - both)
+
+
 def _similar(percent: int, a: Column, b: Column) -> Column:
     """Whether 100 * intersection >= percent * union, on whole sets."""
     @F.pandas_udf("boolean")
     def test(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for p, q in zip(x, y):
-            p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-            least, most = sorted((len(p), len(q)))
-            both = 0
-            if 100 * least >= percent * most and least:
-                at = np.minimum(np.searchsorted(p, q), len(p) - 1)
-                both = int((p[at] == q).sum())
-            out.append(both > 0 and 100 * both >= percent * (len(p) + len(q) - both))
-        return pd.Series(out, dtype=bool)
+        return pd.Series([holds(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), percent) for p, q in zip(x, y)], dtype=bool)
 
     return test(a, b)
 
@@ -180,7 +187,7 @@ def _labelled(nodes: DataFrame, found: DataFrame) -> DataFrame:
         "component", F.coalesce("component", "page_id"))
 
 
-def _to_hubs(members: DataFrame, lines: DataFrame) -> DataFrame:
+def _to_hubs(members: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     """Pairs of every bucket member with the bucket's hub, its member with the most neighbours in all buckets."""
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n"))
     weight = members.join(sizes, "bucket").groupBy("page_id").agg(F.sum("n").alias("weight"))
@@ -188,16 +195,13 @@ def _to_hubs(members: DataFrame, lines: DataFrame) -> DataFrame:
     hubs = weighed.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("page_id")).alias("low")))["low"].alias("low"))
     pairs = members.join(hubs.select("bucket", (-F.col("low")).alias("hub")), "bucket").filter("page_id <> hub")
     pairs = pairs.select(F.greatest("page_id", "hub").alias("u"), F.least("page_id", "hub").alias("v")).distinct()
-    return _estimated_pairs(pairs, lines)
+    a, b = (lines.select(F.col("page_id").alias(c), F.col("registers").alias(f"line_{c}"), F.col("n_shingles").alias(f"n_{c}")) for c in ("u", "v"))
+    return pairs.join(a, "u").join(b, "v").filter(_sizes_fit(percent, F.col("n_u"), F.col("n_v"))).filter(
+        _likely(F.col("line_u"), F.col("line_v"))).select("u", "v")
 
 
-def _estimated_pairs(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    a, b = (lines.select(F.col("page_id").alias(c), F.col("registers").alias(f"line_{c}")) for c in ("u", "v"))
-    return pairs.join(a, "u").join(b, "v").filter(_likely(F.col("line_u"), F.col("line_v"))).select("u", "v")
-
-
-def _across(members: DataFrame, lines: DataFrame) -> DataFrame:
-    """Likely pairs of members of one bucket in different components.
+def _meetings(members: DataFrame, lines: DataFrame, columns: list[str]) -> DataFrame:
+    """(rows_a, rows_b): pairs of blocks of members (bucket, page_id, component) of one bucket, with ``columns`` of lines.
 
     A bucket's members are dealt to blocks of about BLOCK: those of a large component to blocks of their own, the others
     to mixed ones by component. Only blocks that can hold different components meet, so a group of copies that is one
@@ -205,39 +209,62 @@ def _across(members: DataFrame, lines: DataFrame) -> DataFrame:
     """
     counts = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     # One row per bucket with several components; everything else is settled.
-    open_ = counts.groupBy("bucket").agg(F.count("*").alias("kinds"), F.sum(F.when(F.col("n") < BLOCK, F.col("n")).otherwise(0)).alias("loose")) \
+    several = counts.groupBy("bucket").agg(F.count("*").alias("kinds"), F.sum(F.when(F.col("n") < BLOCK, F.col("n")).otherwise(0)).alias("loose")) \
         .filter("kinds > 1")
-    dealt = members.join(counts, ["bucket", "component"]).join(open_, "bucket")
+    dealt = members.join(counts, ["bucket", "component"]).join(several, "bucket")
     own = F.col("n") >= BLOCK
     dealt = dealt.select(
         "bucket", "page_id", "component", F.when(own, F.col("component")).otherwise(F.lit(None).cast("long")).alias("group"),
         F.when(own, F.pmod(F.xxhash64("page_id"), F.ceil(F.col("n") / BLOCK)))
         .otherwise(F.pmod(F.xxhash64("component"), F.ceil(F.greatest("loose", F.lit(1)) / BLOCK))).alias("block"))
     blocks = dealt.join(lines, "page_id").groupBy("bucket", "group", "block").agg(
-        F.collect_list(F.struct("page_id", "component", "registers")).alias("rows"))
+        F.collect_list(F.struct("page_id", "component", "n_shingles", "registers", *columns)).alias("rows"))
     a = blocks.select("bucket", F.col("group").alias("group_a"), F.col("block").alias("block_a"), F.col("rows").alias("rows_a"))
     b = blocks.select("bucket", F.col("group").alias("group_b"), F.col("block").alias("block_b"), F.col("rows").alias("rows_b"))
     place_a, place_b = (F.struct(F.coalesce(F.col(f"group_{x}"), F.lit(-2 ** 63)), F.col(f"block_{x}")) for x in "ab")
-    meets = a.join(b, "bucket").filter((place_a <= place_b) & (F.col("group_a").isNull() | F.col("group_b").isNull()
-                                                               | (F.col("group_a") != F.col("group_b"))))
+    return a.join(b, "bucket").filter((place_a <= place_b) & (F.col("group_a").isNull() | F.col("group_b").isNull() | (
+        F.col("group_a") != F.col("group_b")))).select("rows_a", "rows_b")
 
+
+def _joined(meetings: DataFrame, percent: int, whole: bool) -> DataFrame:
+    """Edges (u, v) that join what the likely pairs of different components in each pair of blocks join; ``whole``: the
+    pairs that hold on whole sets instead. Each pair of blocks gives at most as many edges as it has members.
+    """
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             us, vs = [], []
-            for left, right in zip(batch.column(0), batch.column(1)):
-                ids, kinds, rows = [], [], []
-                for side in (left.values, right.values):
-                    ids.append(side.field("page_id").to_numpy(zero_copy_only=False))
-                    kinds.append(side.field("component").to_numpy(zero_copy_only=False))
+            for sides in zip(batch.column(0), batch.column(1)):
+                ids, kinds, sizes, rows, sets = [], [], [], [], []
+                for side in (x.values for x in sides):
+                    for out, name in ((ids, "page_id"), (kinds, "component"), (sizes, "n_shingles")):
+                        out.append(side.field(name).to_numpy(zero_copy_only=False))
                     rows.append(np.frombuffer(b"".join(side.field("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS))
-                for i in range(len(ids[0])):
-                    other = kinds[1] != kinds[0][i]
-                    good = other & (estimated(rows[0][i][None, :], rows[1]) >= ESTIMATE)
-                    vs.extend(np.minimum(ids[1][good], ids[0][i]).tolist())
-                    us.extend(np.maximum(ids[1][good], ids[0][i]).tolist())
+                    if whole:
+                        sets.append([np.frombuffer(x, np.uint64) for x in side.field("shingles").to_pylist()])
+                small, large = (f(sizes[0][:, None], sizes[1][None, :]) for f in (np.minimum, np.maximum))
+                good = (kinds[0][:, None] != kinds[1][None, :]) & (100 * small >= percent * large)
+                for at in range(0, len(ids[0]) if good.any() else 0, BLOCK):
+                    part = slice(at, at + BLOCK)
+                    good[part] &= estimated(rows[0][part, None, :], rows[1][None, :, :]) >= ESTIMATE
+                found = [(i, j) for i, j in np.argwhere(good).tolist() if not whole or holds(sets[0][i], sets[1][j], percent)]
+                if found:
+                    # Smallest member reached inside the blocks: the edges to it join the same members as all pairs do.
+                    every = np.concatenate(ids)
+                    i, j = np.array(found).T
+                    j = j + len(ids[0])
+                    low = every.copy()
+                    before = None
+                    while before is None or (low != before).any():
+                        before = low.copy()
+                        least = np.minimum(low[i], low[j])
+                        np.minimum.at(low, i, least)
+                        np.minimum.at(low, j, least)
+                    moved = np.flatnonzero(low != every)
+                    us += every[moved].tolist()
+                    vs += low[moved].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
-    return meets.select("rows_a", "rows_b").mapInArrow(task, "u long, v long").distinct()
+    return meetings.mapInArrow(task, "u long, v long").distinct()
 
 
 def near_copies(documents: DataFrame, percent: int = 85) -> DataFrame:
@@ -253,8 +280,9 @@ def near_copies(documents: DataFrame, percent: int = 85) -> DataFrame:
        (1 - 0.85 ** 3) ** 21, about 2e-9.
     3. Bucket members are paired with their bucket's hub; pairs with a collision-corrected estimate of ESTIMATE or more
        are verified on whole sets. The links' components join most groups at once, however many copies they have.
-    4. Members of one bucket that are still in different components are compared block by block (see _across), again
-       verified, and the components are taken over all links. So no link between components is left untested.
+    4. Members of one bucket that are still in different components are compared by their estimates, block by block. What
+       likely pairs join is a family; the members of a family that are in different components are compared on whole
+       sets, again block by block. So no link between components is left untested, and blocks give edges, not pairs.
 
     Returns one row per row with a page_id: page_id, n_shingles, component_id (the smallest page_id reachable, itself
     included), kept (page_id = component_id). Rows that repeat a page_id stay separate rows. Other columns are ignored;
@@ -262,22 +290,26 @@ def near_copies(documents: DataFrame, percent: int = 85) -> DataFrame:
     """
     rows = stored(sketches(documents), "sketches")
     classes = stored(rows.filter("set_key is not null").groupBy("set_key").agg(
-        F.min("page_id").alias("page_id"), F.first("registers").alias("registers")), "classes")
-    nodes = classes.select("page_id", "registers")
+        F.min("page_id").alias("page_id"), F.first("registers").alias("registers"), F.first("n_shingles").alias("n_shingles")), "classes")
+    nodes = classes.select("page_id", "registers", "n_shingles")
     bands = nodes.select("page_id", F.explode(_bands("registers")).alias("bucket"))
     full = bands.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     members = stored(bands.join(full, "bucket"), "members")
     ids = members.select("page_id").distinct()
     lines = stored(nodes.join(ids, "page_id", "left_semi"), "lines")
-    likely = stored(_to_hubs(members, lines), "pairs")
-    wanted = likely.select(F.col("u").alias("page_id")).union(likely.select("v")).distinct()
-    first = stored(_verified(likely, stored(_whole_sets(documents, wanted), "sets"), percent), "links")
-    joined = stored(_labelled(ids, components(first)), "joined")
-    more = stored(_across(members.join(joined, "page_id"), lines).join(likely, ["u", "v"], "left_anti"), "pairs")
-    wanted = more.select(F.col("u").alias("page_id")).union(more.select("v")).distinct()
-    second = stored(_verified(more, stored(_whole_sets(documents, wanted), "sets"), percent), "links")
-    final = components(first.union(second))
-    classed = _labelled(classes.select("set_key", "page_id"), final).select("set_key", "component")
+    pairs = stored(_to_hubs(members, lines, percent), "pairs")
+    wanted = pairs.select(F.col("u").alias("page_id")).union(pairs.select("v")).distinct()
+    sets = stored(_whole_sets(documents, wanted), "sets")
+    links = stored(_verified(pairs, sets, percent), "links")
+    joined = stored(_labelled(ids, components(links)), "joined")
+    likely = stored(_joined(_meetings(members.join(joined, "page_id"), lines, []), percent, False), "likely")
+    families = stored(components(likely).select(F.col("node").alias("page_id"), F.col("component").alias("bucket")), "families")
+    rest = families.join(sets, "page_id", "left_anti").select("page_id")
+    sets = sets.union(stored(_whole_sets(documents, rest), "sets"))
+    meetings = _meetings(families.join(joined, "page_id"), lines.join(sets, "page_id"), ["shingles"])
+    links = links.union(stored(_joined(meetings, percent, True), "links"))
+    joined = stored(_labelled(ids, components(links)), "joined")
+    classed = _labelled(classes.select("set_key", "page_id"), joined.select(F.col("page_id").alias("node"), "component")).select("set_key", "component")
     return rows.join(classed, "set_key", "left").select(
         "page_id", "n_shingles", F.coalesce("component", "page_id").alias("component_id")).withColumn(
         "kept", F.col("page_id") == F.col("component_id"))
