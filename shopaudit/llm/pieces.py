@@ -94,8 +94,9 @@ class Trie:
             values[at] = value
         size = len(children) * 2 + len(self.codes) + 2
         base, check, value = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
-        used = np.zeros(size, bool)
-        used[0] = True
+        taken = bytearray(size)
+        taken[0] = 1
+        used = np.frombuffer(taken, bool)
         places, start, span = {0: 0}, 1, 4096
         for node in range(len(children)):
             here = places.pop(node)
@@ -103,9 +104,8 @@ class Trie:
             kids = np.array(sorted(children[node]), np.int64)
             if not len(kids):
                 continue
-            while used[start]:
-                start += 1
-            offset = -1
+            start = taken.index(0, start)
+            offset = start - int(kids[0]) if len(kids) == 1 and start >= kids[0] else -1
             while offset < 0:
                 # Free places from the first one on, tried by thousands.
                 free = np.flatnonzero(~used[start:start + span]) + start - kids[0]
@@ -117,11 +117,13 @@ class Trie:
                     span *= 4
                 else:
                     base, check, value = (np.concatenate([x, np.full(size, f, np.int32)]) for x, f in ((base, 0), (check, -1), (value, -1)))
-                    used = np.concatenate([used, np.zeros(size, bool)])
+                    del used
+                    taken.extend(bytes(size))
+                    used = np.frombuffer(taken, bool)
                     size *= 2
             base[here] = offset
             for code, child in children[node].items():
-                used[offset + code] = True
+                taken[offset + code] = 1
                 check[offset + code] = here
                 places[child] = offset + code
         self.base, self.check, self.value = base, check, value
@@ -318,7 +320,8 @@ def encode_pages(documents: DataFrame, model: str) -> DataFrame:
     Returns one row per row with a page_id: page_id, ids, text (as read, null as empty), decoded. An empty text has no ids.
     Texts need not fit one batch; rows that repeat are coded alike. Other columns are ignored; an empty table gives no rows.
     """
-    small_batches(documents.sparkSession)
+    # Larger batches share more words; their bytes are bounded all the same.
+    small_batches(documents.sparkSession, 4000)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = coder(model)
