@@ -182,7 +182,8 @@ def read_archives(paths: DataFrame) -> DataFrame:
 
 
 def with_scheme(path: str) -> str:
-    return path if "://" in path or path.startswith("file:") else f"file://{path}"
+    """The path as an address that every file system library reads."""
+    return path if "://" in path else "file://" + path.removeprefix("file:")
 
 
 def archived(pages: DataFrame) -> DataFrame:
