@@ -150,14 +150,14 @@ def references(spark, d):
     """Character references decoded."""
     p = a.table(spark, d, "part").select("p_partkey")
     k = F.col("p_partkey").cast("string")
-    raw = F.concat(F.lit("&amp;lt; &copy 2 &euro;"), k, F.lit(" &#"), (F.col("p_partkey") % 26 + 65).cast("string"), F.lit("; &#x20AC; &bogus; &eacute;"), k)
+    raw = F.concat(F.lit("&AMP;&REG &check;&NotEqual; &amp;lt; &copy 2 &euro;"), k, F.lit(" &#"), (F.col("p_partkey") % 26 + 65).cast("string"), F.lit("; &#x20AC; &bogus; &eacute;"), k)
     return p.select("p_partkey", text.decode_references(raw).alias("decoded"))
 
 
 def json_ld(spark, d):
     k = F.col("p_partkey")
     t = F.element_at(F.array(*[F.lit(x) for x in ('"Product"', '["Thing","ProductGroup"]', '"Organization"', '"https://schema.org/Product"', '"Product')]), (k % 5 + 1).cast("int"))
-    block = F.concat(F.lit('{"@context":"https://schema.org","@graph":[{"@type": '), t, F.lit(', "name":"p'), k.cast("string"), F.lit('"}]}'))
+    block = F.concat(F.lit('{"@context":"https://schema.org","name":"a","name":"b","@graph":[{"@type": '), t, F.lit(', "name":"p'), k.cast("string"), F.lit('"}]}'))
     return a.table(spark, d, "part").select("p_partkey", scalars.describes_product(block).alias("product"))
 
 
@@ -291,14 +291,14 @@ def _plain(x):
     return f"trim(regexp_replace({_decoded(f'regexp_replace({x},$$<[^>]*>$$,$$$$,$$g$$)')},'\\s+',' ','g'))"
 
 
-_TEXT = (f"substr(trim(regexp_replace(regexp_replace({_decoded('''regexp_replace(regexp_replace(regexp_replace(v,'(?s)^.*?<body>',''),'</?(?:nav|ul|li|div|article|h1|p|footer|br)>',chr(10),'g'),'<[^>]*>','','g')''')}"
-         ",'\\s*\\n\\s*',chr(10),'g'),'[ \\t]+',' ','g'),' '||chr(10)),1,60000)")
+_TEXT = (f"trim(regexp_replace(regexp_replace({_decoded('''regexp_replace(regexp_replace(regexp_replace(v,'(?s)^.*?<body>',''),'</?(?:nav|ul|li|div|article|h1|p|footer|br)>',chr(10),'g'),'<[^>]*>','','g')''')}"
+         ",'\\s*\\n\\s*',chr(10),'g'),'[ \\t]+',' ','g'),' '||chr(10))")
 _MARK = "regexp_replace({0},'([.!?…])\\s+([^\\p{{Ll}}\\s])','\\1'||chr(10)||'\\2','g')"
 _SENT = ("list_filter(list_transform(string_split(" + _MARK.format(_MARK.format("text")) +
          ",chr(10)), lambda x: trim(regexp_replace(x,'\\s+',' ','g'))), lambda x: x<>'')")
 _FORM = "trim(regexp_replace(replace(replace(lower(strip_accents(replace({0},'…','...'))),'ß','ss'),'’',''''),'[-\\s_‐-―]+',' ','g'))"
 _SENTS = f"""s AS (SELECT doc_id, source site, lang, unnest(l) t, generate_subscripts(l,1)-1 AS item FROM (SELECT doc_id, source, lang, {_SENT} l FROM documents)),
- f AS (SELECT *, {_FORM.format('t')} k, {_FORM.format('substr(t,1,400)')} c FROM s),
+ f AS (SELECT *, {_FORM.format('t')} k, {_FORM.format('t')} c FROM s),
  offs AS (SELECT doc_id, regexp_matches({_FORM.format('text')},'(^|[^\\p{{L}}\\p{{N}}])(the|der)($|[^\\p{{L}}\\p{{N}}])') o FROM documents),
  first AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY site, k ORDER BY doc_id, item)=1),
  kinds AS (SELECT site, doc_id, item, CASE WHEN regexp_matches(c,'(^|[^\\p{{L}}\\p{{N}}])apache($|[^\\p{{L}}\\p{{N}}])') THEN 'self_made_label'
@@ -348,7 +348,7 @@ ORACLES = {
     "labels": """WITH r AS (SELECT *, regexp_replace(lower('ete '||p_name||' -- '||repeat(p_name,3)),'[^a-z0-9]+','-','g') s FROM part)
         SELECT p_partkey, regexp_replace(substr(regexp_replace(s,'^-+|-+$','','g'),1,40),'-+$','') slug, (p_size%3)||CASE WHEN p_size%3=1 THEN ' page' ELSE ' pages' END pages,
         lower(substr(p_name,1,1))||substr(upper(p_name),2) AS name, ['de','en',NULL,'fr',NULL][p_size%5+1] "language" FROM r""",
-    "references": "SELECT p_partkey, '&lt; © 2 €'||p_partkey||' '||chr(CAST(p_partkey%26+65 AS INTEGER))||' € &bogus; é'||p_partkey decoded FROM part",
+    "references": "SELECT p_partkey, '&® ✓≠ &lt; © 2 €'||p_partkey||' '||chr(CAST(p_partkey%26+65 AS INTEGER))||' € &bogus; é'||p_partkey decoded FROM part",
     "json_ld": "SELECT p_partkey, p_partkey%5 IN (0,1,3) product FROM part",
     "client_addresses": """SELECT event_id, CASE WHEN event_id%3=0 THEN '1.2.3.'||user_id WHEN event_id%2=0 THEN '4.4.4.'||user_id ELSE 'unknown' END address FROM events""",
     "dates": """WITH o AS (SELECT *, o_orderdate + to_hours(CAST(o_orderkey%24 AS INTEGER)) t FROM orders)

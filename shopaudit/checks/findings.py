@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from ..functions import scalars, urls
 from ..functions.text import escape_html, excerpt, has_term, lower_first, match_form, primary_language
 from ..operators import classify
-from ..session import built_once, derive, first_by, stored
+from ..session import built_once, derive, first_by, let, stored
 from ..vocab import copy, rules
 from .signals import evidence_item, page_signals
 
@@ -142,18 +142,19 @@ def claim_rows(signals: DataFrame) -> DataFrame:
     return first.filter(F.col("kind").isNotNull()).select("site", "position", "item", "url", "kind", "text")
 
 
-def reviewed_claims(claims: DataFrame, verdicts: DataFrame | None) -> DataFrame:
-    """Claims with verdicts: the first forty candidates of a site are numbered and joined to the first valid verdict.
+def reviewed_claims(claims: DataFrame, verdicts: DataFrame | None, sent_most: int = rules.CLAIM_SENTENCES) -> DataFrame:
+    """Claims with verdicts: the first ``sent_most`` candidates of a site, as many as one review takes, are numbered and
+    joined to the first valid verdict. Tasks keep that many rows of a site before the shuffle.
 
     ``verdicts``: (site, seq, idx, verdict, rewording, reason). Unknown verdicts and numbers out of range are ignored.
     """
     candidates = claims.filter(F.col("kind") == "candidate")
-    rank = F.row_number().over(Window.partitionBy("site").orderBy("position", "item")) - 1
-    sent = candidates.withColumn("idx", rank).filter(F.col("idx") < rules.CLAIM_SENTENCES)
+    rank = F.row_number().over(Window.partitionBy("site").orderBy("position", "item"))
+    sent = candidates.withColumn("rank", rank).filter(F.col("rank") <= sent_most).withColumn("idx", F.col("rank") - 1).drop("rank")
     if verdicts is None:
         return sent.select("*", F.lit(None).cast("string").alias("verdict"), F.lit(None).cast("string").alias("rewording"),
                            F.lit(None).cast("string").alias("reason"))
-    valid = verdicts.filter(F.col("verdict").isin(*rules.VERDICTS) & F.col("idx").between(0, rules.CLAIM_SENTENCES - 1)
+    valid = verdicts.filter(F.col("verdict").isin(*rules.VERDICTS) & F.col("idx").between(0, sent_most - 1)
                             & F.col("reason").isNotNull())
     first = first_by(valid, ["site", "idx"], [F.col("seq")]).select("site", "idx", "verdict", "rewording", "reason")
     return sent.join(first, ["site", "idx"], "left")
@@ -238,7 +239,7 @@ def listed(rows: DataFrame) -> DataFrame:
     shown = rows.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= INLINE)
     arrays = shown.groupBy("site", "grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "url", "quote"))),
                                                           lambda e: F.struct(e["url"], e["quote"])).alias("evidence"))
-    # Order-free digest of all evidence pages, for the rare list that is longer than what a finding carries.
+    # Order-free digest of all evidence pages, the same as ``page_digest`` of a list that holds them all.
     pages = rows.select("site", "grp", "url").distinct().groupBy("site", "grp").agg(
         F.count("*").alias("n"), F.bit_xor(F.xxhash64("url")).alias("a"), F.bit_xor(F.xxhash64("url", F.lit(7))).alias("b"))
     sizes = rows.groupBy("site", "grp").agg(F.count("*").alias("total"))
@@ -247,6 +248,16 @@ def listed(rows: DataFrame) -> DataFrame:
         "evidence", "total", F.concat_ws("|", "n", "a", "b").alias("digest"))))).alias("lists"))
 
 
+def page_digest(pages: Column) -> Column:
+    """Order-free digest of the distinct addresses of an array: their number and two sums without carry of their hashes."""
+    def of(distinct):
+        parts = [F.aggregate(F.transform(distinct, hashed), F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b))
+                 for hashed in (lambda u: F.xxhash64(u), lambda u: F.xxhash64(u, F.lit(7)))]
+        return F.concat_ws("|", F.size(distinct).cast("long"), *parts)
+
+    return let(F.array_distinct(pages), of)
+
+
 def _fix(code: str, html: Column | None = None) -> Column:
     return F.struct(F.lit(copy.SUMMARIES[code]).alias("summary"),
                     (F.lit(None).cast("string") if html is None else html).alias("html"))
@@ -507,14 +518,15 @@ def audit(documents: DataFrame, now: str, verdicts: DataFrame | None = None, fai
     details = found.select("site", "position", "f.*", "lists")
     total = F.when(F.col("grp") != "", F.coalesce(F.element_at("lists", F.col("grp"))["total"], F.lit(0)))
     long_list = F.coalesce(total > INLINE, F.lit(False))
-    long_print = F.substring(F.translate(F.base64(F.unhex(F.sha2(F.concat_ws(
-        "|", "code", "status", F.element_at("lists", F.col("grp"))["digest"]), 256))), "+/=", "-_"), 1, 22)
+    # One rule for lists of any length: the digest of all addresses, whether or not the finding carries them all.
+    digest = F.when(long_list, F.element_at("lists", F.col("grp"))["digest"]).otherwise(
+        page_digest(F.coalesce("evidence.url", F.array().cast("array<string>"))))
+    print_ = F.substring(F.translate(F.base64(F.unhex(F.sha2(F.concat_ws("|", "code", "status", digest), 256))), "+/=", "-_"), 1, 22)
     findings = details.join(F.broadcast(definitions(documents.sparkSession)), "code").select(
         "site", "position", "code", "status", "severity", "title", "detail", "evidence",
         F.size("evidence").cast("long").alias("shown"),
         F.when(long_list, total).otherwise(F.size("evidence")).cast("long").alias("evidence_total"),
-        F.when(long_list, long_print).otherwise(
-            scalars.fingerprint(F.col("code"), F.col("status"), F.col("evidence.url"))).alias("fingerprint"),
+        print_.alias("fingerprint"),
         "citation", "fix", "meta", "grp")
     return Audit(findings.drop("grp", "shown"), full_evidence(findings, rows))
 

@@ -234,8 +234,7 @@ def claim_sentences(lang: Column, s: Column, f: Column, environmental: dict, off
                     self_label: list) -> Column:
     """Sentences that may be environmental claims: place, match form (the key), the text and what it counts as.
 
-    Sentences that match no vocabulary on any page cannot win or block a place, so they are left out here. Very long
-    ones are kept, because only their beginning is matched while the whole sentence is the key.
+    Sentences that match no vocabulary on any page cannot win or block a place, so they are left out here.
     """
     every = sorted({t for ts in environmental.values() for t in ts} | set(neutrality) | set(self_label))
     primary = F.coalesce(F.get(F.split(F.lower(lang), "[-_]"), 0), F.lit(""))
@@ -250,16 +249,13 @@ def claim_sentences(lang: Column, s: Column, f: Column, environmental: dict, off
         return chain.otherwise(has_term(form, [t for ts in environmental.values() for t in ts]))
 
     def describe(x: Column, i: Column) -> Column:
-        start = F.when(F.length(x["text"]) <= rules.CLAIM_CHARS, x["form"]).otherwise(
-            match_form(F.substring(x["text"], 1, rules.CLAIM_CHARS)))
-        kind = let(start, lambda form: F.when(has_term(form, self_label), "self_made_label")
+        kind = let(x["form"], lambda form: F.when(has_term(form, self_label), "self_made_label")
                    .when(has_term(form, neutrality) & offsets, "offset_neutrality")
                    .when(by_language(form), "candidate"))
         return F.struct(i.cast("int").alias("item"), x["form"].alias("key"),
-                        F.substring(x["text"], 1, rules.CLAIM_CHARS).alias("text"), kind.alias("kind"))
+                        x["text"].alias("text"), kind.alias("kind"))
 
-    relevant = lambda x: (F.length(x["text"]) > rules.CLAIM_CHARS) | has_term(x["form"], every)
+    relevant = lambda x: has_term(x["form"], every)
     placed = F.transform(s, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
     found = F.transform(F.filter(placed, lambda p: relevant(p["x"])), lambda p: describe(p["x"], p["i"]))
-    hit = has_term(f, every) | f.rlike(r"[^\n]{%d}" % (rules.CLAIM_CHARS // 4))
-    return F.when(hit, found)
+    return F.when(has_term(f, every), found)

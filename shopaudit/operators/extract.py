@@ -14,9 +14,6 @@ from ..session import built_once, let
 from ..vocab import crawl as vocab
 
 # Limits of the extraction.
-HTML_CHARS = 3_000_000
-TEXT_CHARS = 60_000
-SCRIPTS = 100
 SHELL_TEXT = 200
 SHELL_SCRIPTS = 5
 
@@ -186,12 +183,12 @@ def script_parts(opaque: Column) -> Column:
 
 
 def script_urls(scripts: Column, base: Column) -> Column:
-    """Addresses of running scripts, and addresses that inline scripts load from, distinct, the first hundred."""
+    """Addresses of running scripts, and addresses that inline scripts load from, distinct."""
     running = F.filter(scripts, lambda s: s["type"].isin(*SCRIPT_TYPES))
     found = F.flatten(F.transform(running, lambda s: F.when(s["src"] != "", F.array(urls.resolve(s["src"], base)))
                                   .otherwise(F.transform(F.regexp_extract_all(s["code"], F.lit(INLINE_URL), F.lit(0)),
                                                          lambda u: F.regexp_replace(u, "[;,.]+$", "")))))
-    return F.slice(F.array_distinct(F.filter(found, lambda u: u != "")), 1, SCRIPTS)
+    return F.array_distinct(F.filter(found, lambda u: u != ""))
 
 
 def images_of(markup: Column, base: Column) -> Column:
@@ -218,7 +215,7 @@ def meta_of(markup: Column) -> Column:
 
 
 def text_of(markup: Column) -> Column:
-    """Visible text: one line per block, single spaces, the first 60,000 characters."""
+    """Visible text: one line per block, single spaces, uncut."""
     body = F.regexp_replace(markup, rf"(?is)^.*?{_open('body')}|</body\s*>.*\z", "")
     body = F.when(markup.rlike(r"(?i)<body[\s>]"), body).otherwise(
         F.regexp_replace(markup, rf"(?is)<head(?=[\s>]){ATTRIBUTES}>.*?</head\s*>|{_open('title')}.*?</title\s*>|<!doctype[^>]*+>",
@@ -227,7 +224,7 @@ def text_of(markup: Column) -> Column:
     lined = F.regexp_replace(body, rf"(?is)</?(?:{blocks}|br)(?=[\s/>]){ATTRIBUTES}>", "\n")
     plain = decode_references(F.regexp_replace(lined, rf"(?is)</?[a-z]{ATTRIBUTES}>|<![^>]*+>", ""))
     lines = F.regexp_replace(plain, rf"[{SPACE}]*\n[{SPACE}]*", "\n")
-    return F.substring(trim_all(F.regexp_replace(lines, f"[{text.BLANK}]+", " ")), 1, TEXT_CHARS)
+    return trim_all(F.regexp_replace(lines, f"[{text.BLANK}]+", " "))
 
 
 def is_shell(markup: Column, page_text: Column, scripts: Column) -> Column:
@@ -299,7 +296,7 @@ def documents(pages: DataFrame) -> DataFrame:
     Every step is a projection: the html column is read once per task and never shuffled, and columns nobody asks for
     are not computed.
     """
-    parsed = pages.withColumn("html", F.substring("html", 1, HTML_CHARS)).withColumns(_parse_columns())
+    parsed = pages.withColumns(_parse_columns())
     read = parsed.withColumn("_base", _base_column()).withColumns(_read_columns())
     return read.withColumns(_judged_columns()).select(
         "page_id", "site", "position", "url", "final_url", "status_code", "kind", "title", "lang", "headings", "links",

@@ -2,8 +2,9 @@
 from __future__ import annotations
 
 import functools
-import tempfile
+import atexit
 import uuid
+import weakref
 from collections.abc import Callable, Sequence
 
 from pyspark import SparkContext
@@ -20,9 +21,13 @@ SETTINGS = {
     "spark.sql.optimizer.expression.nestedPruning.enabled": "false",
     # Case mapping by the JVM: the same results here and several times faster than ICU.
     "spark.sql.icu.caseMappings.enabled": "false",
+    # JSON-LD blocks that repeat a key are still read.
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 
+_FOLDERS: set[str] = set()
+
 # Call-site capture makes every column function several times slower to call; only a new session can turn it off.
 STATIC_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
@@ -35,12 +40,23 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or a fresh one where that is unset (tests, one machine)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="shopaudit-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    """This session's folder in a place all executors see: spark.checkpoint.dir or, where that is unset, the warehouse.
+
+    What a session has written there goes when its driver ends.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
+    folder = f"{base.rstrip('/')}/stages-{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_removed, spark, folder)
+    return folder
+
+
+def _removed(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of intermediate tables through Spark's own file system; nothing to do once the session is gone."""
+    if spark.sparkContext._jsc is not None:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -56,14 +72,14 @@ def built_once(build: Callable) -> Callable:
     The column expressions of the extraction and the checks have thousands of nodes, and creating one node from Python
     takes a round trip; they depend on nothing but column names and vocabularies.
     """
-    kept: dict = {}
+    kept: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
     @functools.wraps(build)
     def wrapper(*args):
-        key = (id(SparkContext._gateway), repr(args))
-        if key not in kept:
-            kept[key] = build(*args)
-        return kept[key]
+        own = kept.setdefault(SparkContext._gateway, {})
+        if repr(args) not in own:
+            own[repr(args)] = build(*args)
+        return own[repr(args)]
     return wrapper
 
 

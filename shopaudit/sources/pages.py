@@ -5,7 +5,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars, urls
-from ..operators.extract import HTML_CHARS
 from ..session import positions
 
 EXCERPT_CHARS = 1000
@@ -23,8 +22,7 @@ def read_pages(raw: DataFrame) -> DataFrame:
     final = F.col("final_url") if "final_url" in have else F.col("url")
     pages = pages.withColumns({
         "final_url": final,
-        "status_code": F.col("status_code") if "status_code" in have else F.lit(200),
-        "html": F.substring("html", 1, HTML_CHARS)})
+        "status_code": F.col("status_code") if "status_code" in have else F.lit(200)})
     if "site" not in have:
         pages = pages.withColumn("site", urls.site_key(urls.parse(F.col("final_url"))))
     if "position" not in have:

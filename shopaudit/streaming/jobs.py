@@ -30,32 +30,40 @@ TIMEOUT_SCHEMA = "scan_id long, started_at timestamp, outcome string"
 
 
 def _watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One scan: remember its start, forget it when it ends, report it when ten minutes pass."""
-    started = state.get[0] if state.exists else None
+    """One scan: remember its start, forget it when it ends, report it when ten minutes pass.
+
+    An end that comes before its start is remembered until the watermark has passed it.
+    """
+    started, over = state.get if state.exists else (None, None)
     if state.hasTimedOut:
         state.remove()
-        yield pd.DataFrame({"scan_id": [key[0]], "started_at": [pd.Timestamp(started, unit="us")], "outcome": ["failed"]})
+        yield pd.DataFrame({"scan_id": [key[0]], "started_at": [pd.NaT if started is None else pd.Timestamp(started, unit="us")],
+                            "outcome": ["failed" if over is None else "finished"]})
         return
-    ended = False
     for batch in batches:
         begins = batch.loc[batch["kind"] == "started", "ts"]
         if len(begins):
             first = int(begins.min().value // 1000)
             started = first if started is None else min(started, first)
-        ended = ended or bool((batch["kind"] == "finished").any())
-    if ended:
+        ends = batch.loc[batch["kind"] == "finished", "ts"]
+        if len(ends):
+            over = max(over or 0, int(ends.max().value // 1000))
+    if over is not None and started is not None:
         if state.exists:
             state.remove()
-        yield pd.DataFrame({"scan_id": [key[0]], "started_at": [pd.Timestamp(started, unit="us") if started else pd.NaT], "outcome": ["finished"]})
+        yield pd.DataFrame({"scan_id": [key[0]], "started_at": [pd.Timestamp(started, unit="us")], "outcome": ["finished"]})
+    elif over is not None:
+        state.update((None, over))
+        state.setTimeoutTimestamp(max(over // 1000 + 1, state.getCurrentWatermarkMs() + 1))
     elif started is not None:
-        state.update((started,))
+        state.update((started, None))
         state.setTimeoutTimestamp(max(started // 1000 + STALE_MINUTES * 60_000, state.getCurrentWatermarkMs() + 1))
 
 
 def scan_timeouts(events: DataFrame, delay: str = "1 minute") -> DataFrame:
     """Scan events (scan_id, kind started/finished, ts): finished scans, and failures of those that never end."""
     return events.withWatermark("ts", delay).groupBy("scan_id").applyInPandasWithState(
-        _watch, TIMEOUT_SCHEMA, "started long", "append", GroupStateTimeout.EventTimeTimeout)
+        _watch, TIMEOUT_SCHEMA, "started long, ended long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def first_deliveries(events: DataFrame, key: str = "event_id", delay: str = "1 hour") -> DataFrame:

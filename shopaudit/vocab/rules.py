@@ -89,7 +89,6 @@ SELF_LABEL = terms("""
     nuestro sello ecologico, nuestra etiqueta ecologica, nuestro sello de sostenibilidad,
     ons eigen keurmerk, ons duurzaamheidskeurmerk, ons eco keurmerk, ons eco label, ons milieukeurmerk""")
 CLAIM_SENTENCES = 40
-CLAIM_CHARS = 400
 VERDICTS = ["generic_unsubstantiated", "specific_substantiated", "not_environmental"]
 
 # Accessibility statement wording and titles.

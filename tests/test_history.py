@@ -44,6 +44,26 @@ def test_scan_timeouts(spark, tmp_path):
     assert {(r["scan_id"], r["outcome"]) for r in spark.read.parquet(out).collect()} == {(1, "finished"), (2, "failed")}
 
 
+def test_scan_that_ends_before_it_starts(spark, tmp_path):
+    """The end arrives one batch before the start, both within the delay: one row, finished."""
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    batches = [[(1, "finished", "2024-01-01 00:05:00")], [(1, "started", "2024-01-01 00:04:30")], [(9, "other", "2024-01-01 02:00:00")],
+               [(9, "other", "2024-01-01 03:00:00")]]
+    for rows in batches:
+        events = spark.createDataFrame(rows, "scan_id long, kind string, t string").select("scan_id", "kind", F.col("t").cast("timestamp").alias("ts"))
+        events.coalesce(1).write.mode("append").parquet(folder)
+        stream = jobs.scan_timeouts(spark.readStream.schema(events.schema).parquet(folder))
+        q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    assert [(r["scan_id"], r["outcome"], r["started_at"] is not None) for r in spark.read.parquet(out).collect()] == [(1, "finished", True)]
+
+
+def test_slug_expands_ligatures(spark):
+    from shopaudit.functions import text
+    rows = spark.createDataFrame([("ﬁsh & Chips",), ("½ price ﬁ ol",), ("Straße",)], "t string").select(text.slug(F.col("t"))).collect()
+    assert [r[0] for r in rows] == ["fish-chips", "1-2-price-fi-ol", "stra-e"]
+
+
 def test_every_statement_belongs_to_a_query():
     entry = importlib.import_module("__spark_entry__")
     assert set(entry.oracle_sql()) <= set(entry.queries())
