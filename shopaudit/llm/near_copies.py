@@ -19,7 +19,8 @@ REGISTERS = BANDS * BAND_ROWS
 MANTISSA_BITS = 10
 #: Pairs estimated below this are not verified: over four standard errors of 63 registers below 0.85.
 ESTIMATE = 0.65
-BLOCK = 64
+#: Members of a block: with sketches alone, and with whole sets.
+SKETCH_BLOCK, BLOCK = 256, 64
 CACHE_WORDS = 400_000
 #: Expected share of equal registers of unrelated large sets at 10 mantissa bits (HyperMinHash, section on collisions).
 COLLISION = 0.169919487159739 / 2 ** MANTISSA_BITS
@@ -200,23 +201,23 @@ def _to_hubs(members: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
         _likely(F.col("line_u"), F.col("line_v"))).select("u", "v")
 
 
-def _meetings(members: DataFrame, lines: DataFrame, columns: list[str]) -> DataFrame:
+def _meetings(members: DataFrame, lines: DataFrame, columns: list[str], block: int) -> DataFrame:
     """(rows_a, rows_b): pairs of blocks of members (bucket, page_id, component) of one bucket, with ``columns`` of lines.
 
-    A bucket's members are dealt to blocks of about BLOCK: those of a large component to blocks of their own, the others
+    A bucket's members are dealt to blocks of about ``block``: those of a large component to blocks of their own, the others
     to mixed ones by component. Only blocks that can hold different components meet, so a group of copies that is one
     component costs nothing, and no task gets a whole bucket.
     """
     counts = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     # One row per bucket with several components; everything else is settled.
-    several = counts.groupBy("bucket").agg(F.count("*").alias("kinds"), F.sum(F.when(F.col("n") < BLOCK, F.col("n")).otherwise(0)).alias("loose")) \
+    several = counts.groupBy("bucket").agg(F.count("*").alias("kinds"), F.sum(F.when(F.col("n") < block, F.col("n")).otherwise(0)).alias("loose")) \
         .filter("kinds > 1")
     dealt = members.join(counts, ["bucket", "component"]).join(several, "bucket")
-    own = F.col("n") >= BLOCK
+    own = F.col("n") > block - 1
     dealt = dealt.select(
         "bucket", "page_id", "component", F.when(own, F.col("component")).otherwise(F.lit(None).cast("long")).alias("group"),
-        F.when(own, F.pmod(F.xxhash64("page_id"), F.ceil(F.col("n") / BLOCK)))
-        .otherwise(F.pmod(F.xxhash64("component"), F.ceil(F.greatest("loose", F.lit(1)) / BLOCK))).alias("block"))
+        F.when(own, F.pmod(F.xxhash64("page_id"), F.ceil(F.col("n") / block)))
+        .otherwise(F.pmod(F.xxhash64("component"), F.ceil(F.greatest("loose", F.lit(1)) / block))).alias("block"))
     blocks = dealt.join(lines, "page_id").groupBy("bucket", "group", "block").agg(
         F.collect_list(F.struct("page_id", "component", "n_shingles", "registers", *columns)).alias("rows"))
     a = blocks.select("bucket", F.col("group").alias("group_a"), F.col("block").alias("block_a"), F.col("rows").alias("rows_a"))
@@ -302,11 +303,11 @@ def near_copies(documents: DataFrame, percent: int = 85) -> DataFrame:
     sets = stored(_whole_sets(documents, wanted), "sets")
     links = stored(_verified(pairs, sets, percent), "links")
     joined = stored(_labelled(ids, components(links)), "joined")
-    likely = stored(_joined(_meetings(members.join(joined, "page_id"), lines, []), percent, False), "likely")
+    likely = stored(_joined(_meetings(members.join(joined, "page_id"), lines, [], SKETCH_BLOCK), percent, False), "likely")
     families = stored(components(likely).select(F.col("node").alias("page_id"), F.col("component").alias("bucket")), "families")
     rest = families.join(sets, "page_id", "left_anti").select("page_id")
     sets = sets.union(stored(_whole_sets(documents, rest), "sets"))
-    meetings = _meetings(families.join(joined, "page_id"), lines.join(sets, "page_id"), ["shingles"])
+    meetings = _meetings(families.join(joined, "page_id"), lines.join(sets, "page_id"), ["shingles"], BLOCK)
     links = links.union(stored(_joined(meetings, percent, True), "links"))
     joined = stored(_labelled(ids, components(links)), "joined")
     classed = _labelled(classes.select("set_key", "page_id"), joined.select(F.col("page_id").alias("node"), "component")).select("set_key", "component")
