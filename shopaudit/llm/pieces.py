@@ -8,6 +8,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import keyed, small_batches, worker_cache
@@ -15,7 +16,7 @@ from .common import keyed, small_batches, worker_cache
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
-CACHE_WORDS = 300_000
+CACHE_WORDS, CACHE_IDS = 300_000, 4_000_000
 LONG_WORD = 64
 SCHEMA = "page_id long, ids array<int>, text string, decoded string"
 
@@ -167,9 +168,11 @@ class Coder:
         # A line end that no piece holds parts words, too.
         end = "\n" if self.byte_ids and "\n" not in self.trie.codes else ""
         self.word = re.compile(f"{SPACE}*[^{SPACE}{end}]+|{SPACE}+" + ("|\n" if end else ""))
-        self.known: dict[str, list[int]] = {}
+        self.forget()
         self.sounds = [p.replace(SPACE, " ") if k in (NORMAL, DEFINED) else "" for p, k in zip(vocabulary.pieces, kinds)]
         self.special = {i for i, k in enumerate(kinds) if k in (BYTE, UNKNOWN)}
+        self.sound_bytes = pa.array([bytes([vocabulary.bytes_of[i]]) if i in vocabulary.bytes_of else
+                                     " ⁇ ".encode() if i == self.unknown else x.encode() for i, x in enumerate(self.sounds)], pa.binary())
 
     def normalised(self, text: str) -> str:
         """Blanks as markers, with one in front, as the model's normaliser says."""
@@ -211,8 +214,11 @@ class Coder:
                 ids.append(self.unknown)
         return ids
 
-    def best_of_many(self, words: list[str]) -> dict[str, list[int]]:
-        """``best`` for many short words at once: all words take each step of the trie together."""
+    def best_of_many(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, list[str]]:
+        """``best`` for many short words at once: all words take each step of the trie together.
+
+        Returns the words, how many ids each has, the ids in one array, and the words with unknown signs, left to ``best``.
+        """
         trie, scores = self.trie, np.array(self.scores)
         words = sorted(words, key=len, reverse=True)
         size = np.array([len(w) for w in words])
@@ -247,7 +253,7 @@ class Coder:
             total = score[alone, start] + self.worst
             alone, total = alone[total > score[alone, start + 1]], total[total > score[alone, start + 1]]
             score[alone, start + 1], start_of[alone, start + 1], piece_of[alone, start + 1] = total, start, -1
-        order, steps, live, at = np.arange(rows), [], np.arange(rows), size.copy()
+        steps, live, at = [], np.arange(rows), size.copy()
         while len(live):
             piece = np.full(rows, -2, np.int64)
             piece[live] = piece_of[live, at]
@@ -256,33 +262,59 @@ class Coder:
             live, at = live[at > 0], at[at > 0]
         table = np.stack(steps[::-1], axis=1)
         known = (table != -1).all(axis=1)
-        lists = [[x for x in row if x >= 0] for row in table.tolist()]
-        return {words[i]: lists[i] if known[i] else self.best(words[i]) for i in order}
+        held = (table >= 0) & known[:, None]
+        return ([words[i] for i in np.flatnonzero(known)], held.sum(axis=1)[known], table[held],
+                [words[i] for i in np.flatnonzero(~known)])
+
+    def forget(self) -> None:
+        """Empty the cache: the place of each known word, and at each place where its ids start and how many there are."""
+        self.known: dict[str, int] = {}
+        self.starts, self.counts, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def encode_many(self, texts: list[str]) -> list[list[int]]:
+    def learn(self, missing: list[str]) -> list[str]:
+        """Add words to the cache. Returns the long ones among them."""
+        short = [w for w in missing if len(w) <= LONG_WORD and "\0" not in w]
+        long = [w for w in missing if len(w) > LONG_WORD or "\0" in w]
+        words, counts, parts, rest = [], [self.counts], [self.ids], list(long)
+        for at in range(0, len(short), 20_000):
+            known, n, ids, others = self.best_of_many(short[at:at + 20_000])
+            words += known
+            rest += others
+            counts.append(n)
+            parts.append(ids.astype(np.int32))
+        lists = [self.best(w) for w in rest]
+        counts.append(np.array([len(x) for x in lists], np.int64))
+        parts.append(np.fromiter(chain.from_iterable(lists), np.int32))
+        self.known.update(zip(words + rest, range(len(self.counts), len(self.counts) + len(missing))))
+        self.counts, self.ids = np.concatenate(counts), np.concatenate(parts)
+        self.starts = np.cumsum(self.counts) - self.counts
+        return long
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, and where each text's ids begin, with the end of the last."""
         texts = [self.normalised(t) for t in texts]
         if not self.by_word:
-            return [self.best(t) for t in texts]
+            lists = [self.best(t) for t in texts]
+            return np.fromiter(chain.from_iterable(lists), np.int32), np.cumsum([0, *map(len, lists)])
         split = [self.word.findall(t) for t in texts]
-        every = set(chain.from_iterable(split))
+        words = list(chain.from_iterable(split))
+        every = set(words)
         missing = every.difference(self.known)
-        if len(self.known) + len(missing) > CACHE_WORDS:
-            self.known.clear()
+        if len(self.known) + len(missing) > CACHE_WORDS or len(self.ids) > CACHE_IDS:
+            self.forget()
             missing = every
-        missing = list(missing)
-        short = [w for w in missing if len(w) <= LONG_WORD and "\0" not in w]
-        for at in range(0, len(short), 20_000):
-            self.known.update(self.best_of_many(short[at:at + 20_000]))
-        long = {w: self.best(w) for w in missing if w not in self.known}
-        self.known.update(long)
-        find = self.known.__getitem__
-        out = [list(chain.from_iterable(map(find, words))) for words in split]
+        long = self.learn(list(missing)) if missing else []
+        places = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         for word in long:
             del self.known[word]
-        return out
+        counts = self.counts[places]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        # An id's place in the cache: where its word starts there, and how far the id is inside the word.
+        ids = self.ids[np.repeat(self.starts[places] - ends[:-1], counts) + np.arange(ends[-1])]
+        return ids, ends[np.cumsum([0, *map(len, split)])]
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_many([text])[0]
+        return self.encode_all([text])[0].tolist()
 
     def decode(self, ids: list[int]) -> str:
         """Markers become blanks, byte pieces the text of their bytes, and the blank in front goes."""
@@ -301,6 +333,19 @@ class Coder:
             text = "".join(parts) + pending.decode("utf-8", "replace")
         return text[1:] if self.vocabulary.prefix_space and text.startswith(" ") else text
 
+    def decode_all(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        """``decode`` for many texts, as from ``encode_all``: the bytes of all pieces in a row, cut at the texts' bounds."""
+        if not len(ids):
+            return pa.array([""] * (len(bounds) - 1), pa.string())
+        sounds = self.sound_bytes.take(pa.array(ids))
+        ends = np.frombuffer(sounds.buffers()[1], np.int32, len(ids) + 1)
+        out = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(np.ascontiguousarray(ends[bounds])), sounds.buffers()[2]])
+        try:
+            out = out.cast(pa.string())
+        except pa.ArrowInvalid:  # Byte pieces that are no UTF-8 in some text.
+            return pa.array([self.decode(ids[a:b].tolist()) for a, b in zip(bounds, bounds[1:])], pa.string())
+        return pc.if_else(pc.starts_with(out, " "), pc.utf8_slice_codeunits(out, 1), out) if self.vocabulary.prefix_space else out
+
 
 def coder(path: str) -> Coder:
     cache = worker_cache()
@@ -326,10 +371,10 @@ def encode_pages(documents: DataFrame, model: str) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = coder(model)
         for batch in batches:
-            texts = [x.as_py() or "" for x in batch.column(1)]
-            ids = work.encode_many(texts)
+            texts = pc.fill_null(batch.column(1), "")
+            ids, bounds = work.encode_all(texts.to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string()),
-                 pa.array([work.decode(i) for i in ids], pa.string())], ["page_id", "ids", "text", "decoded"])
+                [batch.column(0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32())),
+                 texts, work.decode_all(ids, bounds)], ["page_id", "ids", "text", "decoded"])
 
     return keyed(documents, "page_id", "text").mapInArrow(task, SCHEMA)
