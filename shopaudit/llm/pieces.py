@@ -310,7 +310,8 @@ class Coder:
         counts = self.counts[places]
         ends = np.concatenate([[0], np.cumsum(counts)])
         # An id's place in the cache: where its word starts there, and how far the id is inside the word.
-        ids = self.ids[np.repeat(self.starts[places] - ends[:-1], counts) + np.arange(ends[-1])]
+        first = (self.starts[places] - ends[:-1]).astype(np.int32)
+        ids = self.ids[np.repeat(first, counts) + np.arange(ends[-1], dtype=np.int32)]
         return ids, ends[np.cumsum([0, *map(len, split)])]
 
     def encode(self, text: str) -> list[int]:
