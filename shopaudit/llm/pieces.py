@@ -366,8 +366,8 @@ def encode_pages(documents: DataFrame, model: str) -> DataFrame:
     Returns one row per row with a page_id: page_id, ids, text (as read, null as empty), decoded. An empty text has no ids.
     Texts need not fit one batch; rows that repeat are coded alike. Other columns are ignored; an empty table gives no rows.
     """
-    # Larger batches share more words; their bytes are bounded all the same.
-    small_batches(documents.sparkSession, 4000)
+    # Every word of a batch is in memory at once, so its bytes are bounded; words are shared between batches by the cache.
+    small_batches(documents.sparkSession, 2000, "8m")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = coder(model)
