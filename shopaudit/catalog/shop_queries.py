@@ -34,6 +34,21 @@ def shop_findings(spark, d):
     return checks.audit(_documents(spark, d), NOW).findings.select("site", "code", "status")
 
 
+def shop_evidence(spark, d):
+    """Every quote of every finding, with its place in the finding."""
+    found = checks.audit(_documents(spark, d), NOW).findings
+    return found.select("site", "code", F.posexplode("evidence").alias("place", "e")).select(
+        "site", "code", F.col("place").cast("long").alias("place"), "e.url", "e.quote")
+
+
+def shop_reports(spark, d):
+    """What a report says about each finding besides its quotes: weight, law, and the markup it suggests."""
+    found = checks.audit(_documents(spark, d), NOW).findings
+    return found.select("site", "code", "severity", F.col("citation.article").alias("article"), "evidence_total",
+                        F.when(F.col("code").isin("withdrawal_function", "accessibility_statement", "legal_notice", "a11y_sample"),
+                               F.col("fix.html")).alias("html"))
+
+
 def shop_plan(spark, d):
     plan = crawl.crawl_plan(shops.shop_seeds(spark, d), _documents(spark, d), shops.shop_robots(spark, d))
     return plan.groupBy("site", "slot", "state").agg(F.count("*").alias("n"))
@@ -53,7 +68,7 @@ def shop_failures(spark, d):
     return crawl.failure_reasons(shops.shop_seeds(spark, d), broken, None)
 
 
-QUERIES = {f.__name__: f for f in (shop_kinds, shop_contents, shop_findings, shop_plan, shop_limitations, shop_failures)}
+QUERIES = {f.__name__: f for f in (shop_kinds, shop_contents, shop_findings, shop_evidence, shop_reports, shop_plan, shop_limitations, shop_failures)}
 
 _SHOPS = """WITH s AS (SELECT s_suppkey k, 'shop'||s_suppkey||'.'||['de','com','fr','example'][s_suppkey%4+1] site, s_suppkey%20=19 shell,
    (SELECT count(*) FROM part WHERE p_partkey//20=s_suppkey AND p_partkey%20<6) goods FROM supplier)"""
@@ -63,7 +78,60 @@ _PAGES = _SHOPS + """, fixed AS (SELECT k, site, shell, goods, unnest([['home','
      UNION ALL SELECT k, site, shell, 'product', 1 FROM s, range(6) g(i) WHERE NOT shell AND i<goods
      UNION ALL SELECT k, site, shell, 'account', 2 FROM s WHERE NOT shell)"""
 
+# The quotes a reader finds on the pages of each shop; o is their order inside a finding.
+_EVIDENCE = _SHOPS + """, r AS (SELECT *, 'https://'||site root, (SELECT min(p_partkey) FROM part WHERE p_partkey//20=k AND p_partkey%20<6) good FROM s),
+   h AS (SELECT *, root||'/' home, (SELECT p_retailprice FROM part WHERE p_partkey=good) price FROM r),
+   opened AS (SELECT k, unnest([[0,1],[1,(k%6<>5)::INT],[2,(k%7<>6)::INT],[3,(k%5<>4)::INT],[4,1]]) x, root,
+              ['/','/imprint','/returns','/access','/cart'] paths FROM h WHERE NOT shell),
+   seen AS (SELECT k, x[1] pos, root||paths[x[1]+1] url FROM opened WHERE x[2]=1
+            UNION ALL SELECT k, 5+p_partkey%20, root||'/products/p'||p_partkey FROM h JOIN part ON p_partkey//20=k AND p_partkey%20<6 WHERE NOT shell),
+   sample AS (SELECT k, 10*pos o, url, 'The html element has no lang attribute' quote, 1 AS strong FROM seen WHERE k%5=3
+     UNION ALL SELECT k, 1, home, '2 h1 headings: "Shop '||k||'", "Again"', 0 FROM h WHERE k%8=1 AND NOT shell
+     UNION ALL SELECT k, 2, home, 'Image without alt attribute: '||root||'/hero.jpg', 1 FROM h WHERE k%5=0 AND NOT shell
+     UNION ALL SELECT k, 4, home, 'Field without a label: "q" (search)', 1 FROM h WHERE k%7=0 AND NOT shell),
+   e AS (
+     SELECT k, 'withdrawal_function' code, 0 o, home url, 'Withdraw from contract here' quote FROM h WHERE NOT shell AND k%4=0
+     UNION ALL SELECT k, 'withdrawal_function', 0, home, 'Withdrawal form' FROM h WHERE NOT shell AND k%4=1
+     UNION ALL SELECT k, 'withdrawal_function', 1, home, 'Return policy' FROM h WHERE NOT shell AND k%4=2 AND k%7=6
+     UNION ALL SELECT k, 'withdrawal_function', 2, home, 'To withdraw please write an e-mail to the shop.' FROM h WHERE NOT shell AND k%4=2
+     UNION ALL SELECT k, 'withdrawal_policy', 0, root||'/returns', CASE k%7 WHEN 4 THEN 'Returns' ELSE 'Send goods back within '||
+       ['14 days.','fourteen days.','30 days.','7 days.','','one month.'][k%7+1] END FROM h WHERE NOT shell AND k%7<>6
+     UNION ALL SELECT k, 'withdrawal_policy', 0, home, CASE WHEN k%2=0 THEN 'Return policy' ELSE 'Withdrawal form' END FROM h WHERE NOT shell AND k%7=6 AND (k%2=0 OR k%4=1)
+     UNION ALL SELECT k, 'green_claims', 0, home, CASE WHEN k%3=1 THEN 'Ask for our eco label today.' ELSE 'This shop is carbon-neutral.' END FROM h WHERE NOT shell AND k%3<>2
+     UNION ALL SELECT k, 'accessibility_statement', 0, root||'/access', CASE WHEN k%5<2 THEN 'We are partially compliant with WCAG.' WHEN k%5=2 THEN 'Form on the statement page'
+       ELSE 'Accessibility' END FROM h WHERE NOT shell AND k%5<>4
+     UNION ALL SELECT k, 'accessibility_statement', 1, root||'/access', 'Tell us' FROM h WHERE NOT shell AND k%5=0
+     UNION ALL SELECT k, 'a11y_sample', o, url, quote FROM (SELECT *, max(strong) OVER (PARTITION BY k) any_strong, row_number() OVER (PARTITION BY k ORDER BY o) n FROM sample) WHERE n<=12
+     UNION ALL SELECT k, 'ai_disclosure', 0, home, 'Crisp chat: https://client.crisp.chat/l.js' FROM h WHERE NOT shell AND k%3=0
+     UNION ALL SELECT k, 'ai_disclosure', 1, home, 'You chat with an AI assistant.' FROM h WHERE NOT shell AND k%6=0
+     UNION ALL SELECT k, 'cookie_parity', 0, home, 'Accept all' FROM h WHERE NOT shell AND k%2=0
+     UNION ALL SELECT k, 'cookie_parity', 1, home, 'Reject all' FROM h WHERE NOT shell AND k%4=0
+     UNION ALL SELECT k, 'cookie_parity', 0, home, 'Cookiebot script: https://consent.cookiebot.com/uc.js' FROM h WHERE NOT shell AND k%4=1
+     UNION ALL SELECT k, 'legal_notice', 0, root||'/imprint', 'Lindenstraße '||(k+1)||' 10115 Berlin' FROM h WHERE NOT shell AND k%6<3
+     UNION ALL SELECT k, 'legal_notice', 1, root||'/imprint', 'Write to info'||k||'@shop.example' FROM h WHERE NOT shell AND k%6 IN (0,1,3)
+     UNION ALL SELECT k, 'legal_notice', 2, root||'/imprint', 'HRB '||(k+10000) FROM h WHERE NOT shell AND k%6 IN (0,2)
+     UNION ALL SELECT k, 'legal_notice', 1, root||'/access', 'Tell us' FROM h WHERE NOT shell AND k%6=5 AND k%5=0
+     UNION ALL SELECT k, 'eu_targeting', 0, root||'/products/p'||good, '€ '||format('{:.2f}', price) FROM h WHERE NOT shell AND good IS NOT NULL AND k%3<>2
+     UNION ALL SELECT k, 'eu_targeting', 1, home, 'We ship to the EU every day.' FROM h WHERE NOT shell AND k%5=2
+     UNION ALL SELECT k, 'eu_targeting', 2, home, 'lang="'||CASE k%5 WHEN 1 THEN 'de' ELSE 'fr' END||'"' FROM h WHERE k%5 IN (1,2)
+     UNION ALL SELECT k, 'eu_targeting', 3, home, 'Domain ends in .'||CASE k%4 WHEN 0 THEN 'de' ELSE 'fr' END FROM h WHERE k%4 IN (0,2))"""
+
 ORACLES = {
+    "shop_evidence": _EVIDENCE + """SELECT site, code, row_number() OVER (PARTITION BY k, code ORDER BY o)-1 AS place, url, quote FROM e JOIN s USING (k)""",
+    "shop_reports": _EVIDENCE + """, c AS (SELECT unnest([['withdrawal_function','high','Art. 11a'],['withdrawal_policy','medium','Art. 6(1)(h) and Art. 9'],
+          ['green_claims','high','Annex I, points 2a, 4a and 4c'],['accessibility_statement','medium','Art. 13(2) and Annex V'],['a11y_sample','low','Annex I'],
+          ['ai_disclosure','medium','Art. 50(1)'],['cookie_parity','medium','Art. 5(3)'],['legal_notice','high','Art. 5(1)'],['eu_targeting','low','Art. 17(1)(c)']]) x),
+        n AS (SELECT k of_k, code of_code, count(*) total FROM e GROUP BY 1, 2),
+        f AS (SELECT *, CASE WHEN k%5 IN (1,2) THEN ['de','fr'][k%5] WHEN k%5=3 AND k%4 IN (0,2) THEN CASE k%4 WHEN 0 THEN 'de' ELSE 'fr' END ELSE 'en' END lang FROM h)
+        SELECT site, x[1] code, x[2] severity, x[3] article, coalesce(total, 0)::BIGINT evidence_total, CASE x[1]
+          WHEN 'withdrawal_function' THEN '<a class="button" href="/withdraw">'||CASE lang WHEN 'de' THEN 'Vertrag hier widerrufen' WHEN 'fr' THEN 'Se rétracter du contrat ici' ELSE 'Withdraw from contract here' END||'</a>'
+          WHEN 'accessibility_statement' THEN '<h1>Accessibility statement</h1>'||chr(10)||'<p>Write to <a href="mailto:accessibility@'||site||'">accessibility@'||site||'</a>.</p>'
+          WHEN 'legal_notice' THEN '<footer><a href="'||CASE WHEN NOT shell AND k%6<>5 THEN '/imprint' WHEN lang='de' THEN '/impressum' WHEN lang='fr' THEN '/mentions-legales' ELSE '/legal-notice' END||'">'||
+            CASE lang WHEN 'de' THEN 'Impressum' WHEN 'fr' THEN 'Mentions légales' ELSE 'Legal notice' END||'</a></footer>'
+          WHEN 'a11y_sample' THEN nullif(concat_ws(chr(10), CASE WHEN k%5=3 AND NOT shell THEN '<html lang="'||lang||'">' END, CASE WHEN k%8=1 OR shell THEN '<h1>Linen shirt</h1>' END,
+            CASE WHEN k%5=0 AND NOT shell THEN '<img src="/shirt.jpg" alt="Linen shirt">' END,
+            CASE WHEN k%7=0 AND NOT shell THEN '<label for="mail">E-mail</label><input id="mail" name="mail" type="email">' END), '') END html
+        FROM f CROSS JOIN c LEFT JOIN n ON of_k=k AND of_code=x[1]""",
     "shop_contents": _SHOPS + """SELECT site, CASE WHEN shell THEN 0 ELSE goods + CASE k%4 WHEN 0 THEN 2 WHEN 2 THEN 1 ELSE 0 END END buttons,
         CASE WHEN shell THEN 0 ELSE (k%7=0)::INT + (k%5=2)::INT END::BIGINT forms, CASE WHEN shell THEN 0 ELSE 1 END::BIGINT images,
         CASE WHEN shell THEN 6 ELSE 1 + (k%3=0)::INT + (k%4=1)::INT END::BIGINT scripts, CASE WHEN shell THEN 0 ELSE goods END products FROM s""",

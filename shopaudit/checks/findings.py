@@ -240,10 +240,10 @@ def listed(rows: DataFrame) -> DataFrame:
     arrays = shown.groupBy("site", "grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "url", "quote"))),
                                                           lambda e: F.struct(e["url"], e["quote"])).alias("evidence"))
     # Order-free digest of all evidence pages, the same as ``page_digest`` of a list that holds them all.
-    pages = rows.select("site", "grp", "url").distinct().groupBy("site", "grp").agg(
-        F.count("*").alias("n"), F.bit_xor(F.xxhash64("url")).alias("a"), F.bit_xor(F.xxhash64("url", F.lit(7))).alias("b"))
-    sizes = rows.groupBy("site", "grp").agg(F.count("*").alias("total"))
-    both = arrays.join(sizes, ["site", "grp"]).join(pages, ["site", "grp"])
+    pages = rows.groupBy("site", "grp", "url").agg(F.count("*").alias("rows")).groupBy("site", "grp").agg(
+        F.sum("rows").alias("total"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("url")).alias("a"),
+        F.bit_xor(F.xxhash64("url", F.lit(7))).alias("b"))
+    both = arrays.join(pages, ["site", "grp"])
     return both.groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("grp", F.struct(
         "evidence", "total", F.concat_ws("|", "n", "a", "b").alias("digest"))))).alias("lists"))
 
@@ -500,7 +500,8 @@ def verdict_rows(reviewed: bool) -> Column:
 
 def audit(documents: DataFrame, now: str, verdicts: DataFrame | None = None, failed: DataFrame | None = None,
           keep: bool = True, **vocabularies) -> Audit:
-    """Run the nine checks over all sites. ``keep`` stores the page signals once, as three steps read them."""
+    """Run the nine checks over all sites. ``keep`` stores the page signals and the evidence rows once,
+    as several steps read them."""
     signals = page_signals(documents, **vocabularies)
     categories = classify.page_categories(documents.filter(F.col("status_code").between(200, 299)))
     if keep:
@@ -508,6 +509,8 @@ def audit(documents: DataFrame, now: str, verdicts: DataFrame | None = None, fai
     counts, claims = green_claims(signals, verdicts, failed)
     rows = evidence_lists(documents, signals).unionByName(category_pages(signals, categories))
     rows = rows.unionByName(claims.select(*rows.columns))
+    if keep:
+        rows = stored(rows, "evidence")
     wide = (contexts(documents, now)
             .join(site_signals(signals, categories), "site", "left")
             .join(widget_names(signals), "site", "left")
