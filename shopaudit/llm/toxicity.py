@@ -19,8 +19,11 @@ from .common import keyed, small_batches, worker_cache
 SAMPLE_PAGES = 4000
 SAMPLE_ROWS = 50_000
 ORDINARY_WORDS = 20_000
-TOXIC_WORDS = 500
-DICTIONARY_BYTES = (16_384, 1024)
+#: Marks and their forms that travel to the driver; the toxic dictionary takes far fewer.
+TOXIC_WORDS = 5000
+#: Bytes of a part of a window that can be a mark; a whole window always can.
+PART_BYTES = (4, 12)
+DICTIONARY_BYTES = (16_384, 2048)
 LEVEL = 9
 WINDOW_BYTES = 48
 EDGES = b".,;:!?#$%&*|()[]{}<>\"'"
@@ -130,25 +133,58 @@ def _contexts(documents: DataFrame, chosen: DataFrame) -> DataFrame:
     return found.groupBy("window").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("ordinary"))
 
 
+def _parts(counts: DataFrame) -> DataFrame:
+    """(window, toxic, ordinary, part): every window with each of its parts of PART_BYTES and with itself."""
+    least, most = PART_BYTES
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, parts = [], []
+            for i, w in enumerate(batch.column(0).to_pylist()):
+                own = {w[k:e] for k in range(len(w)) for e in range(k + least, min(len(w), k + most) + 1)} | {w}
+                at += [i] * len(own)
+                parts += own
+            rows = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(parts, pa.binary())], ["window", "toxic", "ordinary", "part"])
+
+    return counts.select("window", "toxic", "ordinary").mapInArrow(task, "window binary, toxic long, ordinary long, part binary")
+
+
+def _marks(counts: DataFrame, toxic_sum: float, ordinary_sum: float) -> list[tuple[bytes, int]]:
+    """The marks of toxic pages and the windows that hold them, with their toxic neighbourhoods, commonest first.
+
+    A part of a window, or a whole one, can be a mark if it passes the test of ``dictionaries`` over all windows that hold
+    it. Each window goes to the surest of its parts, by the lower limit of the odds, and a mark must pass again by the
+    windows that went to it; so a fragment of a mark is none itself, and the forms of one stem count together.
+    """
+    odds = F.log((F.col("toxic") + 0.5) / (toxic_sum + 1)) - F.log((F.col("ordinary") + 0.5) / (ordinary_sum + 1))
+    error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("ordinary") + 0.5))
+    passes = (odds > 2) & (odds > 3 * error)
+    parts, sums = _parts(counts), [F.sum(c).alias(c) for c in ("toxic", "ordinary")]
+    good = parts.groupBy("part").agg(*sums).filter(passes).select("part", (odds - 2 * error).alias("surety"))
+    # What passes comes from the bounded sample of pages, so it may be broadcast.
+    chosen = parts.join(F.broadcast(good), "part").groupBy("window", "toxic", "ordinary").agg(
+        F.max(F.struct("surety", F.length("part").alias("size"), "part"))["part"].alias("mark"))
+    marks = chosen.groupBy("mark").agg(*sums).filter(passes).select("mark", "toxic")
+    forms = chosen.filter("toxic > 0").join(F.broadcast(marks.select("mark")), "mark", "left_semi").select("window", "toxic")
+    rows = marks.union(forms).orderBy(F.desc("toxic"), "mark").limit(TOXIC_WORDS).collect()
+    return [(bytes(r["mark"]), r["toxic"]) for r in rows]
+
+
 def dictionaries(documents: DataFrame, verdicts: DataFrame, pages: int = SAMPLE_PAGES, folder=None) -> tuple[bytes, bytes]:
     """Train the ordinary and the toxic dictionary on at most ``pages`` labelled pages of each class.
 
-    Toxic text is what marks toxic pages: windows seen in neighbourhoods of toxic pages far more often than in those of
-    ordinary ones (log odds over 2, over 3 standard errors, at least a fifth as many as the commonest such window).
-    Ordinary text is the commonest windows of ordinary pages. Both lists are bounded.
+    Toxic text is what marks toxic pages: words and parts of words seen in neighbourhoods of toxic pages far more often
+    than in those of ordinary ones (log odds over 2, over 3 standard errors), however often others are seen, and the words
+    that hold them. Ordinary text is the commonest windows of ordinary pages. Both lists are bounded.
     """
     counts = _contexts(documents, sampled(verdicts, pages))
     counts = folder(counts, "windows") if folder else counts
     sums = counts.agg(F.sum("toxic"), F.sum("ordinary")).first()
-    toxic_sum, ordinary_sum = (float(x or 0) for x in sums)
-    odds = F.log((F.col("toxic") + 0.5) / (toxic_sum + 1)) - F.log((F.col("ordinary") + 0.5) / (ordinary_sum + 1))
-    error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("ordinary") + 0.5))
-    marks = (counts.filter((F.col("toxic") >= 5) & (odds > 2) & (odds > 3 * error)).orderBy(F.desc("toxic"), "window")
-             .limit(TOXIC_WORDS).collect())
-    marks = [r for r in marks if 5 * r["toxic"] >= marks[0]["toxic"]]
+    marks = _marks(counts, *(float(x or 0) for x in sums))
     common = counts.filter("ordinary > 0").orderBy(F.desc("ordinary"), "window").limit(ORDINARY_WORDS).collect()
     return (_trained([(bytes(r["window"]), r["ordinary"]) for r in common], DICTIONARY_BYTES[0]),
-            _trained([(bytes(r["window"]), r["toxic"]) for r in marks], DICTIONARY_BYTES[1]))
+            _trained(marks, DICTIONARY_BYTES[1]))
 
 
 def _trained(words: list[tuple[bytes, int]], size: int) -> bytes:
