@@ -78,12 +78,16 @@ def fingerprint(in_band: Column) -> Column:
 
 
 def fingerprinted(texts: DataFrame, words: list[int], **names: str) -> DataFrame:
-    """``texts`` with a fingerprint by the lexicon ``words`` for each named text column. Equal texts get equal ones."""
+    """``texts`` with a fingerprint by the lexicon ``words`` for each named text column. Equal texts get equal ones.
+
+    A text without terms of the lexicon is fingerprinted by all its own terms.
+    """
     found = derive(texts, **{f"_{name}": hashed(F.col(column)) for name, column in names.items()})
     listed = ", ".join(f"{w}L" for w in sorted(words)).replace("-9223372036854775808L", "NULL") or "NULL"
     kept = derive(found, **{f"_in_{name}": F.expr(f"sort_array(filter(_{name}, x -> x.code IN ({listed})))") for name in names})
-    kept = derive(kept, **{name: fingerprint(F.col(f"_in_{name}")) for name in names})
-    return kept.drop(*[f"{x}{name}" for name in names for x in ("_", "_in_")])
+    kept = derive(kept, **{f"_own_{name}": F.expr(f"if(size(_in_{name}) > 0, _in_{name}, sort_array(_{name}))") for name in names})
+    kept = derive(kept, **{name: fingerprint(F.col(f"_own_{name}")) for name in names})
+    return kept.drop(*[f"{x}{name}" for name in names for x in ("_", "_in_", "_own_")])
 
 
 def _slot(fingerprint: Column):
@@ -91,7 +95,8 @@ def _slot(fingerprint: Column):
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1: the best level's share of equal subsets among those with terms on either side; 1 for equal fingerprints.
+    """0 to 1: the best level's share of equal subsets among those with terms on either side; 1 for equal fingerprints
+    with terms, 0 for two without: whether such texts are equal, they cannot say.
 
     Levels with fewer than LEAST_USED such subsets do not count, but for the first.
     """
@@ -104,7 +109,7 @@ def likeness(a: Column, b: Column) -> Column:
         same = F.size(F.filter(state, lambda s: s == 2))
         least = 1 if level == 0 else LEAST_USED
         levels.append(F.when(used >= least, same / F.greatest(used, F.lit(1))).otherwise(0.0))
-    return F.when(a == b, 1.0).otherwise(F.greatest(*levels))
+    return F.when((a == b) & (a != EMPTY * (SUBSETS * LEVELS)), 1.0).otherwise(F.greatest(*levels))
 
 
 def in_order(documents: DataFrame) -> DataFrame:
@@ -147,9 +152,11 @@ def edit_stability(documents: DataFrame) -> DataFrame:
                                               F.left(F.coalesce("next_text", F.lit("")), cut)))
     found = fingerprinted(rows, words, fingerprint="text", edited_fingerprint="edited").select(
         "bucket", "place", "guest", "page_id", "n_chars", F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"),
-        "fingerprint", "edited_fingerprint")
-    joined = found.withColumn("next_fingerprint", F.lead("fingerprint").over(follow))
+        "fingerprint", "edited_fingerprint", F.sha2(F.encode("text", "utf-8"), 256).alias("text_sha256"))
+    joined = found.withColumns({"next_fingerprint": F.lead("fingerprint").over(follow), "next_sha256": F.lead("text_sha256").over(follow)})
     return joined.filter("not guest").select(
         "page_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
+        F.when(F.col("text_sha256") == F.col("edited_sha256"), 1.0)
+        .otherwise(likeness(F.col("fingerprint"), F.col("edited_fingerprint"))).alias("near_edited"),
+        F.when(F.col("text_sha256") == F.col("next_sha256"), 1.0)
+        .otherwise(likeness(F.col("fingerprint"), F.col("next_fingerprint"))).alias("near_next"))
