@@ -1,6 +1,8 @@
 """The operators over the driver's tables: thin queries that map their columns, and SQL where it can say the same."""
 from __future__ import annotations
 
+import re
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from ..session import configure
-from . import archives, fingerprints, near_copies, packing, pieces, pseudonyms, quality, shards, toxicity, vectors
+from . import alignment, archives, filter_audit, fingerprints, markup, near_copies, packing, pieces, pseudonyms, quality, shards, toxicity, vectors
 from .common import held_out, stored
 
 
@@ -77,13 +79,36 @@ def op10_pieces(spark: SparkSession, folder: str) -> DataFrame:
                         (F.col("decoded") == F.col("text")).alias("round_trip"))
 
 
+def op11_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = markup.matched_templates(_documents(spark, folder))
+    base = F.filter("places", lambda p: p["kind"] == "phrase")
+    named = lambda places: F.array_join(F.array_sort(F.array_distinct(F.transform(places, lambda p: p["label"]))), ",")
+    starts = F.transform(base, lambda p: p["first_word"])
+    return found.select(
+        F.col("page_id").alias("doc_id"), "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"), named(base).alias("base_labels"), named(F.col("places")).alias("labels"), "score")
+
+
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _table(spark, folder, "documents").select(F.col("doc_id").alias("page_id"), F.col("source").alias("site"), "text")
+    marks = _table(spark, folder, "labels").select(
+        F.col("doc_id").alias("page_id"), (F.col("quality") == 1).alias("good"), (F.col("toxic") == 1).alias("toxic"))
+    return filter_audit.audit_filters(pages, marks).withColumnRenamed("site", "part")
+
+
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    found = alignment.align_pages(_documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"),
+                                  public_tokenizers.path("piece_bpe_32k.model"))
+    return found.withColumnRenamed("page_id", "doc_id")
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(configure(spark), folder)
 
 
 QUERIES = {f.__name__: f for f in (
     op1_similar_vectors, op2_packed_pages, op3_pseudonyms, op4_page_quality, op5_near_copies, op6_fingerprints, op7_shards, op8_archives,
-    op9_page_toxicity, op10_pieces, pipeline)}
+    op9_page_toxicity, op10_pieces, op11_license_scan, op12_filter_audit, op13_token_alignment, pipeline)}
 
 _LINKS = """
 reach AS (
@@ -129,6 +154,78 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
   CASE WHEN page_id < newest THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < newest THEN newest END AS refers_to, true AS verified
 FROM newest"""
 
-ORACLES = {"op1_similar_vectors": OP1_SQL, "op5_near_copies": OP5_SQL, "op8_archives": OP8_SQL}
+def _notice_pattern(template: str) -> str:
+    """A notice as a pattern over words that each follow a blank."""
+    out = []
+    for part in re.split(r"(\[\[|\]\]|\{\{.*?\}\})", template):
+        if part in ("[[", "]]"):
+            out.append("(?:" if part == "[[" else ")?")
+        elif part.startswith("{{") and "/" in part:
+            out.append(" (?:" + part[2:-2].replace("/", "|") + ")")
+        elif part.startswith("{{"):
+            out.append("(?: [^ ]+){" + part[2:-2].split()[-1].replace("-", ",") + "}")
+        else:
+            out += [" " + w for w in part.split()]
+    return "".join(out) + " "
+
+
+def _notice_weight(template: str) -> int:
+    """Words outside optional regions and free ones."""
+    fixed = re.sub(r"\[\[.*?\]\]", " ", template)
+    return len(re.sub(r"\{\{\w+ \d+-\d+\}\}", " ", re.sub(r"\{\{[\w/]+\}\}", " x ", fixed)).split())
+
+
+def _op11_sql() -> str:
+    places = {label: "list_filter(range(0, len(w)), lambda i: " + " AND ".join(
+        f"w[i+{k}] = '{word}'" for k, word in enumerate(text.split(), 1)) + ")" for label, text in markup.PHRASES.items()}
+    weights = [(f"len({places[x]}) > 0", len(t.split())) for x, t in markup.PHRASES.items()]
+    weights += [(f"regexp_matches(t, '{_notice_pattern(t)}')", _notice_weight(t)) for t in markup.NOTICES.values()]
+    labels = lambda found: "list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{x}' END" for x, c in found) + "], lambda x: x IS NOT NULL)"
+    base = [(x, f"len({p}) > 0") for x, p in places.items()]
+    named = [(x, c) for (c, _), x in zip(weights[len(base):], markup.NOTICES)]
+    return f"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+texts AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS t FROM words),
+found AS (
+  SELECT doc_id, len(w) AS n_words, list_concat({", ".join(places.values())}) AS places, {labels(base)} AS base, {labels(named)} AS others,
+    greatest({", ".join(f"CASE WHEN {c} THEN {n} ELSE 0 END" for c, n in weights)}) AS weight
+  FROM texts)
+SELECT doc_id, n_words::BIGINT AS n_words, len(places)::BIGINT AS n_base, list_min(places)::BIGINT AS first_word, list_max(places)::BIGINT AS last_word,
+  array_to_string(list_sort(base), ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(base, others))), ',') AS labels,
+  weight / (weight + 4.0)::DOUBLE AS score FROM found"""
+
+
+OP12_SQL = """
+WITH words AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+    coalesce(doc_id > (min(doc_id) OVER (PARTITION BY coalesce(text, ''))), false) AS e FROM documents),
+marks AS (SELECT doc_id, max(quality) AS good, max(toxic) AS toxic FROM labels GROUP BY 1),
+masks AS (
+  SELECT part, coalesce(good = 1, false) AS good, coalesce(toxic = 1, false) AS toxic, count(*) AS n,
+    len(w) < 50 AS a, 100 * len(list_distinct(w)) < 65 * len(w) AS b,
+    100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) AS c, regexp_matches(text, '[#$%&*|]') AS d, e
+  FROM words LEFT JOIN marks USING (doc_id) GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT p.x || q.x || r.x || s.x || t.x AS filter_order FROM letters p, letters q, letters r, letters s, letters t
+  WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+failed AS (SELECT *, list_filter([if(a, 'A', ''), if(b, 'B', ''), if(c, 'C', ''), if(d, 'D', ''), if(e, 'E', '')], lambda x: x <> '') AS f FROM masks),
+steps AS (
+  SELECT part, filter_order, step, substr(filter_order, step, 1) AS letter, n, good, toxic, list_contains(f, substr(filter_order, step, 1)) AS fails,
+    len(list_filter(f, lambda x: instr(substr(filter_order, 1, step - 1), x) > 0)) = 0 AS there, len(f) = 1 AS alone
+  FROM failed, orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+counted AS (
+  SELECT part, filter_order, step, letter, coalesce(sum(n) FILTER (there AND NOT fails), 0) AS kept, coalesce(sum(n) FILTER (there AND fails), 0) AS removed,
+    coalesce(sum(n) FILTER (fails AND NOT there), 0) AS redundant, coalesce(sum(n) FILTER (fails AND alone), 0) AS unique_fails,
+    coalesce(sum(n) FILTER (there AND fails AND good), 0) AS good_lost, coalesce(sum(n) FILTER (there AND fails AND toxic), 0) AS toxic_lost
+  FROM steps GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM counted"""
+
+ORACLES = {"op1_similar_vectors": OP1_SQL, "op5_near_copies": OP5_SQL, "op8_archives": OP8_SQL, "op11_license_scan": _op11_sql(),
+           "op12_filter_audit": OP12_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
