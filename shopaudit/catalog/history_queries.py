@@ -2,10 +2,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import scalars
 from ..operators import history, limits, monitor
+from ..session import new_path, stored
 from ..sources import adapters as a
+from ..sources import pages
 from ..vocab import copy
 
 NOW = "2001-08-01 12:00:00"
@@ -175,18 +178,21 @@ def pending_rescans(spark, d):
 
 def tick_plan(spark, d):
     scans, orgs, sites, _ = _tables(spark, d)
-    plan = monitor.tick_plan(monitor.due_sites(sites, scans, NOW), monitor.eligible_sites(sites, orgs), _pending(spark, d))
+    plan = monitor.tick_plan(monitor.due_sites(sites, scans, NOW, None), monitor.eligible_sites(sites, orgs), _pending(spark, d))
     return plan.select("site_id", F.col("due_rank").cast("long").alias("due_rank"), "action")
 
 
-def _outcomes(spark, d):
-    scans, orgs, sites, findings = _tables(spark, d)
-    pending = _pending(spark, d)
-    pairs = pending.select("site_id", F.col("scan_id").alias("latest"), F.col("previous_scan_id").cast("long").alias("previous"))
-    counts = history.change_counts(history.differences(pairs, findings))
-    # Every seventh site was deleted after its re-scan began.
-    kept = sites.filter(F.col("site_id") % 7 != 0)
-    return monitor.outcomes(pending, scans, kept, orgs, counts, monitor.owner_emails(a.memberships(spark, d)))
+def _pending_diff(spark, d):
+    pairs = _pending(spark, d).select("site_id", F.col("scan_id").alias("latest"), F.col("previous_scan_id").cast("long").alias("previous"))
+    return history.differences(pairs, a.findings(spark, d))
+
+
+def _outcomes(spark, d, diff=None):
+    scans, orgs, sites, _ = _tables(spark, d)
+    counts = history.change_counts(_pending_diff(spark, d) if diff is None else diff)
+    # Some sites were deleted after their re-scan began.
+    kept = sites.join(a.deleted_sites(spark, d), "site_id", "left_anti")
+    return monitor.outcomes(_pending(spark, d), scans, kept, orgs, counts, monitor.owner_emails(a.memberships(spark, d)))
 
 
 def rescan_outcomes(spark, d):
@@ -194,7 +200,38 @@ def rescan_outcomes(spark, d):
 
 
 def alerts(spark, d):
-    return monitor.alerts(_outcomes(spark, d))
+    diff = stored(_pending_diff(spark, d), "pending_diff")
+    return monitor.alerts(_outcomes(spark, d, diff), diff, a.sites(spark, d))
+
+
+def outbox(spark, d):
+    diff = stored(_pending_diff(spark, d), "pending_diff")
+    return monitor.outbox(_outcomes(spark, d, diff), monitor.digests(diff, a.sites(spark, d))).select(
+        "org_id", "scan_id", "to_email", "subject", F.md5("text").alias("text"))
+
+
+def listings(spark, d):
+    """Newest first, at most fifty: sites, scans that are done, and alerts of each organisation, and done scans of each site."""
+    scans, _, sites, _ = _tables(spark, d)
+    done = scans.filter((F.col("status") == "done") & F.col("org_id").isNotNull())
+    warned = _outcomes(spark, d).filter(F.col("outcome").isin("alerted", "alerted_no_email", "scan_failed")).join(
+        scans.select("scan_id", "created_at"), "scan_id")
+    most = scalars.clamp_limit(None)
+    rows = [("site", sites.withColumn("scan_id", F.col("site_id")), "org_id"), ("done", done, "org_id"), ("alert", warned, "org_id"), ("site_done", done, "site_id")]
+    parts = [history.newest(df.select(F.col(owner).cast("long").alias("owner"), "scan_id", "created_at"), ["owner"], most).select(
+        F.lit(kind).alias("kind"), "owner", F.col("scan_id").alias("id"), F.col("rn").cast("long").alias("rn")) for kind, df, owner in rows]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+def integrity(spark, d):
+    """Clashes of unique keys and rows without their parent, where host names are shared, ids reused and sites deleted."""
+    scans, _, sites, findings = _tables(spark, d)
+    shared = sites.withColumn("hostname", F.concat(F.lit("shop"), (F.col("site_id") % 500).cast("string"), F.lit(".example")))
+    named = scans.withColumn("public_id", F.concat(F.lit("r"), F.floor(F.col("scan_id") / 5).cast("string")))
+    left = shared.join(a.deleted_sites(spark, d), "site_id", "left_anti")
+    kept = named.filter("status <> 'failed'")
+    notes = history.accepted_notes(a.notes(spark, d))
+    return monitor.integrity(left, notes, kept, findings)
 
 
 def alert_digest(spark, d):
@@ -330,10 +367,26 @@ def event_log(spark, d):
     return event_rows(a.events(spark, d)).groupBy("type").agg(F.count("*").alias("n"), F.count("org_id").alias("owned"))
 
 
+FINDING_SCHEMA = ("scan_id long, code string, status string, severity string, title string, position long, urls array<string>, "
+                  "fingerprint string, scan_date date")
+
+
+def stored_findings(spark, d):
+    """Findings stored by month, failed scans first as unknown and then, with all others, by a second run; read back by month."""
+    path = new_path(spark, "findings")
+    found = a.findings(spark, d)
+    dates = a.scans(spark, d).select("scan_id", "status", F.trunc("created_at", "month").alias("scan_date"))
+    first = found.join(dates.filter("status = 'failed'").select("scan_id"), "scan_id").withColumn("status", F.lit("unknown"))
+    pages.write_findings(first, dates.drop("status"), path, "scan_id")
+    pages.write_findings(found, dates.drop("status"), path, "scan_id")
+    stored_ = pages.read_days(spark, path, StructType.fromDDL(FINDING_SCHEMA), "1900-01-01", "2100-01-01")
+    return stored_.select("scan_id", "code", "status", "position", "fingerprint", F.date_format("scan_date", "yyyy-MM-dd").alias("scan_date"))
+
+
 QUERIES = {f.__name__: f for f in (
-    site_summary, scan_verdict, latest_scans, latest_two_scans, trend, open_fails, tenant_findings, scan_diff, scan_diff_counts,
+    stored_findings, site_summary, scan_verdict, latest_scans, latest_two_scans, trend, open_fails, tenant_findings, scan_diff, scan_diff_counts,
     report_matrix, reports, newest_scans, notes_latest, notes_rejected, notes_carry, due_sites, eligible_sites,
-    pending_rescans, tick_plan, rescan_outcomes, alerts, alert_digest, scan_quota, monitor_capacity, anonymous_limit,
+    pending_rescans, tick_plan, rescan_outcomes, alerts, outbox, listings, integrity, alert_digest, scan_quota, monitor_capacity, anonymous_limit,
     accepted_requests, retention, stale_scans, next_run, site_overview, dashboard, site_deletion, site_by_host,
     uniqueness_audit, owner_contact, subscription_match, plan_sync, synced_plans, call_totals, site_pointers, claim_origins,
     event_log)}
@@ -343,7 +396,7 @@ _PENDING_DIFF = f"""
 , owner AS (SELECT c_nationkey org_id, arg_min('user'||c_custkey||'@mail.example',
      TIMESTAMP '1993-01-01' + to_days(CAST(c_custkey*7%365 AS INTEGER)) + to_seconds(0) + to_minutes(CAST(c_custkey AS INTEGER))) email
      FROM customer WHERE c_mktsegment='HOUSEHOLD' AND c_nationkey%4<>0 GROUP BY 1),
-pdiff AS (SELECT p.scan_id, CASE WHEN coalesce(x.status,'') NOT IN ('fail','warn') AND coalesce(y.status,'') IN ('fail','warn') THEN 'new'
+pdiff AS (SELECT p.scan_id, p.c code, coalesce(y.title,x.title) title, coalesce(y.severity,x.severity) severity, x.status before, y.status AS after, CASE WHEN coalesce(x.status,'') NOT IN ('fail','warn') AND coalesce(y.status,'') IN ('fail','warn') THEN 'new'
         WHEN coalesce(x.status,'') IN ('fail','warn') AND (y.status IS NULL OR y.status='pass') THEN 'resolved'
         WHEN x.status IS NULL OR y.status IS NULL THEN 'unchanged'
         WHEN x.status<>y.status OR (y.status IN ('fail','warn') AND x.fingerprint<>y.fingerprint) THEN 'changed' ELSE 'unchanged' END change
@@ -353,9 +406,10 @@ pdiff AS (SELECT p.scan_id, CASE WHEN coalesce(x.status,'') NOT IN ('fail','warn
 pcount AS (SELECT scan_id, count(*) FILTER (change='new') n, count(*) FILTER (change='resolved') r, count(*) FILTER (change='changed') c
    FROM pdiff GROUP BY 1),
 outcome AS (SELECT p.scan_id, p.org_id, p.site_id, p.prev, o.plan, w.email, n, r, c,
-   CASE WHEN p.site_id%7=0 THEN 'site_deleted' WHEN p.status='failed' THEN 'scan_failed' WHEN p.prev IS NULL THEN 'baseline'
+   CASE WHEN gone.c_custkey IS NOT NULL THEN 'site_deleted' WHEN p.status='failed' THEN 'scan_failed' WHEN p.prev IS NULL THEN 'baseline'
         WHEN coalesce(n+r+c,0)=0 THEN 'unchanged' WHEN o.plan='pro' AND w.email IS NOT NULL THEN 'alerted' ELSE 'alerted_no_email' END outcome
    FROM pending p JOIN orgs o USING (org_id) LEFT JOIN pcount USING (scan_id) LEFT JOIN owner w USING (org_id)
+   LEFT JOIN (SELECT c_custkey FROM customer WHERE c_acctbal<0) gone ON gone.c_custkey=p.site_id
    WHERE p.status IN ('done','failed'))
 """
 _LABEL = "CASE {0} WHEN 'fail' THEN 'issue' WHEN 'warn' THEN 'warning' ELSE coalesce({0},'not reported') END"
@@ -369,6 +423,8 @@ effect AS (SELECT m.event_id, m.org_id, m.plan, m.sub, m.cus, CASE WHEN m.org_id
   FROM matched m LEFT JOIN orgs o ON o.org_id=m.org_id)"""
 
 ORACLES = {
+    "stored_findings": TABLES + """SELECT scan_id, code, f.status, "position", fingerprint, strftime(date_trunc('month', created_at), '%Y-%m-%d') scan_date
+        FROM findings f JOIN scans s USING (scan_id)""",
     "site_summary": TABLES + "SELECT * FROM sums",
     "scan_verdict": TABLES + """SELECT scan_id, CASE s.status WHEN 'running' THEN 'pending' WHEN 'failed' THEN 'muted' ELSE
         CASE WHEN issues IS NULL THEN 'muted' WHEN issues>0 THEN 'fail' WHEN warnings>0 THEN 'warn' ELSE 'pass' END END tone,
@@ -408,14 +464,40 @@ ORACLES = {
         strftime(created_at,'%Y-%m-%d %H:%M:%S') started_at FROM pending""",
     "tick_plan": TABLES + """, top AS (SELECT *, row_number() OVER (ORDER BY scanned_at NULLS FIRST, created_at, site_id) due_rank FROM due),
         marked AS (SELECT *, site_id IN (SELECT site_id FROM pending WHERE status='running') busy,
-          site_id IN (SELECT site_id FROM eligible) covered FROM top WHERE due_rank<=100)
+          site_id IN (SELECT site_id FROM eligible) covered FROM top)
         SELECT site_id, due_rank, CASE WHEN busy THEN 'scan_in_progress' WHEN NOT covered THEN 'over_plan_limit'
           WHEN sum(CASE WHEN covered AND NOT busy THEN 1 ELSE 0 END) OVER (ORDER BY due_rank) > 5 THEN 'per_run_cap' ELSE 'start' END "action" FROM marked""",
     "rescan_outcomes": TABLES + _PENDING_DIFF + "SELECT scan_id, outcome, email FROM outcome",
-    "alerts": TABLES + _PENDING_DIFF + """SELECT org_id, site_id, scan_id, CASE WHEN outcome='scan_failed' THEN outcome ELSE 'scan_diff' END kind,
-        CASE WHEN outcome='scan_failed' THEN '{"scan":'||scan_id||'}' ELSE '{"counts":{"new":'||n||',"resolved":'||r||',"changed":'||c||'},"email":"'||
-        CASE WHEN outcome='alerted' THEN 'sent' WHEN plan='pro' THEN 'no_owner_email' ELSE 'free_plan' END||'"}' END payload
-        FROM outcome WHERE outcome IN ('scan_failed','alerted','alerted_no_email')""",
+    "alerts": TABLES + _PENDING_DIFF + f""", lists AS (SELECT scan_id, {", ".join(
+          f"coalesce(list({{'code':code,'title':title,'severity':severity,'before':before,'after':after}} ORDER BY list_position({CODES}, code)) FILTER (change='{k}'), []) l_{k}"
+          for k in ("new", "resolved", "changed"))} FROM pdiff GROUP BY 1)
+        SELECT org_id, site_id, scan_id, CASE WHEN outcome='scan_failed' THEN outcome ELSE 'scan_diff' END kind,
+        CASE WHEN outcome='scan_failed' THEN '{{"scan":'||scan_id||',"hostname":"shop'||site_id||'.example"}}' ELSE
+        to_json({{'scan':scan_id,'previousScan':prev,'hostname':'shop'||site_id||'.example','counts':{{'new':n,'resolved':r,'changed':c}},
+          'new':l_new,'resolved':l_resolved,'changed':l_changed,'email':CASE WHEN outcome='alerted' THEN 'sent' WHEN plan='pro' THEN 'no_owner_email' ELSE 'free_plan' END}})::VARCHAR END payload
+        FROM outcome LEFT JOIN lists USING (scan_id) WHERE outcome IN ('scan_failed','alerted','alerted_no_email')""",
+    "outbox": TABLES + _PENDING_DIFF + f""", lines AS (SELECT scan_id, change, count(*) n,
+          string_agg('- '||title||' ('||code||'): '||{_LABEL.format('before')}||' → '||{_LABEL.format('after')}, chr(10)
+          ORDER BY list_position({CODES}, code)) body FROM pdiff WHERE change<>'unchanged' GROUP BY 1,2),
+        mail AS (SELECT scan_id, string_agg(n||' '||change, ', ' ORDER BY list_position(['new','resolved','changed'],change))||' since the last scan' tail,
+          string_agg(upper(change[1])||change[2:]||':'||chr(10)||body, chr(10)||chr(10) ORDER BY list_position(['new','resolved','changed'],change)) body FROM lines GROUP BY 1)
+        SELECT org_id, scan_id, email to_email, 'shop'||site_id||'.example: '||tail subject, md5(body) AS "text" FROM outcome JOIN mail USING (scan_id) WHERE outcome='alerted'""",
+    "listings": TABLES + _PENDING_DIFF + """, every AS (SELECT 'site' kind, org_id::BIGINT AS "owner", site_id id, created_at FROM sites
+          UNION ALL SELECT 'done', org_id, scan_id, created_at FROM scans WHERE status='done' AND org_id IS NOT NULL
+          UNION ALL SELECT 'alert', o.org_id, scan_id, s.created_at FROM outcome o JOIN scans s USING (scan_id) WHERE outcome IN ('scan_failed','alerted','alerted_no_email')
+          UNION ALL SELECT 'site_done', site_id, scan_id, created_at FROM scans WHERE status='done' AND org_id IS NOT NULL)
+        SELECT kind, "owner", id, row_number() OVER (PARTITION BY kind, "owner" ORDER BY created_at DESC, id DESC) rn FROM every
+        QUALIFY row_number() OVER (PARTITION BY kind, "owner" ORDER BY created_at DESC, id DESC)<=50""",
+    "integrity": TABLES + """, gone AS (SELECT c_custkey FROM customer WHERE c_acctbal<0),
+        t AS (SELECT site_id, org_id, 'shop'||(site_id%500)||'.example' hostname FROM sites WHERE site_id NOT IN (SELECT c_custkey FROM gone)),
+        k AS (SELECT *, 'r'||(scan_id//5) public_id FROM scans WHERE status<>'failed'),
+        n AS (SELECT * FROM raw_notes WHERE state<>'not_applicable' OR note IS NOT NULL)
+        SELECT 'site_host' AS "rule", org_id||'|'||hostname AS "key", count(*) n FROM t GROUP BY org_id, hostname HAVING count(*)>1
+        UNION ALL SELECT 'note', org_id||'|'||site_id||'|'||code||'|'||fingerprint, count(*) FROM n GROUP BY org_id, site_id, code, fingerprint HAVING count(*)>1
+        UNION ALL SELECT 'public_id', public_id, count(*) FROM k GROUP BY 1, 2 HAVING count(*)>1
+        UNION ALL SELECT 'finding_scan', scan_id::VARCHAR, count(*) FROM findings WHERE scan_id NOT IN (SELECT scan_id FROM k) GROUP BY 1, 2
+        UNION ALL SELECT 'scan_site', site_id::VARCHAR, count(*) FROM k WHERE site_id IS NOT NULL AND site_id NOT IN (SELECT site_id FROM t) GROUP BY 1, 2
+        UNION ALL SELECT 'note_site', site_id::VARCHAR, count(*) FROM n WHERE site_id NOT IN (SELECT site_id FROM t) GROUP BY 1, 2""",
     "alert_digest": TABLES + f""", lines AS (SELECT site_id, scan_id, change, count(*) n,
           string_agg('- '||title||' ('||code||'): '||{_LABEL.format('before')}||' → '||{_LABEL.format('after')}, chr(10)
           ORDER BY list_position({CODES}, code)) body FROM diff WHERE change<>'unchanged' GROUP BY 1,2,3)

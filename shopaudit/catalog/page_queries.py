@@ -155,9 +155,14 @@ def references(spark, d):
 
 
 def json_ld(spark, d):
+    """Types in lists, below the root at several depths, in strings, escaped, and in a block that does not parse."""
     k = F.col("p_partkey")
-    t = F.element_at(F.array(*[F.lit(x) for x in ('"Product"', '["Thing","ProductGroup"]', '"Organization"', '"https://schema.org/Product"', '"Product')]), (k % 5 + 1).cast("int"))
-    block = F.concat(F.lit('{"@context":"https://schema.org","name":"a","name":"b","@graph":[{"@type": '), t, F.lit(', "name":"p'), k.cast("string"), F.lit('"}]}'))
+    named = lambda t: F.concat(F.lit('{"@context":"https://schema.org","name":"a","name":"b","@graph":[{"@type": ' + t + ', "name":"p'), k.cast("string"), F.lit('"}]}'))
+    nested = lambda n: F.lit('{"item":' * n + '{"@type":"Product"}' + "}" * n)
+    block = F.element_at(F.array(
+        named('"Product"'), named('["Thing","ProductGroup"]'), named('"Organization"'), named('"https://schema.org/Product"'), named('"Product'),
+        nested(5), nested(6), nested(7), F.lit('{"name":"\\"@type\\": \\"Product\\"","Product":"@type"}'), F.lit('[[{"@type":"\\u0050roduct"}]]')),
+        (k % 10 + 1).cast("int"))
     return a.table(spark, d, "part").select("p_partkey", scalars.describes_product(block).alias("product"))
 
 
@@ -268,11 +273,26 @@ def page_link_targets(spark, d):
         "site", "t.kind").agg(F.count("*").alias("n"))
 
 
+def nested_buttons(spark, d):
+    """Buttons of pages on which elements of one name lie in each other, in lists and in templates."""
+    k = F.col("p_partkey")
+    inner = (k % 4).cast("int")
+    html = F.concat(
+        F.lit('<html><body><div>before</div><div class="b" role="button">A'), F.repeat(F.lit("<div>n"), inner), F.lit("x"), F.repeat(F.lit("</div>"), inner),
+        F.lit('<div role="button">in'), k.cast("string"), F.lit("<div></div></div> end</div><div>between</div><span role=button>S<span>t</span></span>"),
+        F.lit('<ul><li role="button">L<ul><li>inner</li></ul> tail</li></ul><template><div role="button">no</div><template><i>x</i></template><button>no</button></template>'),
+        F.lit('<button>B</button><img role="button" title="pic"><div>after</div></body></html>'))
+    page = a.table(spark, d, "part").select(
+        k.alias("page_id"), F.lit("shop.example").alias("site"), k.alias("position"), F.lit("https://shop.example/").alias("url"),
+        F.lit("https://shop.example/").alias("final_url"), F.lit(200).alias("status_code"), html.alias("html"))
+    return extract.documents(page).select("page_id", F.array_join("buttons", "|").alias("buttons"))
+
+
 QUERIES = {f.__name__: f for f in (
     url_normalise, url_parts, url_screen, address_ranges, match_form, sentences, excerpts, term_match, first_email,
     stated_periods, registrations, labels, references, json_ld, fingerprints, client_addresses, dates, page_titles,
     page_headings, page_links, page_text, page_rows, a11y_counts, site_locales, page_findings, green_candidates,
-    green_reviewed, page_link_targets)}
+    green_reviewed, page_link_targets, nested_buttons)}
 
 _HOST = "lower(regexp_extract(url,'^https?://([^/]+)',1))"
 _SITE = f"regexp_replace({_HOST},'^www\\.','')"
@@ -349,7 +369,19 @@ ORACLES = {
         SELECT p_partkey, regexp_replace(substr(regexp_replace(s,'^-+|-+$','','g'),1,40),'-+$','') slug, (p_size%3)||CASE WHEN p_size%3=1 THEN ' page' ELSE ' pages' END pages,
         lower(substr(p_name,1,1))||substr(upper(p_name),2) AS name, ['de','en',NULL,'fr',NULL][p_size%5+1] "language" FROM r""",
     "references": "SELECT p_partkey, '&® ✓≠ &lt; © 2 €'||p_partkey||' '||chr(CAST(p_partkey%26+65 AS INTEGER))||' € &bogus; é'||p_partkey decoded FROM part",
-    "json_ld": "SELECT p_partkey, p_partkey%5 IN (0,1,3) product FROM part",
+    "nested_buttons": """WITH h AS (SELECT p_partkey k, regexp_extract_all('<html><body><div>before</div><div class="b" role="button">A'||repeat('<div>n', p_partkey%4)||'x'||
+          repeat('</div>', p_partkey%4)||'<div role="button">in'||p_partkey||'<div></div></div> end</div><div>between</div><span role=button>S<span>t</span></span><ul><li role="button">L'||
+          '<ul><li>inner</li></ul> tail</li></ul><template><div role="button">no</div><template><i>x</i></template><button>no</button></template><button>B</button>'||
+          '<img role="button" title="pic"><div>after</div></body></html>', '<[^>]*>|[^<]+') toks FROM part),
+        t AS (SELECT k, unnest(range(1, len(toks)+1)) n, toks FROM h), u AS (SELECT k, n, toks[n] tok FROM t),
+        e AS (SELECT *, sum(CASE WHEN tok LIKE '</%' THEN -1 WHEN tok LIKE '<%' AND tok NOT LIKE '<img%' THEN 1 ELSE 0 END) OVER w AS level,
+          sum(CASE tok WHEN '<template>' THEN 1 WHEN '</template>' THEN -1 ELSE 0 END) OVER w inert FROM u WINDOW w AS (PARTITION BY k ORDER BY n)),
+        s AS (SELECT *, (SELECT min(c.n) FROM e c WHERE c.k=e.k AND c.n>e.n AND c.tok LIKE '</%' AND c.level=e.level-1) upto FROM e
+          WHERE inert=0 AND (tok LIKE '%role=%button%' OR tok='<button>')),
+        b AS (SELECT s.k, s.n, CASE WHEN any_value(s.tok) LIKE '<img%' THEN 'pic' ELSE string_agg(x.tok, '' ORDER BY x.n) FILTER (x.tok NOT LIKE '<%' AND x.n<s.upto) END named
+          FROM s JOIN e x ON x.k=s.k AND x.n>s.n GROUP BY s.k, s.n)
+        SELECT k page_id, string_agg(named, '|' ORDER BY n) buttons FROM b GROUP BY k""",
+    "json_ld": "SELECT p_partkey, p_partkey%10 IN (0,1,3,5,6,9) product FROM part",
     "client_addresses": """SELECT event_id, CASE WHEN event_id%3=0 THEN '1.2.3.'||user_id WHEN event_id%2=0 THEN '4.4.4.'||user_id ELSE 'unknown' END address FROM events""",
     "dates": """WITH o AS (SELECT *, o_orderdate + to_hours(CAST(o_orderkey%24 AS INTEGER)) t FROM orders)
         SELECT o_orderkey, strftime(date_trunc('month',t),'%Y-%m-%d') "month", strftime(date_trunc('month',t)+INTERVAL 1 MONTH,'%Y-%m-%d') next_month,

@@ -2,9 +2,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..checks import findings as checks
-from ..operators import crawl, extract
+from ..operators import crawl, extract, history
 from ..session import stored
 from ..sources import shops
 
@@ -35,10 +36,29 @@ def shop_findings(spark, d):
 
 
 def shop_evidence(spark, d):
-    """Every quote of every finding, with its place in the finding."""
-    found = checks.audit(_documents(spark, d), NOW).findings
-    return found.select("site", "code", F.posexplode("evidence").alias("place", "e")).select(
-        "site", "code", F.col("place").cast("long").alias("place"), "e.url", "e.quote")
+    """Every quote behind every finding, also those that a report does not show, with its place."""
+    order = Window.partitionBy("site", "code").orderBy("o1", "o2", "o3")
+    return checks.audit(_documents(spark, d), NOW).evidence.select(
+        "site", "code", (F.row_number().over(order) - 1).cast("long").alias("place"), "url", "quote")
+
+
+def _review(spark, d):
+    """Answers of a review: the first sentence of every fourth shop is an unspecific claim; half of these get a rewording."""
+    k = F.col("k")
+    generic = k % 4 == 1
+    return shops.shop_sites(spark, d).select(
+        "site", F.lit(0).alias("seq"), F.lit(0).cast("long").alias("idx"),
+        F.when(generic, "generic_unsubstantiated").otherwise("not_environmental").alias("verdict"),
+        F.when(generic & (k % 8 == 1), "We use 40 % less energy.").alias("rewording"), F.concat(F.lit("seen in shop "), k.cast("string")).alias("reason"))
+
+
+def shop_claims(spark, d):
+    """Environmental claims of reviewed shops as their findings state them, and who flagged each quote."""
+    found = history.stated_claims(checks.audit(_documents(spark, d), NOW, _review(spark, d)).findings)
+    origins = history.claim_origins(found).filter(F.col("code") == "green_claims").select("site", "o", F.col("source").alias("origin"))
+    said = found.select("site", "status", F.posexplode("claims").alias("o", "c"))
+    return said.join(origins, ["site", "o"]).select(
+        "site", "status", F.col("o").cast("long").alias("place"), "c.url", "c.quote", "c.source", "c.rule", "c.reason", "c.rewording", "origin")
 
 
 def shop_reports(spark, d):
@@ -61,6 +81,22 @@ def shop_limitations(spark, d):
                                                 F.size("errors").cast("long").alias("errors"))
 
 
+def _planned(spark, d):
+    docs = _documents(spark, d)
+    plan = crawl.crawl_plan(shops.shop_seeds(spark, d), docs, shops.shop_robots(spark, d))
+    return stored(crawl.planned_documents(plan, docs), "planned_documents")
+
+
+def planned_pages(spark, d):
+    """Pages a scan fetches, in the order of fetching, with the kind that their slot gives to pages of no other kind."""
+    return _planned(spark, d).select("site", "position", "kind", "status_code", F.regexp_extract("url", "^https?://[^/]+(.*)$", 1).alias("path"))
+
+
+def planned_findings(spark, d):
+    """Statuses of the nine checks, and the size of their evidence, on the pages a scan fetches."""
+    return checks.audit(_planned(spark, d), NOW).findings.select("site", "code", "status", "evidence_total")
+
+
 def shop_failures(spark, d):
     docs = _documents(spark, d)
     # Every ninth shop answers with an error.
@@ -68,23 +104,23 @@ def shop_failures(spark, d):
     return crawl.failure_reasons(shops.shop_seeds(spark, d), broken, None)
 
 
-QUERIES = {f.__name__: f for f in (shop_kinds, shop_contents, shop_findings, shop_evidence, shop_reports, shop_plan, shop_limitations, shop_failures)}
+QUERIES = {f.__name__: f for f in (shop_kinds, shop_contents, shop_findings, shop_evidence, shop_claims, shop_reports, shop_plan, shop_limitations, planned_pages, planned_findings, shop_failures)}
 
 _SHOPS = """WITH s AS (SELECT s_suppkey k, 'shop'||s_suppkey||'.'||['de','com','fr','example'][s_suppkey%4+1] site, s_suppkey%20=19 shell,
-   (SELECT count(*) FROM part WHERE p_partkey//20=s_suppkey AND p_partkey%20<6) goods FROM supplier)"""
+   (SELECT count(*) FROM part WHERE p_partkey//20=s_suppkey) goods FROM supplier)"""
 _PAGES = _SHOPS + """, fixed AS (SELECT k, site, shell, goods, unnest([['home','1'],['legal',CASE WHEN k%6<>5 THEN '1' END],['legal',CASE WHEN k%7<>6 THEN '1' END],
      ['legal',CASE WHEN k%5<>4 THEN '1' END],['cart','1']]) x FROM s),
    pages AS (SELECT k, site, shell, x[1] kind, 0 o FROM fixed WHERE x[2]='1' AND (NOT shell OR x[1]='home')
-     UNION ALL SELECT k, site, shell, 'product', 1 FROM s, range(6) g(i) WHERE NOT shell AND i<goods
+     UNION ALL SELECT k, site, shell, 'product', 1 FROM s, range(20) g(i) WHERE NOT shell AND i<goods
      UNION ALL SELECT k, site, shell, 'account', 2 FROM s WHERE NOT shell)"""
 
 # The quotes a reader finds on the pages of each shop; o is their order inside a finding.
-_EVIDENCE = _SHOPS + """, r AS (SELECT *, 'https://'||site root, (SELECT min(p_partkey) FROM part WHERE p_partkey//20=k AND p_partkey%20<6) good FROM s),
+_EVIDENCE = _SHOPS + """, r AS (SELECT *, 'https://'||site root, (SELECT min(p_partkey) FROM part WHERE p_partkey//20=k) good FROM s),
    h AS (SELECT *, root||'/' home, (SELECT p_retailprice FROM part WHERE p_partkey=good) price FROM r),
    opened AS (SELECT k, unnest([[0,1],[1,(k%6<>5)::INT],[2,(k%7<>6)::INT],[3,(k%5<>4)::INT],[4,1]]) x, root,
               ['/','/imprint','/returns','/access','/cart'] paths FROM h WHERE NOT shell),
    seen AS (SELECT k, x[1] pos, root||paths[x[1]+1] url FROM opened WHERE x[2]=1
-            UNION ALL SELECT k, 5+p_partkey%20, root||'/products/p'||p_partkey FROM h JOIN part ON p_partkey//20=k AND p_partkey%20<6 WHERE NOT shell),
+            UNION ALL SELECT k, 5+p_partkey%20, root||'/products/p'||p_partkey FROM h JOIN part ON p_partkey//20=k WHERE NOT shell),
    sample AS (SELECT k, 10*pos o, url, 'The html element has no lang attribute' quote, 1 AS strong FROM seen WHERE k%5=3
      UNION ALL SELECT k, 1, home, '2 h1 headings: "Shop '||k||'", "Again"', 0 FROM h WHERE k%8=1 AND NOT shell
      UNION ALL SELECT k, 2, home, 'Image without alt attribute: '||root||'/hero.jpg', 1 FROM h WHERE k%5=0 AND NOT shell
@@ -101,7 +137,7 @@ _EVIDENCE = _SHOPS + """, r AS (SELECT *, 'https://'||site root, (SELECT min(p_p
      UNION ALL SELECT k, 'accessibility_statement', 0, root||'/access', CASE WHEN k%5<2 THEN 'We are partially compliant with WCAG.' WHEN k%5=2 THEN 'Form on the statement page'
        ELSE 'Accessibility' END FROM h WHERE NOT shell AND k%5<>4
      UNION ALL SELECT k, 'accessibility_statement', 1, root||'/access', 'Tell us' FROM h WHERE NOT shell AND k%5=0
-     UNION ALL SELECT k, 'a11y_sample', o, url, quote FROM (SELECT *, max(strong) OVER (PARTITION BY k) any_strong, row_number() OVER (PARTITION BY k ORDER BY o) n FROM sample) WHERE n<=12
+     UNION ALL SELECT k, 'a11y_sample', o, url, quote FROM sample
      UNION ALL SELECT k, 'ai_disclosure', 0, home, 'Crisp chat: https://client.crisp.chat/l.js' FROM h WHERE NOT shell AND k%3=0
      UNION ALL SELECT k, 'ai_disclosure', 1, home, 'You chat with an AI assistant.' FROM h WHERE NOT shell AND k%6=0
      UNION ALL SELECT k, 'cookie_parity', 0, home, 'Accept all' FROM h WHERE NOT shell AND k%2=0
@@ -118,6 +154,13 @@ _EVIDENCE = _SHOPS + """, r AS (SELECT *, 'https://'||site root, (SELECT min(p_p
 
 ORACLES = {
     "shop_evidence": _EVIDENCE + """SELECT site, code, row_number() OVER (PARTITION BY k, code ORDER BY o)-1 AS place, url, quote FROM e JOIN s USING (k)""",
+    "shop_claims": _SHOPS + """SELECT site, 'fail' status, 0::BIGINT place, 'https://'||site||'/' url,
+          CASE WHEN k%3=1 THEN 'Ask for our eco label today.' ELSE 'This shop is carbon-neutral.' END quote,
+          CASE WHEN k%3=0 AND k%2=1 THEN 'classifier' ELSE 'rule' END "source", CASE WHEN k%3=1 THEN 'self_made_label' WHEN k%2=0 THEN 'offset_neutrality' END "rule",
+          CASE WHEN k%3=1 THEN 'A label without certification scheme or public authority.' WHEN k%2=0 THEN 'Neutral climate impact that rests on offsets.'
+          ELSE 'seen in shop '||k END reason, CASE WHEN k%3=0 AND k%8=1 THEN 'We use 40 % less energy.' END rewording,
+          CASE WHEN k%3=0 AND k%2=1 THEN 'model' ELSE 'rule' END origin
+        FROM s WHERE NOT shell AND (k%3=1 OR (k%3=0 AND (k%2=0 OR k%4=1)))""",
     "shop_reports": _EVIDENCE + """, c AS (SELECT unnest([['withdrawal_function','high','Art. 11a'],['withdrawal_policy','medium','Art. 6(1)(h) and Art. 9'],
           ['green_claims','high','Annex I, points 2a, 4a and 4c'],['accessibility_statement','medium','Art. 13(2) and Annex V'],['a11y_sample','low','Annex I'],
           ['ai_disclosure','medium','Art. 50(1)'],['cookie_parity','medium','Art. 5(3)'],['legal_notice','high','Art. 5(1)'],['eu_targeting','low','Art. 17(1)(c)']]) x),
@@ -156,12 +199,27 @@ ORACLES = {
           UNION ALL SELECT site, 'account', 'fetch', 1 FROM s WHERE NOT shell
           UNION ALL SELECT site, 'terms', 'fetch', 1 FROM s WHERE NOT shell AND k%6<>5
           UNION ALL SELECT site, 'cart', CASE WHEN k%10=0 THEN 'blocked' ELSE 'fetch' END, 1 FROM s WHERE NOT shell
-          UNION ALL SELECT site, 'product', CASE WHEN k%15=0 AND (k*20+i)%10<>0 THEN 'blocked' ELSE 'fetch' END, 1 FROM s, range(4) g(i) WHERE NOT shell AND i<goods)
+          UNION ALL SELECT site, 'product', CASE WHEN (k%15=0 AND (k*20+i)%10<>0) OR (k=8 AND (k*20+i)%3<>1) THEN 'blocked' ELSE 'fetch' END, 1 FROM s, range(4) g(i) WHERE NOT shell AND i<goods)
         SELECT site, slot, state, count(*) n FROM p GROUP BY ALL""",
     "shop_limitations": _SHOPS + """SELECT site, shell js_shell, CASE WHEN shell THEN 0 ELSE (k%10=0)::INT + CASE WHEN k%15=0 THEN
-          (SELECT count(*) FROM range(4) g(i) WHERE i<goods AND (k*20+i)%10<>0) ELSE 0 END END blocked, CASE WHEN shell THEN 0 ELSE 1 END errors FROM s""",
+          (SELECT count(*) FROM range(4) g(i) WHERE i<goods AND (k*20+i)%10<>0)
+          WHEN k=8 THEN (SELECT count(*) FROM range(4) g(i) WHERE i<goods AND (k*20+i)%3<>1) ELSE 0 END END blocked, CASE WHEN shell THEN 0 ELSE 1 END errors FROM s""",
     "shop_failures": _SHOPS + "SELECT site, CASE WHEN k%9=0 THEN 'The home page answered with HTTP 503.' END reason FROM s",
 }
 ORACLES["shop_kinds"] = _PAGES + """, fixed_pos AS (SELECT * FROM pages)
    SELECT k*100 + row_number() OVER (PARTITION BY k ORDER BY o, CASE kind WHEN 'home' THEN 0 WHEN 'legal' THEN 1 ELSE 2 END)-1 page_id,
    kind, shell js_shell FROM fixed_pos"""
+# A scan fetches four products at most and no page that robots rules keep out.
+_PLANNED = _EVIDENCE.replace("WHERE x[2]=1", "WHERE x[2]=1 AND NOT (x[1]=4 AND k%10=0)").replace(
+    "p_partkey//20=k WHERE NOT shell)", "p_partkey//20=k AND p_partkey%20<4 AND NOT (k%15=0 AND p_partkey%10<>0) AND NOT (k=8 AND p_partkey%3<>1) WHERE NOT shell)")
+_STATUSES = ORACLES["shop_findings"].removeprefix(_SHOPS).partition("SELECT site, code, status FROM (UNPIVOT")[0]
+ORACLES["planned_findings"] = _PLANNED + ", n AS (SELECT k of_k, code of_code, count(*) total FROM e GROUP BY 1, 2)" + _STATUSES + """
+   SELECT u.site, code, status, coalesce(total, 0)::BIGINT evidence_total FROM (UNPIVOT f ON COLUMNS(* EXCLUDE (site, shell)) INTO NAME code VALUE status) u
+   JOIN s USING (site) LEFT JOIN n ON of_k=k AND of_code=code"""
+ORACLES["planned_pages"] = _SHOPS + """, p AS (
+     SELECT k, site, shell, unnest([[0,1],[1,(k%6<>5)::INT],[2,(k%7<>6 OR k%4=0)::INT],[3,(k%5<>4)::INT],[4,1],[9,(k%10<>0)::INT]]) x FROM s
+     UNION ALL SELECT k, site, shell, [5+i, (NOT (k%15=0 AND (k*20+i)%10<>0) AND NOT (k=8 AND (k*20+i)%3<>1))::INT] FROM s, range(4) g(i) WHERE i<goods),
+   o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY x[1])-1 AS "position" FROM p WHERE x[2]=1 AND (NOT shell OR x[1]=0))
+   SELECT site, "position", CASE x[1] WHEN 0 THEN 'home' WHEN 4 THEN 'account' WHEN 9 THEN 'cart' ELSE CASE WHEN x[1]<4 THEN 'legal' ELSE 'product' END END kind,
+     CASE WHEN x[1]=4 THEN 404 ELSE 200 END status_code, CASE WHEN x[1] BETWEEN 5 AND 8 THEN '/products/p'||(k*20+x[1]-5)
+     ELSE ['/','/imprint','/returns','/access','/account','','','','','/cart'][x[1]+1] END path FROM o WHERE NOT (x[1]=2 AND k%7=6)"""

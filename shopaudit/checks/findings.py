@@ -19,18 +19,20 @@ from ..session import built_once, derive, first_by, let, stored
 from ..vocab import copy, rules
 from .signals import evidence_item, page_signals
 
-# Evidence kept per finding (the accessibility sample keeps more).
-CAPS = {"function": 10, "route": 10, "pdf": 10, "widget": 10, "sample": 12, "sample_h1": 12}
-# Lists the reports show in full. A finding carries up to this many; the evidence table always has all of them.
+# Evidence a finding shows (the accessibility sample shows more). The evidence table has all of it.
+CAPS = {"function": 10, "route": 10, "pdf": 10, "widget": 10, "sample": 12, "sample_h1": 12, "candidate": 10}
+# Lists the reports show in full. A finding carries up to this many.
 INLINE = scalars.DIRECT_URLS
 EVIDENCE = "array<struct<url:string,quote:string>>"
 
 
 @dataclass
 class Audit:
-    """``findings``: nine rows per site. ``evidence``: every quote behind them, one row each, in order."""
+    """``findings``: nine rows per site. ``evidence``: every quote behind them, one row each, in order. ``claims``: every
+    environmental claim with its source, rule, reason and rewording."""
     findings: DataFrame
     evidence: DataFrame
+    claims: DataFrame
 
 
 def guessed_locales(documents: DataFrame) -> DataFrame:
@@ -97,7 +99,7 @@ def _link_items() -> Column:
 
 
 def evidence_lists(documents: DataFrame, signals: DataFrame) -> DataFrame:
-    """(site, grp, o1, o2, o3, url, quote): distinct evidence, cut to the length of the report."""
+    """(site, grp, o1, o2, o3, url, quote): distinct evidence, all of it."""
     own = signals.select("site", "position", "url", F.explode("items").alias("e")).select("site", "position", "url", "e.*")
     said = signals.filter(F.col("disclosure").isNotNull()).select(
         "site", "position", "url", F.lit("widget").alias("grp"), F.lit(9).alias("part"), F.lit(0).alias("item"),
@@ -111,11 +113,7 @@ def evidence_lists(documents: DataFrame, signals: DataFrame) -> DataFrame:
         "key": F.coalesce("key", F.concat_ws("\u0000", "url", "quote"))})
     order = [F.col("o1"), F.col("o2"), F.col("o3")]
     distinct = first_by(ordered.select("site", "grp", "key", "o1", "o2", "o3", "url", "quote"), ["site", "grp", "key"], order)
-    rank = F.row_number().over(Window.partitionBy("site", "grp").orderBy(*order))
-    # The loosest length prunes before the shuffle; each list is then cut to its own.
-    most = distinct.withColumn("rn", rank).filter(F.col("rn") <= max(CAPS.values()))
-    cap = reduce(lambda acc, kv: acc.when(F.col("grp") == kv[0], kv[1]), CAPS.items(), F.when(F.lit(False), 0)).otherwise(10)
-    return most.filter(F.col("rn") <= cap).drop("rn", "key")
+    return distinct.drop("key")
 
 
 def category_pages(signals: DataFrame, categories: DataFrame) -> DataFrame:
@@ -183,16 +181,26 @@ def green_claims(signals: DataFrame, verdicts: DataFrame | None = None,
     ruled = claims.filter(F.col("kind") != "candidate")
     reasons = (F.when(F.col("kind") == "self_made_label", "A label without certification scheme or public authority.")
                .when(F.col("kind") == "offset_neutrality", "Neutral climate impact that rests on offsets."))
-    wide = lambda df, grp, part, source, reason: df.select(
+    wide = lambda df, grp, part, source, reason, rewording: df.select(
         "site", F.lit(grp).alias("grp"), F.lit(part).cast("long").alias("o1"), F.col("position").cast("long").alias("o2"),
         F.col("item").cast("long").alias("o3"), "url", excerpt(F.col("text")).alias("quote"),
-        F.lit(source).alias("source"), F.col("kind").alias("rule"), reason.alias("reason"))
-    rows = (wide(ruled, "claim", 0, "rule", reasons)
-            .unionByName(wide(generic, "claim", 1, "classifier", F.col("reason")))
-            .unionByName(wide(sent.filter(F.col("idx") < 10), "candidate", 0, "candidate", F.lit(None).cast("string"))))
+        F.lit(source).alias("source"), F.nullif("kind", F.lit("candidate")).alias("rule"), reason.alias("reason"), rewording.alias("rewording"))
+    nothing = F.lit(None).cast("string")
+    rows = (wide(ruled, "claim", 0, "rule", reasons, nothing)
+            .unionByName(wide(generic, "claim", 1, "classifier", F.col("reason"), F.nullif("rewording", F.lit(""))))
+            .unionByName(wide(sent, "candidate", 0, "candidate", nothing, nothing)))
     return counts, rows
 
 
+def claim_lists(claims: DataFrame) -> DataFrame:
+    """(site, claim_list): what a finding says about each claim it quotes, in the order of its evidence, ``INLINE`` at most."""
+    order = Window.partitionBy("site").orderBy("o1", "o2", "o3")
+    shown = claims.filter(F.col("grp") == "claim").withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= INLINE)
+    said = F.struct("rn", "url", "quote", "source", "rule", "reason", "rewording")
+    return shown.groupBy("site").agg(F.transform(F.array_sort(F.collect_list(said)), lambda c: F.struct(
+        c["url"], c["quote"], c["source"], c["rule"], c["reason"], c["rewording"])).alias("claim_list"))
+
+
 # ---- one row per site -------------------------------------------------------------------------------------------
 
 def site_signals(signals: DataFrame, categories: DataFrame) -> DataFrame:
@@ -234,9 +242,11 @@ def widget_names(signals: DataFrame) -> DataFrame:
 
 
 def listed(rows: DataFrame) -> DataFrame:
-    """(site, lists): the evidence lists of a site by name, each cut at ``INLINE`` entries, with their full lengths."""
+    """(site, lists): the evidence lists of a site by name, each cut to what a report shows, with their full lengths."""
     order = Window.partitionBy("site", "grp").orderBy("o1", "o2", "o3")
-    shown = rows.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= INLINE)
+    cap = reduce(lambda acc, kv: acc.when(F.col("grp") == kv[0], kv[1]), CAPS.items(), F.when(F.lit(False), 0)).otherwise(INLINE)
+    # The longest list prunes before the shuffle; each is then cut to its own length.
+    shown = rows.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= INLINE).filter(F.col("rn") <= cap)
     arrays = shown.groupBy("site", "grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "url", "quote"))),
                                                           lambda e: F.struct(e["url"], e["quote"])).alias("evidence"))
     # Order-free digest of all evidence pages, the same as ``page_digest`` of a list that holds them all.
@@ -367,7 +377,7 @@ class Rules:
                            F.when(good.isNull() & (n("offset_claims") == 0), F.lit("<p>Our boxes are made from 100 % recycled board.</p>")))
         meta = F.struct(state.alias("classifier"), n("candidates").alias("candidates"),
                         F.when(state.isin("used", "error"), n("sent")).otherwise(F.lit(0)).alias("sent"),
-                        (n("candidates") > n("sent")).alias("truncated"), claims.alias("claims"),
+                        (n("candidates") > n("sent")).alias("truncated"), c("claim_list").alias("claims"), claims.alias("claim_count"),
                         n("rule_claims").alias("rule_claims"), c("review_error").alias("error"))
         return self.row("green_claims", [
             (claims > 0, "fail", _text("%d environmental claims need proof or removal, %d of them by rule; %d more were "
@@ -507,6 +517,8 @@ def audit(documents: DataFrame, now: str, verdicts: DataFrame | None = None, fai
     if keep:
         signals, categories = stored(signals, "signals"), stored(categories, "categories")
     counts, claims = green_claims(signals, verdicts, failed)
+    if keep:
+        claims = stored(claims, "claims")
     rows = evidence_lists(documents, signals).unionByName(category_pages(signals, categories))
     rows = rows.unionByName(claims.select(*rows.columns))
     if keep:
@@ -515,12 +527,13 @@ def audit(documents: DataFrame, now: str, verdicts: DataFrame | None = None, fai
             .join(site_signals(signals, categories), "site", "left")
             .join(widget_names(signals), "site", "left")
             .join(counts, "site", "left")
+            .join(claim_lists(claims), "site", "left")
             .join(listed(rows), "site", "left"))
     zero = {n: F.coalesce(n, F.lit(0).cast("long")) for n in ("policy_pages", "accessible_pages", "imprint_pages", "legal_pages")}
     found = wide.withColumns(zero).select("site", "lists", F.posexplode(verdict_rows(verdicts is not None)).alias("position", "f"))
     details = found.select("site", "position", "f.*", "lists")
     total = F.when(F.col("grp") != "", F.coalesce(F.element_at("lists", F.col("grp"))["total"], F.lit(0)))
-    long_list = F.coalesce(total > INLINE, F.lit(False))
+    long_list = F.coalesce(total > F.size("evidence"), F.lit(False))
     # One rule for lists of any length: the digest of all addresses, whether or not the finding carries them all.
     digest = F.when(long_list, F.element_at("lists", F.col("grp"))["digest"]).otherwise(
         page_digest(F.coalesce("evidence.url", F.array().cast("array<string>"))))
@@ -531,7 +544,7 @@ def audit(documents: DataFrame, now: str, verdicts: DataFrame | None = None, fai
         F.when(long_list, total).otherwise(F.size("evidence")).cast("long").alias("evidence_total"),
         print_.alias("fingerprint"),
         "citation", "fix", "meta", "grp")
-    return Audit(findings.drop("grp", "shown"), full_evidence(findings, rows))
+    return Audit(findings.drop("grp", "shown"), full_evidence(findings, rows), claims.filter(F.col("grp") == "claim").drop("grp"))
 
 
 def full_evidence(findings: DataFrame, rows: DataFrame) -> DataFrame:

@@ -83,12 +83,34 @@ def payload_text(payload: Column, field: str) -> Column:
     return F.when(payload.rlike(rf'"{field}"\s*:\s*"'), F.get_json_object(payload, f"$.{field}"))
 
 
-PRODUCT_TYPE = r'(?i)"@type"\s*:\s*(?:\[[^\]]*)?"(?:[^"]*[/:])?product(?:group)?"'
+PRODUCT_TYPE = r"(?i)(?:^|[/:])product(?:group)?\z"
+# Fixed value: how many arrays and objects a type may lie in.
+JSON_DEPTH = 6
 
 
 def describes_product(block: Column) -> Column:
-    """A JSON-LD block that parses and names a Product or ProductGroup type at any depth."""
-    return F.coalesce(F.try_parse_json(block).isNotNull() & block.rlike(PRODUCT_TYPE), F.lit(False))
+    """A JSON-LD block that parses and names a Product or ProductGroup type, at most ``JSON_DEPTH`` levels below its root.
+
+    The parsed value is walked level by level: each level is the list of all values inside the arrays and objects of the one
+    above, so text that only looks like a type, inside a string or a key, does not count.
+    """
+    nothing = F.array().cast("array<variant>")
+    inside = lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"),
+                                  F.map_values(F.try_variant_get(v, "$", "map<string,variant>")), nothing)
+
+    def typed(v: Column) -> Column:
+        several = F.coalesce(F.try_variant_get(v, "$['@type']", "array<variant>"), nothing)
+        names = F.concat(F.array(F.try_variant_get(v, "$['@type']", "string")),
+                         F.transform(several, lambda t: F.try_variant_get(t, "$", "string")))
+        return F.exists(names, lambda n: F.coalesce(n.rlike(PRODUCT_TYPE), F.lit(False)))
+
+    def step(seen: Column, _: Column) -> Column:
+        return F.struct((seen["found"] | F.exists(seen["level"], typed)).alias("found"),
+                        F.flatten(F.transform(seen["level"], inside)).alias("level"))
+    start = F.struct(F.lit(False).alias("found"), F.array(F.try_parse_json(block)).alias("level"))
+    walked = F.aggregate(F.sequence(F.lit(0), F.lit(JSON_DEPTH)), start, step, lambda seen: seen["found"])
+    # Blocks that cannot name the type, escaped or not, are not parsed.
+    return F.when(block.rlike(r"(?i)product|\\u"), F.coalesce(walked, F.lit(False))).otherwise(False)
 
 
 def clamp_limit(limit: float | None, fallback: int = 50, most: int = 200) -> int:

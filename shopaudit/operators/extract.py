@@ -97,6 +97,22 @@ def _all(html: Column, pattern: str) -> Column:
     return F.regexp_extract_all(html, F.lit("(?is)" + pattern), F.lit(0))
 
 
+_INNER_TEMPLATE = (rf"<template(?=[\s/>]){ATTRIBUTES}>[^<]*+(?:<(?!/?template[\s/>])[^<]*+)*+</template\s*+>")
+_TEMPLATES = r"(?is)<template[\s/>].*<template[\s/>]"
+
+
+def without_nested_templates(html: Column) -> Column:
+    """Markup without templates, also those in other templates; comments, scripts and styles outside of them stay.
+
+    Each pass takes out the templates that hold no other. Pages with one template at most are left to ``without_opaque``.
+    """
+    kept = r"(<!--.*?(?:-->|\z)|<(?:script|style|noscript|svg)(?=[\s/>])" + ATTRIBUTES + r">.*?(?:</(?:script|style|noscript|svg)\s*+>|\z))"
+    passes = F.regexp_count(html, F.lit(r"(?i)<template[\s/>]"))
+    cut = F.aggregate(F.sequence(F.lit(1), F.greatest(passes, F.lit(1))), html, lambda h, _: F.when(
+        h.rlike(r"(?i)<template[\s/>]"), F.regexp_replace(h, f"(?is){kept}|{_INNER_TEMPLATE}", "$1")).otherwise(h))
+    return F.when(html.rlike(_TEMPLATES), cut).otherwise(html)
+
+
 def opaque_parts(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(OPAQUE), F.lit(0))
 
@@ -127,10 +143,50 @@ def links_of(markup: Column, base: Column) -> Column:
     return F.transform(named, lambda n: F.struct(n["text"], n["href"], urls.resolve(n["href"], base).alias("abs")))
 
 
+# Elements without content.
+VOID = "area base br col embed hr img input link meta param source track wbr".split()
+# Signs of the private area stand for the height of an element, from the innermost one up.
+_HEIGHTS = "".join(chr(0xE000 + i) for i in range(512))
+_ROLE = r"""(?=(?:(?!\srole\s*=)(?:[^"'>]|"[^"]*+"|'[^']*+'))*+\srole\s*=\s*["']?button["'\s/>])"""
+
+
+def by_height(markup: Column, name: Column) -> Column:
+    """Markup in which every element ``name`` that is closed carries its height behind its name in both tags.
+
+    The height is one more than that of the highest element of that name inside it, so an element ends at the next closing
+    tag with its own sign. Tags are read as a row of brackets; each pass pairs off the brackets with nothing open between
+    them, which takes as many passes as elements lie in each other.
+    """
+    head = F.concat(F.lit("(?i)</?"), name, F.lit(rf"(?=[\s/>]){ATTRIBUTES}>"))
+
+    def build(parts: Column) -> Column:
+        brackets = F.array_join(F.transform(parts["tags"], lambda t: F.when(t.startswith("</"), ")").otherwise("(")), "")
+        pair = lambda seen, n: F.when(~seen.contains("("), seen).otherwise(F.regexp_replace(
+            seen, F.lit(r"\(([^()]*+)\)"), F.concat(F.substring(F.lit(_HEIGHTS), n, F.lit(1)), F.lit("$1"), F.substring(F.lit(_HEIGHTS), n, F.lit(1)))))
+        depth = F.least(F.greatest(F.size(parts["tags"]), F.lit(1)), F.lit(len(_HEIGHTS)))
+        signs = F.split(F.aggregate(F.sequence(F.lit(1), depth), brackets, pair), "")
+
+        def marked(sign: Column, tag: Column) -> Column:
+            return F.when(sign.isin("(", ")"), tag).otherwise(F.concat(
+                F.regexp_extract(tag, "^</?[a-zA-Z][a-zA-Z0-9-]*", 0), sign, F.regexp_replace(tag, "^</?[a-zA-Z][a-zA-Z0-9-]*", "")))
+        tags = let(signs, lambda s: F.transform(parts["tags"], lambda t, i: marked(F.get(s, i), t)))
+        return F.concat(F.get(parts["texts"], 0), F.array_join(
+            F.zip_with(tags, F.slice(parts["texts"], F.lit(2), F.greatest(F.size(parts["texts"]) - 1, F.lit(0))), lambda t, x: F.concat(t, x)), ""))
+    return let(F.struct(F.regexp_extract_all(markup, head, F.lit(0)).alias("tags"), F.split(markup, head).alias("texts")), build)
+
+
 def buttons_of(markup: Column) -> Column:
-    role = r"""<([a-z][a-z0-9]*+)(?=[\s/])(?=[^>]*\srole\s*=\s*["']?button["'\s/>])"""
-    found = _all(markup, rf"{_element('button')}|{_open('input')}|{role}{ATTRIBUTES}>.*?(?:</\1\s*+>|\z)")
-    plain = F.filter(elements(found), lambda e: (e["name"] != "input")
+    """Names of buttons, in the order they start; elements with the role of a button may hold others of their own kind."""
+    plain_names = "|".join(["button", *VOID])
+    named = F.array_distinct(F.transform(
+        F.regexp_extract_all(markup, F.lit(rf"(?i)<(?!(?:{plain_names})[\s/>])([a-z][a-z0-9-]*+)(?=[\s/]){_ROLE}"), F.lit(1)), F.lower))
+    marked = F.aggregate(named, markup, by_height)
+    role = rf"<(?!(?:{plain_names})[\s/>])([a-z][a-z0-9-]*+[\uE000-\uE1FF]?+)(?=[\s/]){_ROLE}"
+    kinds = rf"{_element('button')}|{_open('input')}|<(?:{'|'.join(VOID)})(?=[\s/]){_ROLE}{ATTRIBUTES}>|{role}{ATTRIBUTES}>.*?(?:</\2\s*+>|\z)"
+    # Every start is looked at, also inside an element found before.
+    found = F.regexp_extract_all(marked, F.lit(rf"(?is)(?=({kinds}))<"), F.lit(1))
+    bare = F.transform(found, lambda e: F.regexp_replace(e, r"(</?[a-zA-Z][a-zA-Z0-9-]*+)[\uE000-\uE1FF]", "$1"))
+    plain = F.filter(elements(bare), lambda e: (e["name"] != "input")
                      | F.lower(value(e["tag"], "type")).isin("submit", "button", "reset")
                      | (value(e["tag"], "role") == "button"))
     return F.filter(F.transform(plain, accessible_name), lambda n: n != "")
@@ -265,7 +321,12 @@ def page_kind(path: Column, url: Column, title: Column, headings: Column, button
 
 @built_once
 def _parse_columns() -> dict[str, Column]:
-    return {"_where": urls.parse(F.col("final_url")), "_opaque": opaque_parts(F.col("html")), "_markup": without_opaque(F.col("html"))}
+    return {"_where": urls.parse(F.col("final_url")), "_opaque": opaque_parts(F.col("_whole")), "_markup": without_opaque(F.col("_whole"))}
+
+
+@built_once
+def _whole_column() -> Column:
+    return without_nested_templates(F.col("html"))
 
 
 @built_once
@@ -296,7 +357,7 @@ def documents(pages: DataFrame) -> DataFrame:
     Every step is a projection: the html column is read once per task and never shuffled, and columns nobody asks for
     are not computed.
     """
-    parsed = pages.withColumns(_parse_columns())
+    parsed = pages.withColumn("_whole", _whole_column()).withColumns(_parse_columns())
     read = parsed.withColumn("_base", _base_column()).withColumns(_read_columns())
     return read.withColumns(_judged_columns()).select(
         "page_id", "site", "position", "url", "final_url", "status_code", "kind", "title", "lang", "headings", "links",

@@ -197,6 +197,11 @@ def rejected_notes(changes: DataFrame) -> DataFrame:
     return changes.withColumn("problem", _note_problem()).filter(F.col("problem").isNotNull())
 
 
+def accepted_notes(changes: DataFrame) -> DataFrame:
+    """Valid changes as they are kept: blank text is no text. Works on batches and streams."""
+    return changes.filter(_note_problem().isNull()).withColumn("note", F.nullif(trim_all(F.col("note")), F.lit("")))
+
+
 def merged_notes(notes: DataFrame, changes: DataFrame) -> DataFrame:
     """Notes after valid changes: the last one per finding of a site wins, blank text is no text."""
     valid = changes.filter(_note_problem().isNull())
@@ -211,15 +216,25 @@ def carried_notes(scans: DataFrame, findings: DataFrame, notes: DataFrame) -> Da
     return own.join(notes.select(*NOTE_KEY, "state", "note"), NOTE_KEY, "left")
 
 
+CLAIMS = "array<struct<url:string,quote:string,source:string,rule:string,reason:string,rewording:string>>"
+
+
+def stated_claims(findings: DataFrame) -> DataFrame:
+    """Findings of an audit with the ``claims`` their metadata lists; NULL for checks other than the environmental one."""
+    meta = F.from_json("meta", f"v struct<claims:{CLAIMS}>")
+    return findings.withColumn("claims", F.when(F.col("code") == "green_claims", meta["v"]["claims"]))
+
+
 def claim_origins(findings: DataFrame) -> DataFrame:
     """Evidence of environmental claims with who flagged it, matched by place and equal quote.
 
-    ``claims``: array<struct<quote,source,reason>> in the order of ``evidence``.
+    ``claims``: array<struct<quote,source,reason>> in the order of ``evidence``, as ``stated_claims`` reads them.
     """
     claim = F.get("claims", F.col("o"))
     aligned = (F.col("code") == "green_claims") & (claim["quote"] == F.col("e.quote"))
-    return findings.select("scan_id", "code", F.posexplode("evidence").alias("o", "e"), "claims").select(
-        "scan_id", "code", "o", "e.url", "e.quote",
+    owner = "scan_id" if "scan_id" in findings.columns else "site"
+    return findings.select(owner, "code", F.posexplode("evidence").alias("o", "e"), "claims").select(
+        owner, "code", "o", "e.url", "e.quote",
         F.when(aligned, F.when(claim["source"] == "rule", "rule").otherwise("model")).alias("source"),
         F.when(aligned, claim["reason"]).alias("reason"))
 

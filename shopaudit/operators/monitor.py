@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import next_run, payload_text, scan_time
-from ..session import first_by
+from ..session import first_by, running_totals
 from . import history
 from .limits import MOST_MONITORED, plan_limit
 
@@ -57,17 +57,19 @@ def pending_rescans(events: DataFrame, scans: DataFrame, since: str) -> DataFram
             .join(scans.select(F.col("scan_id"), "site_id", "status"), "scan_id"))
 
 
-def tick_plan(due: DataFrame, eligible: DataFrame, pending: DataFrame) -> DataFrame:
-    """What a run does with each due site (at most ``DUE_LIMIT`` rows): start it, or the first reason not to."""
+def tick_plan(due: DataFrame, eligible: DataFrame, pending: DataFrame, starts: int = STARTS_PER_RUN) -> DataFrame:
+    """What a run does with each due site, oldest first: start it, or the first reason not to.
+
+    Any number of due sites is ranked: the order is cut into ranges, so no task sees them all.
+    """
     busy = pending.filter(F.col("status").isin("queued", "running")).select("site_id").distinct().withColumn("busy", F.lit(True))
     covered = eligible.select("site_id").distinct().withColumn("covered", F.lit(True))
-    order = Window.orderBy(F.col("scanned_at").asc_nulls_first(), F.col("created_at"), F.col("site_id"))
     joined = due.join(busy, "site_id", "left").join(covered, "site_id", "left")
     free = F.col("busy").isNull() & F.col("covered").isNotNull()
-    # One small partition: the list is already cut to the run's own limit.
-    numbered = joined.withColumn("n", F.sum(free.cast("int")).over(order)).withColumn("due_rank", F.row_number().over(order))
+    order = [F.col("scanned_at").asc_nulls_first(), F.col("created_at"), F.col("site_id")]
+    numbered = running_totals(joined, order, n=free.cast("int"), due_rank=F.lit(1))
     return numbered.withColumn("action", F.when(F.col("busy").isNotNull(), "scan_in_progress").when(
-        F.col("covered").isNull(), "over_plan_limit").when(F.col("n") > STARTS_PER_RUN, "per_run_cap").otherwise("start"))
+        F.col("covered").isNull(), "over_plan_limit").when(F.col("n") > starts, "per_run_cap").otherwise("start"))
 
 
 def outcomes(pending: DataFrame, scans: DataFrame, sites: DataFrame, orgs: DataFrame, counts: DataFrame,
@@ -88,14 +90,41 @@ def outcomes(pending: DataFrame, scans: DataFrame, sites: DataFrame, orgs: DataF
                              .when(mailed, "alerted").otherwise("alerted_no_email"))
 
 
-def alerts(outcome: DataFrame) -> DataFrame:
-    """Alert rows with a JSON payload for changed and failed re-scans."""
+def change_lists(diff: DataFrame) -> DataFrame:
+    """(scan_id, new_list, resolved_list, changed_list): the changes of a re-scan by kind, in the order of the checks.
+
+    A scan has at most one change per check, so each list is short.
+    """
+    change = F.struct(history.code_rank(F.col("code")).alias("r"), "code", "title", "severity", "before", "after")
+    bare = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("change") == kind, change))), lambda c: F.struct(
+        c["code"], c["title"], c["severity"], c["before"], c["after"])).alias(f"{kind}_list")
+    return diff.groupBy("scan_id").agg(bare("new"), bare("resolved"), bare("changed"))
+
+
+def alerts(outcome: DataFrame, diff: DataFrame, sites: DataFrame) -> DataFrame:
+    """Alert rows with a JSON payload for changed and failed re-scans.
+
+    The payload of a changed one names both scans and the host, counts the changes and lists them by kind. ``diff``:
+    ``history.differences`` of the re-scans with the scans before them.
+    """
     changed = F.col("outcome").isin("alerted", "alerted_no_email")
     mail = F.when(F.col("outcome") == "alerted", "sent").when(F.col("plan") == "pro", "no_owner_email").otherwise("free_plan")
-    payload = F.when(changed, F.to_json(F.struct(F.struct("new", "resolved", "changed").alias("counts"), mail.alias("email")))
-                     ).otherwise(F.to_json(F.struct(F.col("scan_id").alias("scan"))))
-    return outcome.filter(changed | (F.col("outcome") == "scan_failed")).select(
-        "org_id", "site_id", "scan_id", F.when(changed, "scan_diff").otherwise("scan_failed").alias("kind"), payload.alias("payload"))
+    told = (outcome.filter(changed | (F.col("outcome") == "scan_failed")).join(change_lists(diff), "scan_id", "left")
+            .join(sites.select("org_id", "site_id", "hostname"), ["org_id", "site_id"], "left"))
+    keep_nulls = {"ignoreNullFields": "false"}
+    full = F.to_json(F.struct(
+        F.col("scan_id").alias("scan"), F.col("previous_scan_id").cast("long").alias("previousScan"), "hostname",
+        F.struct("new", "resolved", "changed").alias("counts"), F.col("new_list").alias("new"), F.col("resolved_list").alias("resolved"),
+        F.col("changed_list").alias("changed"), mail.alias("email")), keep_nulls)
+    failed = F.to_json(F.struct(F.col("scan_id").alias("scan"), "hostname"), keep_nulls)
+    return told.select("org_id", "site_id", "scan_id", F.when(changed, "scan_diff").otherwise("scan_failed").alias("kind"),
+                       F.when(changed, full).otherwise(failed).alias("payload"))
+
+
+def outbox(outcome: DataFrame, mails: DataFrame) -> DataFrame:
+    """Mails to send for re-scans with changes: (org_id, scan_id, to_email, subject, text). ``mails``: ``digests`` by scan."""
+    return outcome.filter(F.col("outcome") == "alerted").select("org_id", "scan_id", F.col("email").alias("to_email")).join(
+        mails.select("scan_id", "subject", "text"), "scan_id", "left")
 
 
 def status_label(status: Column) -> Column:
@@ -207,7 +236,29 @@ def call_totals(calls: DataFrame, key: str) -> DataFrame:
 
 
 def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys that occur more than once although they should be unique."""
-    return df.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > 1)
+    """Keys that occur more than once although they should be unique. Keys with a NULL never clash."""
+    return df.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > 1)
+
+
+def orphans(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
+    """Rows that name a parent which is not there. Rows without a parent's name are none."""
+    return children.filter(F.col(key).isNotNull()).join(parents.select(key).distinct(), key, "left_anti")
+
+
+def integrity(sites: DataFrame, notes: DataFrame, scans: DataFrame, findings: DataFrame) -> DataFrame:
+    """(rule, key, n): what the keys of the stored tables forbid. One row per clash of a unique key, one per missing parent.
+
+    Unique are organisation and host name of a site, the place of a note, and the public id of a scan; findings need their
+    scan, scans and notes their site.
+    """
+    def clash(rule: str, df: DataFrame, keys: list[str]) -> DataFrame:
+        return duplicates(df, keys).select(F.lit(rule).alias("rule"), F.concat_ws("|", *keys).alias("key"), "n")
+
+    def missing(rule: str, children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
+        return orphans(children, parents, key).groupBy(F.col(key).cast("string").alias("key")).agg(F.count("*").alias("n")).select(
+            F.lit(rule).alias("rule"), "key", "n")
+    return (clash("site_host", sites, ["org_id", "hostname"]).unionByName(clash("note", notes, history.NOTE_KEY))
+            .unionByName(clash("public_id", scans, ["public_id"])).unionByName(missing("finding_scan", findings, scans, "scan_id"))
+            .unionByName(missing("scan_site", scans, sites, "site_id")).unionByName(missing("note_site", notes, sites, "site_id")))
 
 

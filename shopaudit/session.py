@@ -59,9 +59,14 @@ def _removed(spark: SparkSession, folder: str) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate table once and read it back: cuts lineage, and later passes read only their columns."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -122,6 +127,30 @@ def positions(df: DataFrame, keys: Sequence[str], order: str, name: str = "posit
             .drop("_lo", "_w", "_range", "_row", "_offset"))
 
 
+def running_totals(df: DataFrame, order: Sequence[Column], **values: Column) -> DataFrame:
+    """Running sums of ``values`` over the whole table in a total order of any columns, without gathering it in one task.
+
+    Rows are dealt to ranges of the order by quantiles and stored, so that every later pass sees the same ranges; each
+    range is summed on its own, and the totals of the ranges before it, one row per range, are added.
+    """
+    spark = df.sparkSession
+    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = stored(df.select("*", *[v.cast("long").alias(f"_{n}") for n, v in values.items()])
+                   .repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sums = sorted(dealt.groupBy("_range").agg(*[F.sum(f"_{n}").alias(n) for n in values]).collect())
+    before = {n: 0 for n in values}
+    offsets = []
+    for row in sums:
+        offsets.append((row["_range"], *before.values()))
+        before = {n: before[n] + (row[n] or 0) for n in values}
+    small = spark.createDataFrame(offsets, "_range int, " + ", ".join(f"_before_{n} long" for n in values))
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = {n: F.sum(f"_{n}").over(inside) + F.col(f"_before_{n}") for n in values}
+    # As many rows as there are ranges.
+    return dealt.join(F.broadcast(small), "_range").withColumns(totals).drop(
+        "_range", *[f"_{n}" for n in values], *[f"_before_{n}" for n in values])
+
+
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "_first") -> DataFrame:
     """The first row of every key group. Spark prunes each task to one row per key before the shuffle."""
     window = Window.partitionBy(*keys).orderBy(*order)

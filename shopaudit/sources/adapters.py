@@ -47,6 +47,11 @@ def sites(spark: SparkSession, folder: str) -> DataFrame:
         (F.lit("1994-01-01").cast("timestamp") + F.make_dt_interval(key % 365)).alias("created_at"))
 
 
+def deleted_sites(spark: SparkSession, folder: str) -> DataFrame:
+    """Sites that were deleted: customers in debt."""
+    return table(spark, folder, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("site_id"))
+
+
 def findings(spark: SparkSession, folder: str) -> DataFrame:
     """lineitem as findings of the first seven checks; the part is the evidence page."""
     code = F.element_at(F.array(*[F.lit(c) for c in copy.CODES]), F.col("l_linenumber"))

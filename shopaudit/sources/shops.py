@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .adapters import table
 
-PRODUCTS = 6
+PRODUCTS = 20
 
 
 def _text(*parts) -> Column:
@@ -34,9 +34,8 @@ def shop_pages(spark: SparkSession, folder: str) -> DataFrame:
     """(page_id, site, position, url, final_url, status_code, html) of all derived shops."""
     k = F.col("k")
     part = table(spark, folder, "part").select("p_partkey", "p_name", "p_retailprice")
-    slots = F.floor(F.col("p_partkey") / 20)
-    goods = (part.filter(F.col("p_partkey") % 20 < PRODUCTS)
-             .groupBy(slots.alias("k")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name", "p_retailprice"))).alias("goods")))
+    slots = F.floor(F.col("p_partkey") / PRODUCTS)
+    goods = (part.groupBy(slots.alias("k")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name", "p_retailprice"))).alias("goods")))
     sites = shop_sites(spark, folder).join(goods, "k", "left").withColumn("goods", F.coalesce("goods", F.array().cast(
         "array<struct<p_partkey:bigint,p_name:string,p_retailprice:double>>")))
     lang = F.element_at(F.array(*[F.lit(x) for x in (' lang="en"', ' lang="de"', ' lang="fr"', "", ' lang="en-GB"')]), (k % 5 + 1).cast("int"))
@@ -101,11 +100,23 @@ def shop_seeds(spark: SparkSession, folder: str) -> DataFrame:
     return shop_sites(spark, folder).select("site", F.concat("root", F.lit("/")).alias("url"))
 
 
+# The shop whose robots file has a rule for every part there is.
+MANY_RULES = 8
+
+
 def shop_robots(spark: SparkSession, folder: str) -> DataFrame:
-    """Every tenth shop keeps robots out of its cart, every fifteenth allows one part of a closed folder."""
+    """Every tenth shop keeps robots out of its cart, every fifteenth allows one part of a closed folder.
+
+    One shop has a rule for each part: every third product is allowed, the others are not.
+    """
     k = F.col("k")
     rules = F.array_compact(F.array(
         F.when(k % 10 == 0, F.struct(F.lit(False).alias("allow"), F.lit("/cart").alias("pattern"))),
         F.when(k % 15 == 0, F.struct(F.lit(False).alias("allow"), F.lit("/products/").alias("pattern"))),
         F.when(k % 15 == 0, F.struct(F.lit(True).alias("allow"), F.lit("/products/*0$").alias("pattern")))))
-    return shop_sites(spark, folder).select("site", F.explode(rules).alias("r")).select("site", "r.*")
+    sites = shop_sites(spark, folder)
+    few = sites.select("site", F.explode(rules).alias("r")).select("site", "r.*")
+    part = F.col("p_partkey")
+    many = table(spark, folder, "part").select(F.lit(MANY_RULES).cast("long").alias("k"), (part % 3 == 1).alias("allow"),
+                                               F.concat(F.lit("/products/p"), part.cast("string")).alias("pattern"))
+    return few.unionByName(many.join(F.broadcast(sites.filter(k == MANY_RULES).select("k", "site")), "k").select("site", "allow", "pattern"))

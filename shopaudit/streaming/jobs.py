@@ -29,16 +29,31 @@ def unprocessed(started: DataFrame, processed: DataFrame, delay: str = "1 hour")
 TIMEOUT_SCHEMA = "scan_id long, started_at timestamp, outcome string"
 
 
+#: Hours a reported scan is remembered, so that an end that comes after all reports nothing more.
+ANSWERED_HOURS = 24
+_ANSWERED = -1
+
+
 def _watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One scan: remember its start, forget it when it ends, report it when ten minutes pass.
+    """One scan: remember its start, forget it when it ends, report it as failed when it runs for ten minutes.
 
-    An end that comes before its start is remembered until the watermark has passed it.
+    Event times decide, not the order of arrival: an end ten minutes after the start or later is a failure, whether it
+    comes before or after the watermark has passed that point. An end that comes before its start is remembered until the
+    watermark has passed it.
     """
     started, over = state.get if state.exists else (None, None)
+    row = lambda outcome: pd.DataFrame({
+        "scan_id": [key[0]], "started_at": [pd.NaT if started is None else pd.Timestamp(started, unit="us")], "outcome": [outcome]})
     if state.hasTimedOut:
-        state.remove()
-        yield pd.DataFrame({"scan_id": [key[0]], "started_at": [pd.NaT if started is None else pd.Timestamp(started, unit="us")],
-                            "outcome": ["failed" if over is None else "finished"]})
+        if over == _ANSWERED:
+            state.remove()
+        elif over is not None:
+            state.remove()
+            yield row("finished")
+        else:
+            state.update((started, _ANSWERED))
+            state.setTimeoutTimestamp(max(started // 1000 + ANSWERED_HOURS * 3_600_000, state.getCurrentWatermarkMs() + 1))
+            yield row("failed")
         return
     for batch in batches:
         begins = batch.loc[batch["kind"] == "started", "ts"]
@@ -46,12 +61,14 @@ def _watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
             first = int(begins.min().value // 1000)
             started = first if started is None else min(started, first)
         ends = batch.loc[batch["kind"] == "finished", "ts"]
-        if len(ends):
+        if len(ends) and over != _ANSWERED:
             over = max(over or 0, int(ends.max().value // 1000))
-    if over is not None and started is not None:
+    if over == _ANSWERED:
+        state.setTimeoutTimestamp(max(started // 1000 + ANSWERED_HOURS * 3_600_000, state.getCurrentWatermarkMs() + 1))
+    elif over is not None and started is not None:
         if state.exists:
             state.remove()
-        yield pd.DataFrame({"scan_id": [key[0]], "started_at": [pd.Timestamp(started, unit="us")], "outcome": ["finished"]})
+        yield row("finished" if over - started < STALE_MINUTES * 60_000_000 else "failed")
     elif over is not None:
         state.update((None, over))
         state.setTimeoutTimestamp(max(over // 1000 + 1, state.getCurrentWatermarkMs() + 1))
