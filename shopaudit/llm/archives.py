@@ -17,6 +17,7 @@ from .common import new_path, small_batches, stored
 CHUNK_CHARS = 65_536
 READ_BYTES = 1 << 16
 SMALLEST_REVISIT = 0
+UNKNOWN_DATE = "1970-01-01T00:00:00Z"
 VERSION = b"WARC/1.1"
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, verified boolean"
 
@@ -24,18 +25,20 @@ RECORDS = "page_id long, url string, record_type string, refers_to long, payload
 def chunks(pages: DataFrame) -> DataFrame:
     """The record table (page_id, chunk, last, data) of ``pages`` (page_id, html): payloads in rows of bounded size.
 
-    A page's rows follow each other in one task, so digests can be carried from row to row. A null payload is empty; every
-    page has at least one row.
+    A payload is cut in one walk over it, and a row holds its chunk alone. A page's rows follow each other in one task, so
+    digests can be carried from row to row. A null payload is empty; every page has at least one row.
     """
-    html = F.coalesce("html", F.lit(""))
-    count = F.greatest(F.ceil(F.char_length(html) / CHUNK_CHARS), F.lit(1)).cast("int")
-    rows = pages.select("*", F.explode(F.sequence(F.lit(0), count - 1)).alias("chunk"))
-    return rows.select("page_id", *[c for c in pages.columns if c not in ("page_id", "html")], "chunk", (F.col("chunk") == count - 1).alias("last"),
-                       F.encode(F.substring(html, F.col("chunk") * CHUNK_CHARS + 1, F.lit(CHUNK_CHARS)), "utf-8").alias("data"))
+    parts = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(f"(?s).{{1,{CHUNK_CHARS}}}+"), F.lit(0))
+    parts = F.when(F.length(F.coalesce("html", F.lit(""))) > 0, parts).otherwise(F.array(F.lit("")))
+    others = [c for c in pages.columns if c not in ("page_id", "html")]
+    cut = pages.select("page_id", *others, parts.alias("parts")).withColumn("count", F.size("parts"))
+    return cut.select("page_id", *others, "count", F.posexplode("parts").alias("chunk", "part")).select(
+        "page_id", *others, "chunk", (F.col("chunk") == F.col("count") - 1).alias("last"), F.encode("part", "utf-8").alias("data"))
 
 
 def digests(table: DataFrame) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest) of a record table: SHA-1 in base32, carried over a page's rows."""
+    """(page_id, payload_bytes, payload_digest, payload_sha1) of a record table: SHA-1 in base32 and as bytes, carried over a page's
+    rows."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, size = hashlib.sha1(), 0
         for batch in batches:
@@ -45,12 +48,13 @@ def digests(table: DataFrame) -> DataFrame:
                 state.update(data)
                 size += len(data)
                 if last:
-                    out.append((page, size, base64.b32encode(state.digest()).decode()))
+                    out.append((page, size, base64.b32encode(state.digest()).decode(), state.digest()))
                     state, size = hashlib.sha1(), 0
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.string()))],
-                                             ["page_id", "payload_bytes", "payload_digest"])
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)],
+                                             ["page_id", "payload_bytes", "payload_digest", "payload_sha1"])
 
-    return table.select("page_id", "last", "data").mapInArrow(task, "page_id long, payload_bytes long, payload_digest string")
+    return table.select("page_id", "last", "data").mapInArrow(task, "page_id long, payload_bytes long, payload_digest string, payload_sha1 binary")
 
 
 def record_types(found: DataFrame, smallest: int = SMALLEST_REVISIT) -> DataFrame:
@@ -62,12 +66,12 @@ def record_types(found: DataFrame, smallest: int = SMALLEST_REVISIT) -> DataFram
     newest = found.filter(F.col("payload_bytes") >= smallest).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("newest"))
     typed = found.join(newest, ["payload_digest", "payload_bytes"], "left")
     revisit = F.col("newest").isNotNull() & (F.col("page_id") < F.col("newest"))
-    return typed.select("page_id", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"),
+    return typed.select("page_id", "payload_bytes", "payload_digest", *[c for c in found.columns if c == "payload_sha1"], F.when(revisit, "revisit").otherwise("response").alias("record_type"),
                         F.when(revisit, F.col("newest")).alias("refers_to"))
 
 
-def _header(page: int, url: str | None, kind: str, refers_to: int | None, size: int, digest: str) -> bytes:
-    lines = [VERSION, b"WARC-Type: " + kind.encode(), b"WARC-Record-ID: <urn:page:%d>" % page,
+def _header(page: int, url: str | None, kind: str, refers_to: int | None, size: int, digest: str, date: str) -> bytes:
+    lines = [VERSION, b"WARC-Type: " + kind.encode(), b"WARC-Record-ID: <urn:page:%d>" % page, b"WARC-Date: " + date.encode(),
              b"WARC-Target-URI: " + (url or "").replace("\r", "").replace("\n", "").encode("utf-8", "replace"),
              b"WARC-Payload-Digest: sha1:" + digest.encode(), b"X-Payload-Length: %d" % size]
     if refers_to is not None:
@@ -77,19 +81,22 @@ def _header(page: int, url: str | None, kind: str, refers_to: int | None, size:
     return b"\r\n".join(lines) + b"\r\n\r\n"
 
 
-def write_archives(pages: DataFrame, folder: str) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, date: str = UNKNOWN_DATE) -> DataFrame:
     """Write a record for every row of ``pages`` (page_id, url, html) into gzipped WARC files below ``folder`` (a shared
     path with a scheme) and return the files' paths (path).
 
     Payloads are digested in a first pass over the record table and written chunk by chunk in a second, so no task holds a
     whole record. A file is written under a name of its attempt and moved when it is whole; lost tasks leave no half file
-    among the returned paths.
+    among the returned paths. Rows meet their record type by page_id and payload, so a page_id on several rows has as many
+    records. ``date`` is the time of capture in the headers; the page table knows none.
     """
     spark = pages.sparkSession
     small_batches(spark, 256)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").filter("page_id is not null")
-    typed = stored(record_types(digests(chunks(rows.select("page_id", "html")))), "records")
-    table = chunks(rows.join(typed, "page_id").withColumn("html", F.when(F.col("refers_to").isNull(), F.col("html"))))
+    typed = stored(record_types(digests(chunks(rows.select("page_id", "html")))).dropDuplicates(["page_id", "payload_sha1"]), "records")
+    own = rows.withColumn("payload_sha1", F.unhex(F.sha1(F.encode(F.coalesce("html", F.lit("")), "utf-8"))))
+    table = chunks(own.join(typed, ["page_id", "payload_sha1"]).drop("payload_sha1").withColumn(
+        "html", F.when(F.col("refers_to").isNull(), F.col("html"))))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -106,7 +113,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
                     if row["chunk"] == 0:
                         member = gzip.GzipFile(fileobj=sink, mode="wb", compresslevel=5, mtime=0)
                         member.write(_header(row["page_id"], row["url"], row["record_type"], row["refers_to"], row["payload_bytes"],
-                                             row["payload_digest"]))
+                                             row["payload_digest"], date))
                     member.write(row["data"].as_py())
                     if row["last"]:
                         member.write(b"\r\n\r\n")
@@ -191,6 +198,6 @@ def archived(pages: DataFrame) -> DataFrame:
     read_archives.
 
     Null payloads count as empty, null addresses as no address; rows without page_id are left out, rows that repeat a
-    page_id keep one record each. Other columns are ignored; an empty table gives no records.
+    page_id keep one record each; of rows with one page_id and one payload all have the same type. Other columns are ignored; an empty table gives no records.
     """
     return read_archives(write_archives(pages, with_scheme(new_path(pages.sparkSession, "warc"))))
