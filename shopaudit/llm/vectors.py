@@ -230,18 +230,21 @@ def similar_vectors(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     Returns one row per row with a vector_id: vector_id, n_links (other rows linked directly), component_id (the smallest
     vector_id reachable, itself included), kept (vector_id = component_id). Vectors that are null, empty, all zero or
     hold a component that is null or not finite link with nothing, as do vectors of different widths. Rows that repeat
-    a vector_id count as rows. Other columns are ignored; an empty table gives no rows.
+    a vector_id count as rows, each with the links of its own vector. Other columns are ignored; an empty table gives no rows.
     """
     rows, classes = _classes(vectors)
-    classes = stored(classes, "classes")
+    # Classes are numbered once they are stored: a vector_id may be on rows of several classes.
+    classes = stored(stored(classes, "classes").withColumn("class_id", F.monotonically_increasing_id()), "numbered")
     rows = stored(rows, "rows")
-    met = stored(_met(_blocks(classes, classes.count()), cosine), "met")
+    met = stored(_met(_blocks(classes.withColumn("vector_id", F.col("class_id")), classes.count()), cosine), "met")
     small_batches(vectors.sparkSession)
-    reach = components(met.select(F.col("vector_id").alias("u"), F.col("low").alias("v"))).withColumnRenamed("node", "vector_id")
-    links = met.groupBy("vector_id").agg(F.sum("links").alias("links"))
-    found = (classes.select("key", "vector_id", "copies").join(links, "vector_id", "left").join(reach, "vector_id", "left")
-             .select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-                     F.coalesce("component", "vector_id").alias("component_id")))
+    reach = components(met.select(F.col("vector_id").alias("u"), F.col("low").alias("v"))).withColumnRenamed("node", "class_id")
+    links = met.groupBy(F.col("vector_id").alias("class_id")).agg(F.sum("links").alias("links"))
+    placed = classes.select("key", "class_id", "vector_id", "copies").join(links, "class_id", "left").join(reach, "class_id", "left").withColumn(
+        "component", F.coalesce("component", "class_id"))
+    smallest = placed.groupBy("component").agg(F.min("vector_id").alias("component_id"))
+    found = placed.join(smallest, "component").select(
+        "key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     own = F.col("vector_id")
     return rows.join(found, "key", "left").select(
         "vector_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", own).alias("component_id"),
