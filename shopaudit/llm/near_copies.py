@@ -1,6 +1,8 @@
 """Near copies of page texts by HyperMinHash registers, banding and verification on whole shingle sets."""
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,11 +16,10 @@ from .common import keyed, small_batches, stored, worker_cache
 from .graph import components
 
 SHINGLE_WORDS = 5
-BANDS, BAND_ROWS = 21, 3
-REGISTERS = BANDS * BAND_ROWS
+BAND_ROWS = 3
 MANTISSA_BITS = 10
-#: Pairs estimated below this are not verified: over four standard errors of 63 registers below 0.85.
-ESTIMATE = 0.65
+#: Chance that a pair at the threshold meets in no band, and that its estimate keeps it from verification.
+LOSS = 1e-9
 #: Members of a block: with sketches alone, and with whole sets.
 SKETCH_BLOCK, BLOCK = 256, 64
 CACHE_WORDS = 400_000
@@ -61,20 +62,43 @@ def shingles(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
     return np.unique(total)
 
 
-def registers(hashes: np.ndarray) -> np.ndarray:
-    """One 16-bit register per bucket: leading zeros of the smallest hash in it (6 bits) above its next MANTISSA_BITS
-    bits, plus one; 0 is an empty bucket.
+def band_count(percent: int) -> int:
+    """Bands such that a pair at the threshold shares no bucket with probability LOSS at most."""
+    alike = min((percent / 100) ** BAND_ROWS, 1 - 1e-12)
+    return max(1, math.ceil(math.log(LOSS) / math.log(1 - alike)))
+
+
+@functools.cache
+def least_estimates(percent: int, count: int) -> np.ndarray:
+    """For every number of used registers, up to ``count``, the corrected estimate below which a pair is not verified.
+
+    Equal registers of a pair at the threshold are binomial at worst; fewer than k of them come with probability LOSS at
+    most. Where even none is that likely, every pair is verified.
+    """
+    p, floors = percent / 100, np.zeros(count + 1)
+    for used in range(1, count + 1):
+        below, k = 0.0, 0
+        while k < used and below + math.comb(used, k) * p ** k * (1 - p) ** (used - k) <= LOSS:
+            below += math.comb(used, k) * p ** k * (1 - p) ** (used - k)
+            k += 1
+        floors[used] = max(0.0, (k - used * COLLISION) / (used - used * COLLISION) - 1e-12) if k else 0.0
+    return floors
+
+
+def registers(hashes: np.ndarray, count: int) -> np.ndarray:
+    """One 16-bit register per bucket, of ``count``: leading zeros of the smallest hash in it (6 bits) above its next
+    MANTISSA_BITS bits, plus one; 0 is an empty bucket.
 
     The bucket comes from one mix of the hash, zeros and mantissa from another.
     """
-    out = np.zeros(REGISTERS, np.uint16)
+    out = np.zeros(count, np.uint16)
     if not len(hashes):
         return out
-    bucket = (mixed(hashes ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(REGISTERS)).astype(np.int64)
+    bucket = (mixed(hashes ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(count)).astype(np.int64)
     value = mixed(hashes + np.uint64(0x14057B7EF767814F))
-    least = np.full(REGISTERS, np.iinfo(np.uint64).max, np.uint64)
+    least = np.full(count, np.iinfo(np.uint64).max, np.uint64)
     np.minimum.at(least, bucket, value)
-    filled = np.zeros(REGISTERS, bool)
+    filled = np.zeros(count, bool)
     filled[bucket] = True
     zeros = 63 - np.floor(np.log2(np.maximum(least, np.uint64(1)).astype(np.longdouble))).astype(np.int64)
     zeros = np.clip(zeros, 0, 62)
@@ -92,31 +116,46 @@ def estimated(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(used > 0, np.clip((equal - chance) / np.maximum(used - chance, 1e-9), 0, 1), 0.0)
 
 
+def likely(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether estimates leave a pair a chance of being similar enough."""
+    used = ((a > 0) | (b > 0)).sum(axis=-1)
+    return estimated(a, b) >= least_estimates(percent, a.shape[-1])[used]
+
+
 def band_keys(line: np.ndarray) -> list[int]:
     """A 64-bit key for every band with a filled register."""
     keys = []
-    for band in range(BANDS):
+    for band in range(len(line) // BAND_ROWS):
         part = line[band * BAND_ROWS:(band + 1) * BAND_ROWS]
         if part.any():
             keys.append(xxhash.xxh64_intdigest(part.tobytes(), seed=band) - 2 ** 63)
     return keys
 
 
-def sketches(documents: DataFrame) -> DataFrame:
-    """(page_id, n_shingles, set_key, registers) of every row with a page_id: one narrow pass over the texts."""
+def _set_key(codes: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(codes.tobytes()) if len(codes) else None
+
+
+def text_key() -> Column:
+    """A key of the column ``text``; null counts as empty."""
+    return F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+
+
+def sketches(documents: DataFrame, percent: int) -> DataFrame:
+    """(page_id, text_key, n_shingles, set_key, registers) of every row with a page_id: one narrow pass over the texts."""
     small_batches(documents.sparkSession)
+    count = BAND_ROWS * band_count(percent)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(x.as_py()) for x in batch.column(1)]
+            sets = [shingles(x.as_py()) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                 pa.array([registers(s).tobytes() for s in sets], pa.binary())],
-                ["page_id", "n_shingles", "set_key", "registers"])
+                [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([_set_key(s) for s in sets], pa.binary()),
+                 pa.array([registers(s, count).tobytes() for s in sets], pa.binary())],
+                ["page_id", "text_key", "n_shingles", "set_key", "registers"])
 
-    return keyed(documents, "page_id", "text").withColumn("page_id", F.col("page_id").cast("long")).mapInArrow(
-        task, "page_id long, n_shingles long, set_key binary, registers binary")
+    texts = keyed(documents, "page_id", "text").select(F.col("page_id").cast("long").alias("page_id"), text_key().alias("text_key"), "text")
+    return texts.mapInArrow(task, "page_id long, text_key binary, n_shingles long, set_key binary, registers binary")
 
 
 def _bands(lines: Column | str) -> Column:
@@ -127,17 +166,25 @@ def _bands(lines: Column | str) -> Column:
     return keys(lines)
 
 
-def _whole_sets(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """(page_id, shingles) of the wanted pages, packed as 64-bit numbers."""
+def _whole_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, shingles) of the wanted classes (node, page_id, set_key), packed as 64-bit numbers, one row each.
+
+    A page_id may be on several rows, so a text counts only if its set is the class's.
+    """
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([shingles(x.as_py()).tobytes() for x in batch.column(1)], pa.binary()),
-                 ], ["page_id", "shingles"])
+            nodes, sets = [], []
+            for node, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                codes = shingles(text.as_py())
+                if _set_key(codes) == key:
+                    nodes.append(node)
+                    sets.append(codes.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "shingles"])
 
     texts = keyed(documents, "page_id", "text").withColumn("page_id", F.col("page_id").cast("long"))
     # One plan at every size: sorted by page_id, never a broadcast that stops fitting.
-    return texts.join(ids.hint("merge"), "page_id", "left_semi").mapInArrow(task, "page_id long, shingles binary")
+    own = texts.join(wanted.hint("merge"), "page_id").select("node", "set_key", "text")
+    return own.mapInArrow(task, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
 def _sizes_fit(percent: int, n: Column, m: Column) -> Column:
@@ -145,14 +192,14 @@ def _sizes_fit(percent: int, n: Column, m: Column) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def _likely(a: Column, b: Column) -> Column:
-    """Whether registers put a pair at ESTIMATE or more."""
+def _likely(percent: int, a: Column, b: Column) -> Column:
+    """Whether registers leave a pair a chance."""
     @F.pandas_udf("boolean")
     def test(x: pd.Series, y: pd.Series) -> pd.Series:
         if not len(x):
             return pd.Series([], dtype=bool)
-        rows = [np.frombuffer(b"".join(c), np.uint16).reshape(len(c), REGISTERS) for c in (x, y)]
-        return pd.Series(estimated(*rows) >= ESTIMATE)
+        rows = [np.frombuffer(b"".join(c), np.uint16).reshape(len(c), -1) for c in (x, y)]
+        return pd.Series(likely(*rows, percent))
 
     return test(a, b)
 
@@ -178,31 +225,31 @@ def _similar(percent: int, a: Column, b: Column) -> Column:
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose whole sets are similar enough."""
-    a, b = (sets.select(F.col("page_id").alias(c), F.col("shingles").alias(f"set_{c}")) for c in ("u", "v"))
+    a, b = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}")) for c in ("u", "v"))
     return pairs.join(a, "u").join(b, "v").filter(_similar(percent, F.col("set_u"), F.col("set_v"))).select("u", "v")
 
 
 def _labelled(nodes: DataFrame, found: DataFrame) -> DataFrame:
     """Nodes with their component so far, which is the node itself where it has no links."""
-    return nodes.join(found.withColumnRenamed("node", "page_id"), "page_id", "left").withColumn(
-        "component", F.coalesce("component", "page_id"))
+    return nodes.join(found, "node", "left").withColumn(
+        "component", F.coalesce("component", "node"))
 
 
 def _to_hubs(members: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     """Pairs of every bucket member with the bucket's hub, its member with the most neighbours in all buckets."""
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n"))
-    weight = members.join(sizes, "bucket").groupBy("page_id").agg(F.sum("n").alias("weight"))
-    weighed = members.join(weight, "page_id")
-    hubs = weighed.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("page_id")).alias("low")))["low"].alias("low"))
-    pairs = members.join(hubs.select("bucket", (-F.col("low")).alias("hub")), "bucket").filter("page_id <> hub")
-    pairs = pairs.select(F.greatest("page_id", "hub").alias("u"), F.least("page_id", "hub").alias("v")).distinct()
-    a, b = (lines.select(F.col("page_id").alias(c), F.col("registers").alias(f"line_{c}"), F.col("n_shingles").alias(f"n_{c}")) for c in ("u", "v"))
+    weight = members.join(sizes, "bucket").groupBy("node").agg(F.sum("n").alias("weight"))
+    weighed = members.join(weight, "node")
+    hubs = weighed.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("node")).alias("low")))["low"].alias("low"))
+    pairs = members.join(hubs.select("bucket", (-F.col("low")).alias("hub")), "bucket").filter("node <> hub")
+    pairs = pairs.select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct()
+    a, b = (lines.select(F.col("node").alias(c), F.col("registers").alias(f"line_{c}"), F.col("n_shingles").alias(f"n_{c}")) for c in ("u", "v"))
     return pairs.join(a, "u").join(b, "v").filter(_sizes_fit(percent, F.col("n_u"), F.col("n_v"))).filter(
-        _likely(F.col("line_u"), F.col("line_v"))).select("u", "v")
+        _likely(percent, F.col("line_u"), F.col("line_v"))).select("u", "v")
 
 
 def _meetings(members: DataFrame, lines: DataFrame, columns: list[str], block: int) -> DataFrame:
-    """(rows_a, rows_b): pairs of blocks of members (bucket, page_id, component) of one bucket, with ``columns`` of lines.
+    """(rows_a, rows_b): pairs of blocks of members (bucket, node, component) of one bucket, with ``columns`` of lines.
 
     A bucket's members are dealt to blocks of about ``block``: those of a large component to blocks of their own, the others
     to mixed ones by component. Only blocks that can hold different components meet, so a group of copies that is one
@@ -215,11 +262,11 @@ def _meetings(members: DataFrame, lines: DataFrame, columns: list[str], block: i
     dealt = members.join(counts, ["bucket", "component"]).join(several, "bucket")
     own = F.col("n") > block - 1
     dealt = dealt.select(
-        "bucket", "page_id", "component", F.when(own, F.col("component")).otherwise(F.lit(None).cast("long")).alias("group"),
-        F.when(own, F.pmod(F.xxhash64("page_id"), F.ceil(F.col("n") / block)))
+        "bucket", "node", "component", F.when(own, F.col("component")).otherwise(F.lit(None).cast("long")).alias("group"),
+        F.when(own, F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / block)))
         .otherwise(F.pmod(F.xxhash64("component"), F.ceil(F.greatest("loose", F.lit(1)) / block))).alias("block"))
-    blocks = dealt.join(lines, "page_id").groupBy("bucket", "group", "block").agg(
-        F.collect_list(F.struct("page_id", "component", "n_shingles", "registers", *columns)).alias("rows"))
+    blocks = dealt.join(lines, "node").groupBy("bucket", "group", "block").agg(
+        F.collect_list(F.struct("node", "component", "n_shingles", "registers", *columns)).alias("rows"))
     a = blocks.select("bucket", F.col("group").alias("group_a"), F.col("block").alias("block_a"), F.col("rows").alias("rows_a"))
     b = blocks.select("bucket", F.col("group").alias("group_b"), F.col("block").alias("block_b"), F.col("rows").alias("rows_b"))
     place_a, place_b = (F.struct(F.coalesce(F.col(f"group_{x}"), F.lit(-2 ** 63)), F.col(f"block_{x}")) for x in "ab")
@@ -237,16 +284,16 @@ def _joined(meetings: DataFrame, percent: int, whole: bool) -> DataFrame:
             for sides in zip(batch.column(0), batch.column(1)):
                 ids, kinds, sizes, rows, sets = [], [], [], [], []
                 for side in (x.values for x in sides):
-                    for out, name in ((ids, "page_id"), (kinds, "component"), (sizes, "n_shingles")):
+                    for out, name in ((ids, "node"), (kinds, "component"), (sizes, "n_shingles")):
                         out.append(side.field(name).to_numpy(zero_copy_only=False))
-                    rows.append(np.frombuffer(b"".join(side.field("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS))
+                    rows.append(np.frombuffer(b"".join(side.field("registers").to_pylist()), np.uint16).reshape(len(ids[-1]), -1))
                     if whole:
                         sets.append([np.frombuffer(x, np.uint64) for x in side.field("shingles").to_pylist()])
                 small, large = (f(sizes[0][:, None], sizes[1][None, :]) for f in (np.minimum, np.maximum))
                 good = (kinds[0][:, None] != kinds[1][None, :]) & (100 * small >= percent * large)
                 for at in range(0, len(ids[0]) if good.any() else 0, BLOCK):
                     part = slice(at, at + BLOCK)
-                    good[part] &= estimated(rows[0][part, None, :], rows[1][None, :, :]) >= ESTIMATE
+                    good[part] &= likely(rows[0][part, None, :], rows[1][None, :, :], percent)
                 found = [(i, j) for i, j in np.argwhere(good).tolist() if not whole or holds(sets[0][i], sets[1][j], percent)]
                 if found:
                     # Smallest member reached inside the blocks: the edges to it join the same members as all pairs do.
@@ -268,49 +315,73 @@ def _joined(meetings: DataFrame, percent: int, whole: bool) -> DataFrame:
     return meetings.mapInArrow(task, "u long, v long").distinct()
 
 
-def near_copies(documents: DataFrame, percent: int = 85) -> DataFrame:
-    """Classes of near copies among the texts of ``documents`` (page_id, text).
-
-    Two pages link when 100 * intersection >= ``percent`` * union of their sets of five-word shingles; words are runs of
-    anything but ASCII white space with A-Z in lower case. A shorter text is one shingle; null texts and texts without
-    words have none and link with nothing.
+def _grouped(documents: DataFrame, percent: int) -> DataFrame:
+    """(page_id, text_key, n_shingles, lowest): every row with the smallest page_id it reaches, and ``group``, its component.
 
-    1. One pass over the texts gives each page a key of its whole set and a HyperMinHash sketch: REGISTERS buckets, in
-       each the leading zeros and mantissa bits of the smallest hash. Pages with equal sets are one class from here on.
-    2. BANDS bands of BAND_ROWS registers are bucket keys. A pair at 0.85 shares no bucket with probability
-       (1 - 0.85 ** 3) ** 21, about 2e-9.
-    3. Bucket members are paired with their bucket's hub; pairs with a collision-corrected estimate of ESTIMATE or more
-       are verified on whole sets. The links' components join most groups at once, however many copies they have.
-    4. Members of one bucket that are still in different components are compared by their estimates, block by block. What
-       likely pairs join is a family; the members of a family that are in different components are compared on whole
-       sets, again block by block. So no link between components is left untested, and blocks give edges, not pairs.
-
-    Returns one row per row with a page_id: page_id, n_shingles, component_id (the smallest page_id reachable, itself
-    included), kept (page_id = component_id). Rows that repeat a page_id stay separate rows. Other columns are ignored;
-    an empty table gives no rows. Intermediate tables go to the shared folder; links are never collected.
+    Rows without words have no group. See ``near_copies``.
     """
-    rows = stored(sketches(documents), "sketches")
+    rows = stored(sketches(documents, percent), "sketches")
+    # Classes are numbered once they are stored: a page_id may be on rows of several classes.
     classes = stored(rows.filter("set_key is not null").groupBy("set_key").agg(
         F.min("page_id").alias("page_id"), F.first("registers").alias("registers"), F.first("n_shingles").alias("n_shingles")), "classes")
-    nodes = classes.select("page_id", "registers", "n_shingles")
-    bands = nodes.select("page_id", F.explode(_bands("registers")).alias("bucket"))
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "numbered")
+    nodes = classes.select("node", "registers", "n_shingles")
+    bands = nodes.select("node", F.explode(_bands("registers")).alias("bucket"))
     full = bands.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     members = stored(bands.join(full, "bucket"), "members")
-    ids = members.select("page_id").distinct()
-    lines = stored(nodes.join(ids, "page_id", "left_semi"), "lines")
+    ids = members.select("node").distinct()
+    lines = stored(nodes.join(ids, "node", "left_semi"), "lines")
+    texts = classes.select("node", "page_id", "set_key")
     pairs = stored(_to_hubs(members, lines, percent), "pairs")
-    wanted = pairs.select(F.col("u").alias("page_id")).union(pairs.select("v")).distinct()
-    sets = stored(_whole_sets(documents, wanted), "sets")
+    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    sets = stored(_whole_sets(documents, texts.join(wanted, "node", "left_semi")), "sets")
     links = stored(_verified(pairs, sets, percent), "links")
     joined = stored(_labelled(ids, components(links)), "joined")
-    likely = stored(_joined(_meetings(members.join(joined, "page_id"), lines, [], SKETCH_BLOCK), percent, False), "likely")
-    families = stored(components(likely).select(F.col("node").alias("page_id"), F.col("component").alias("bucket")), "families")
-    rest = families.join(sets, "page_id", "left_anti").select("page_id")
-    sets = sets.union(stored(_whole_sets(documents, rest), "sets"))
-    meetings = _meetings(families.join(joined, "page_id"), lines.join(sets, "page_id"), ["shingles"], BLOCK)
+    chances = stored(_joined(_meetings(members.join(joined, "node"), lines, [], SKETCH_BLOCK), percent, False), "likely")
+    families = stored(components(chances).select("node", F.col("component").alias("bucket")), "families")
+    rest = families.join(sets, "node", "left_anti").select("node")
+    sets = sets.union(stored(_whole_sets(documents, texts.join(rest, "node", "left_semi")), "sets"))
+    meetings = _meetings(families.join(joined, "node"), lines.join(sets, "node"), ["shingles"], BLOCK)
     links = links.union(stored(_joined(meetings, percent, True), "links"))
     joined = stored(_labelled(ids, components(links)), "joined")
-    classed = _labelled(classes.select("set_key", "page_id"), joined.select(F.col("page_id").alias("node"), "component")).select("set_key", "component")
-    return rows.join(classed, "set_key", "left").select(
-        "page_id", "n_shingles", F.coalesce("component", "page_id").alias("component_id")).withColumn(
-        "kept", F.col("page_id") == F.col("component_id"))
+    placed = _labelled(classes.select("set_key", "page_id", "node"), joined).select("set_key", "page_id", F.col("component").alias("group"))
+    lowest = placed.groupBy("group").agg(F.min("page_id").alias("lowest"))
+    return rows.drop("registers").join(placed.join(lowest, "group").drop("page_id"), "set_key", "left").drop("set_key")
+
+
+def near_copies(documents: DataFrame, percent: int = 80) -> DataFrame:
+    """Classes of near copies among the texts of ``documents`` (page_id, text).
+
+    Two pages link when 100 * intersection >= ``percent`` * union of their sets of five-word shingles; words are runs of
+    anything but ASCII white space with A-Z in lower case. A shorter text is one shingle; null texts and texts without
+    words have none and link with nothing.
+
+    1. One pass over the texts gives each page a key of its whole set and a HyperMinHash sketch: registers that hold the
+       leading zeros and mantissa bits of the smallest hash of their bucket. Rows with equal sets are one class from here on.
+    2. Bands of BAND_ROWS registers are bucket keys; there are so many that a pair at the threshold shares no bucket with
+       probability LOSS at most (22 bands at 85, 29 at 80).
+    3. Bucket members are paired with their bucket's hub; pairs whose collision-corrected estimate is not too low are
+       verified on whole sets. How low is too low follows from the threshold and the registers in use: a pair at the
+       threshold is turned down with probability LOSS at most. The links' components join most groups at once, however
+       many copies they have.
+    4. Members of one bucket that are still in different components are compared by their estimates, block by block. What
+       likely pairs join is a family; the members of a family that are in different components are compared on whole
+       sets, again block by block. So a link between components is left untested with probability 2 * LOSS at most, and
+       blocks give edges, not pairs.
+
+    Returns one row per row with a page_id: page_id, n_shingles, component_id (the smallest page_id reachable, itself
+    included), kept (page_id = component_id). Rows that repeat a page_id stay separate rows, each with the links of its own
+    text. Other columns are ignored; an empty table gives no rows. Intermediate tables go to the shared folder; links are
+    never collected.
+    """
+    return _grouped(documents, percent).select(
+        "page_id", "n_shingles", F.coalesce("lowest", "page_id").alias("component_id")).withColumn("kept", F.col("page_id") == F.col("component_id"))
+
+
+def surplus_copies(documents: DataFrame, percent: int = 80) -> DataFrame:
+    """(page_id, text_key) of the texts that go when one of each group of near copies stays: the one with the smallest
+    page_id and, of several under it, with the smallest key. Rows without words are in no group and stay.
+    """
+    grouped = stored(_grouped(documents, percent).filter("group is not null").select("page_id", "text_key", "group").distinct(), "grouped")
+    first = grouped.groupBy("group").agg(F.min(F.struct("page_id", "text_key")).alias("first"))
+    return grouped.join(first, "group").filter(F.struct("page_id", "text_key") != F.col("first")).select("page_id", "text_key")

@@ -1,11 +1,14 @@
 """The training-data operators against plain versions, and their defined results for odd rows."""
 import base64
 import hashlib
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 
 from shopaudit.llm import archives, fingerprints, near_copies, packing, pieces, pseudonyms, quality, shards, toxicity, vectors
@@ -135,27 +138,57 @@ def test_toxicity_tells_held_out_pages_apart(spark):
     assert len(odd.collect()) == 8
 
 
-def test_near_copies_against_all_pairs(spark):
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_copies_against_all_pairs(spark, percent):
     rng, rows = random.Random(2), [(i, t) for i, t in enumerate(texts(60, 4))]
     for i in range(60, 130):
         words = rows[rng.randrange(60)][1].split()
         for _ in range(rng.randrange(3)):
             words[rng.randrange(len(words))] = "other"
         rows.append((i, " ".join(words)))
-    rows += [(1000 + (i or 0), t) for i, t in ODD if i and i != 3]
+    rows += [(1000 + i, t) for i, t in ODD if i]
+    # One page_id on texts of different groups, on near copies, and on equal rows.
+    rows += [(500, rows[0][1]), (500, rows[1][1]), (500, "nothing like it"), (3, rows[5][1] + " end"), (7, rows[7][1]), (7, rows[7][1])]
 
     def plain(t):
         w = (t or "").encode().lower().split()
-        return {tuple(w[k:k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
-    sets = {i: plain(t) for i, t in rows}
-    low = {i: i for i in sets}
-    linked = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
-    for _ in range(len(rows)):
+        return frozenset(tuple(w[k:k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset({tuple(w)} if w else ())
+    sets = [plain(t) for _, t in rows]
+    low = [i for i, _ in rows]
+    linked = [(a, b) for a in range(len(rows)) for b in range(a) if sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    before = None
+    while before != low:
+        before = list(low)
         for a, b in linked:
             low[a] = low[b] = min(low[a], low[b])
-    got = {r["page_id"]: r for r in near_copies.near_copies(pages(spark, rows + [(None, "x")])).collect()}
-    assert {i: (r["n_shingles"], r["component_id"], r["kept"]) for i, r in got.items()} == {i: (len(sets[i]), low[i], low[i] == i) for i in sets}
-    assert near_copies.near_copies(pages(spark, [])).count() == 0
+    got = [tuple(r) for r in near_copies.near_copies(pages(spark, rows + [(None, "x")]), percent).collect()]
+    assert Counter(got) == Counter((i, len(sets[k]), low[k], low[k] == i) for k, (i, _) in enumerate(rows))
+    assert near_copies.near_copies(pages(spark, []), percent).count() == 0
+
+
+def test_limits_of_estimates_follow_the_threshold():
+    for percent in (80, 85, 100):
+        assert (1 - (percent / 100) ** 3) ** near_copies.band_count(percent) <= 1e-9
+    for percent in (80, 85):
+        floors = near_copies.least_estimates(percent, 66)
+        for used in (10, 40, 66):
+            turned_down = [k for k in range(used + 1) if max(0, k / used - near_copies.COLLISION) / (1 - near_copies.COLLISION) < floors[used]]
+            p = percent / 100
+            assert sum(math.comb(used, k) * p ** k * (1 - p) ** (used - k) for k in turned_down) <= 1e-9
+            assert used < 40 or len(turned_down) > used // 3
+
+
+def test_repeated_ids_of_archives_and_vectors(spark):
+    rows = [(1, "u", "aaa"), (1, "u", "bbb"), (2, "u", "ccc"), (2, "u", "ccc"), (3, "u", "bbb"), (4, None, None), (5, "u", "é😀" * 70_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"payload_sha1": F.lit("x"), "chunk": F.lit(1), "count": F.lit("c")})
+    found = archives.archived(df).collect()
+    plain = [(p, len((h or "").encode()), base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode(),
+              "revisit" if any(h == g and q > p for q, _, g in rows) else "response") for p, _, h in rows]
+    assert Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"]) for r in found) == Counter(plain)
+    assert all(r["verified"] for r in found) and {r["refers_to"] for r in found if r["record_type"] == "revisit"} == {3}
+    table = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, .01]), (3, [.01, 1.0]), (4, [0.0, 2.0]), (5, [-1.0, 0.0])]
+    links = vectors.similar_vectors(spark.createDataFrame(table, "vector_id long, vector array<double>").withColumn("class_id", F.lit("x"))).collect()
+    assert Counter((r["vector_id"], r["n_links"], r["component_id"]) for r in links) == Counter([(1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (4, 2, 1), (5, 0, 5)])
 
 
 def test_fingerprints_stand_edits(spark):
