@@ -38,9 +38,18 @@ def keep_good(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id. Rows without doc_id stay."""
-    classes = near_copies.near_copies(_pages(docs)).filter("not kept").select(F.col("page_id").alias("doc_id"))
-    return docs.join(classes, "doc_id", "left_anti")
+    """One document of each group of near copies (similarity 0.8): the one with the smallest doc_id.
+
+    A row goes only for its own text, also where its doc_id is on other rows. Rows with equal doc_id and text are one
+    document, of which one row stays, the first by its other columns. Rows without doc_id, and rows without words, stay.
+    """
+    columns = docs.columns
+    surplus = near_copies.surplus_copies(_pages(docs)).select(F.col("page_id").alias("_id"), F.col("text_key").alias("_key"))
+    packed = docs.select(F.struct(*columns).alias("_row"), F.col("doc_id").alias("_id"), near_copies.text_key().alias("_key"))
+    others = F.to_json(F.struct(F.lit(0), *[F.col("_row").getField(c).alias(f"c{i}") for i, c in enumerate(columns) if c not in ("doc_id", "text")]))
+    numbered = packed.filter("_id is not null").groupBy("_id", "_key").agg(F.min_by("_row", others).alias("_row"))
+    kept = numbered.join(surplus, ["_id", "_key"], "left_anti").select("_row.*")
+    return kept.unionByName(docs.filter("doc_id is null"))
 
 
 def hide_people(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
