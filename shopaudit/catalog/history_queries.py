@@ -131,8 +131,8 @@ def report_matrix(spark, d):
 
 
 def reports(spark, d):
-    """Anonymous scans with their findings in order."""
-    scans = a.scans(spark, d).filter(history.tenant(F.col("org_id"), F.lit(None).cast("int")))
+    """Every scan with its findings in order."""
+    scans = a.scans(spark, d)
     f = history.first_per_check(a.findings(spark, d))
     pages = f.select("scan_id", F.col("position"), F.get("urls", 0).alias("url"), F.lit("other").alias("kind"))
     r = history.reports(scans.select("scan_id"), pages, f)
@@ -140,6 +140,13 @@ def reports(spark, d):
                     F.coalesce(F.to_json(F.col("pages.url")), F.lit("[]")).alias("urls"))
 
 
+def report_rows(spark, d):
+    """The same as rows: pages and findings of each scan with their place."""
+    f = history.first_per_check(a.findings(spark, d))
+    pages_ = f.select("scan_id", "position", F.get("urls", 0).alias("url"))
+    return history.report_rows(a.scans(spark, d), pages_, f)
+
+
 def newest_scans(spark, d):
     scans = a.scans(spark, d).filter(F.col("org_id").isNotNull())
     return history.newest(scans, ["org_id"], scalars.clamp_limit(None)).select("org_id", "scan_id", F.col("rn").cast("long").alias("rn"))
@@ -337,12 +344,20 @@ def synced_plans(spark, d):
         "org_id", "plan", "subscription_id", "customer_id")
 
 
-def call_totals(spark, d):
+def _calls(spark, d):
     k = F.get_json_object("props", "$.k").cast("long")
     calls = a.table(spark, d, "events").select(
         "user_id", F.col("event_type").alias("model"), F.col("event_id").alias("seq"), F.lit("v1").alias("prompt_version"),
         k.alias("tokens_in"), (k * 2).alias("tokens_out"), (k % 10).alias("latency_ms"), F.lit(1).alias("attempts"))
-    return monitor.call_totals(calls, "user_id")
+    return calls
+
+
+def call_totals(spark, d):
+    return monitor.call_totals(_calls(spark, d), "user_id")
+
+
+def call_models(spark, d):
+    return monitor.model_rows(_calls(spark, d), "user_id")
 
 
 def site_pointers(spark, d):
@@ -385,10 +400,10 @@ def stored_findings(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     stored_findings, site_summary, scan_verdict, latest_scans, latest_two_scans, trend, open_fails, tenant_findings, scan_diff, scan_diff_counts,
-    report_matrix, reports, newest_scans, notes_latest, notes_rejected, notes_carry, due_sites, eligible_sites,
+    report_matrix, reports, report_rows, newest_scans, notes_latest, notes_rejected, notes_carry, due_sites, eligible_sites,
     pending_rescans, tick_plan, rescan_outcomes, alerts, outbox, listings, integrity, alert_digest, scan_quota, monitor_capacity, anonymous_limit,
     accepted_requests, retention, stale_scans, next_run, site_overview, dashboard, site_deletion, site_by_host,
-    uniqueness_audit, owner_contact, subscription_match, plan_sync, synced_plans, call_totals, site_pointers, claim_origins,
+    uniqueness_audit, owner_contact, subscription_match, plan_sync, synced_plans, call_totals, call_models, site_pointers, claim_origins,
     event_log)}
 
 _HASH = "sha256('10.0.0.'||(user_id%50)||'|'||strftime(ts,'%Y-%m-%d'))"
@@ -451,7 +466,9 @@ ORACLES = {
         LEFT JOIN (SELECT scan_id, code, arg_max(status, "position") status FROM findings GROUP BY 1,2) f USING (scan_id, code)""",
     "reports": TABLES + """SELECT s.scan_id, coalesce('['||string_agg('"'||code||'"', ',' ORDER BY "position")||']','[]') codes,
         coalesce('['||string_agg('"'||url||'"', ',' ORDER BY "position")||']','[]') urls
-        FROM scans s LEFT JOIN firsts f USING (scan_id) WHERE org_id IS NULL GROUP BY 1""",
+        FROM scans s LEFT JOIN firsts f USING (scan_id) GROUP BY 1""",
+    "report_rows": TABLES + """, r AS (SELECT scan_id, code, f.status, url, row_number() OVER (PARTITION BY scan_id ORDER BY "position")-1 place FROM firsts f JOIN scans USING (scan_id))
+        SELECT scan_id, 'page' part, place, url, NULL code, NULL status FROM r UNION ALL SELECT scan_id, 'finding', place, NULL, code, status FROM r""",
     "newest_scans": TABLES + """SELECT org_id, scan_id, rn FROM (SELECT *, row_number() OVER (PARTITION BY org_id ORDER BY created_at DESC, scan_id DESC) rn
         FROM scans WHERE org_id IS NOT NULL) WHERE rn<=50""",
     "notes_latest": TABLES + "SELECT org_id, site_id, code, fingerprint, state, note FROM notes",
@@ -553,6 +570,8 @@ ORACLES = {
     "synced_plans": TABLES + _SUBS + """, last AS (SELECT org_id, arg_max(plan,event_id) p, arg_max(sub,event_id) s, arg_max(cus,event_id) c FROM effect
         WHERE result='synced' GROUP BY 1) SELECT o.org_id, coalesce(p,plan) plan, coalesce(s,subscription_id) subscription_id,
         coalesce(c,customer_id) customer_id FROM orgs o LEFT JOIN last USING (org_id)""",
+    "call_models": """SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY min(event_id))-1 place, event_type model, count(*) calls
+        FROM events GROUP BY user_id, event_type""",
     "call_totals": """WITH c AS (SELECT *, CAST(json_extract(props,'$.k') AS BIGINT) k FROM events),
         f AS (SELECT user_id, event_type, min(event_id) s FROM c GROUP BY 1,2)
         SELECT c.user_id, 'v1' prompt_version, sum(k)::BIGINT tokens_in, sum(2*k)::BIGINT tokens_out, sum(k%10)::BIGINT latency_ms, count(*) attempts,

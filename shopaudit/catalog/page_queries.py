@@ -10,6 +10,7 @@ from ..operators import classify, extract
 from ..session import derive, stored
 from ..sources import adapters as a
 from ..sources.pages import document_rows, read_pages, with_order
+from ..vocab import rules
 from . import history_queries
 
 NOW = "2026-12-01 00:00:00"
@@ -66,7 +67,7 @@ def url_screen(spark, d):
              F.concat(F.lit("http://"), (F.lit(2130706433) + F.col("page_id") * 0).cast("string")), F.concat(F.lit("https://"), host, F.lit(":8443/"))]
     typed = F.element_at(F.array(*forms), (kind + 1).cast("int"))
     return derive(_pages(spark, d).select("page_id", typed.alias("typed")), s=urls.screen_target(F.col("typed"))).select(
-        "page_id", "s.reason", F.substring("s.url", 1, 60).alias("url"), "s.hostname")
+        "page_id", "s.reason", "s.url", "s.hostname")
 
 
 def address_ranges(spark, d):
@@ -98,7 +99,7 @@ def sentences(spark, d):
 
 def excerpts(spark, d):
     return _texts(spark, d).select("doc_id", text.excerpt(F.col("text")).alias("quote"),
-                                   text.escape_html(F.substring("text", 1, 300)).alias("escaped"))
+                                   F.md5(text.escape_html(F.col("text"))).alias("escaped"))
 
 
 DEMO_TERMS = ["the", "les", "der", "license", "of the", "est*", "con"]
@@ -273,6 +274,60 @@ def page_link_targets(spark, d):
         "site", "t.kind").agg(F.count("*").alias("n"))
 
 
+def typed_pages(spark, d):
+    """Pages whose answers name content types: only markup is read, with or without a type."""
+    kinds = ["text/html", "text/html; charset=utf-8", "application/xhtml+xml", "application/pdf", "TEXT/HTML", "", None, "text/plain"]
+    kind = F.element_at(F.array(*[F.lit(k).cast("string") for k in kinds]), (F.col("page_id") % 8 + 1).cast("int"))
+    raw = _pages(spark, d).withColumns({"content_type": kind, "status_code": F.when(F.col("page_id") % 3 == 0, 404).otherwise(200)})
+    return read_pages(raw).select("page_id", "site", "position", "status_code")
+
+
+ENDINGS = [".pdf", ".JPG", ".html", ".docx", "", ".css", ".p", ".doc?x=1", ".tar.gz", ".rtf#a"]
+PATHS = ["/", "/de", "/en-gb/", "/deu", "/Produkte/x", "/product/", "/x/items/1", "/shop", "/en_gb", "/articles/1", "/p/a/b"]
+
+
+def url_kinds(spark, d):
+    """Addresses of every kind made from the pages' hosts: assets, documents, home and product paths, and none of these."""
+    root = F.regexp_extract("url", "^https?://[^/]+", 0)
+    ending = F.element_at(F.array(*[F.lit(e) for e in ENDINGS]), (F.col("page_id") % len(ENDINGS) + 1).cast("int"))
+    path = F.element_at(F.array(*[F.lit(p) for p in PATHS]), (F.col("page_id") % len(PATHS) + 1).cast("int"))
+    made = derive(_pages(spark, d).select("page_id", F.concat(root, F.lit("/files/a"), ending).alias("file"), path.alias("path")), f=urls.parse(F.col("file")))
+    return made.select("page_id", urls.is_asset(F.col("f.path")).alias("asset"), urls.is_document(F.col("file")).alias("document"),
+                       urls.is_home_path(F.col("path")).alias("home"), urls.is_product_path(F.col("path")).alias("product"))
+
+
+# A number of the form each country gives out, and one that is not.
+VAT_EXAMPLES = {
+    "ATU": ("ATU12345678", "ATU1234567"), "BE": ("BE0123456789", "BE2123456789"), "BG": ("BG123456789", "BG12345678"), "CY": ("CY12345678X", "CY123456789"),
+    "CZ": ("CZ12345678", "CZ1234567"), "DE": ("DE123456789", "DE1234567890"), "DK": ("DK12345678", "DK123456789"), "EE": ("EE123456789", "EE12345678"),
+    "EL": ("EL123456789", "EL1234567890"), "ES": ("ESX1234567X", "ESX123456X"), "FI": ("FI12345678", "FI123456789"), "FR": ("FRXX123456789", "FRIO123456789"),
+    "HR": ("HR12345678901", "HR1234567890"), "HU": ("HU12345678", "HU123456789"), "IE": ("IE1234567WA", "IE12345678"), "IT": ("IT12345678901", "IT1234567890"),
+    "LT": ("LT123456789", "LT1234567890"), "LU": ("LU12345678", "LU123456789"), "LV": ("LV12345678901", "LV1234567890"), "MT": ("MT12345678", "MT123456789"),
+    "NL": ("NL123456789B01", "NL123456789C01"), "PL": ("PL1234567890", "PL123456789"), "PT": ("PT123456789", "PT1234567890"), "RO": ("RO1234567890", "RO12345678901"),
+    "SE": ("SE123456789012", "SE12345678901"), "SI": ("SI12345678", "SI123456789"), "SK": ("SK1234567890", "SK123456789"), "XI": ("XI123456789", "XI12345678")}
+
+
+def vat_numbers(spark, d):
+    """VAT numbers of all countries as shops write them, plain or in groups, and numbers that are one sign off."""
+    k = F.col("p_partkey")
+    both = [x for pair in VAT_EXAMPLES.values() for x in pair]
+    number = F.element_at(F.array(*[F.lit(x) for x in both]), (k % len(both) + 1).cast("int"))
+    spaced = F.regexp_replace(number, "([0-9]{3})(?=[0-9]{3})", "$1 ")
+    line = F.concat(F.lit("VAT no. "), F.when(k % 3 == 0, spaced).otherwise(number), F.lit(", part "), k.cast("string"), F.lit("."))
+    return a.table(spark, d, "part").select("p_partkey", signals.has_vat_number(line).alias("found"))
+
+
+def script_vendors(spark, d):
+    """Script addresses of every chat and consent vendor, upper or lower case, and addresses of none."""
+    k, tables = F.col("p_partkey"), (rules.CHAT_VENDORS, rules.CONSENT_VENDORS)
+    signs = [sign for vendors in tables for patterns in vendors.values() for sign in patterns] + ["cdn.example.com", "cookie.example"]
+    sign = F.element_at(F.array(*[F.lit(x) for x in signs]), (k % len(signs) + 1).cast("int"))
+    url = F.concat(F.lit("https://"), F.when(k % 2 == 0, F.upper(sign)).otherwise(sign), F.lit("/l.js?"), k.cast("string"))
+    scripts = F.array(F.lit("https://cdn.example.com/a.js"), url)
+    hit = lambda vendors: F.get(signals.vendor_scripts(scripts, vendors), 0)["name"]
+    return a.table(spark, d, "part").select("p_partkey", hit(rules.CHAT_VENDORS).alias("chat"), hit(rules.CONSENT_VENDORS).alias("consent"))
+
+
 def nested_buttons(spark, d):
     """Buttons of pages on which elements of one name lie in each other, in lists and in templates."""
     k = F.col("p_partkey")
@@ -292,7 +347,7 @@ QUERIES = {f.__name__: f for f in (
     url_normalise, url_parts, url_screen, address_ranges, match_form, sentences, excerpts, term_match, first_email,
     stated_periods, registrations, labels, references, json_ld, fingerprints, client_addresses, dates, page_titles,
     page_headings, page_links, page_text, page_rows, a11y_counts, site_locales, page_findings, green_candidates,
-    green_reviewed, page_link_targets, nested_buttons)}
+    green_reviewed, page_link_targets, nested_buttons, typed_pages, url_kinds, vat_numbers, script_vendors)}
 
 _HOST = "lower(regexp_extract(url,'^https?://([^/]+)',1))"
 _SITE = f"regexp_replace({_HOST},'^www\\.','')"
@@ -350,7 +405,7 @@ ORACLES = {
     "excerpts": """WITH c AS (SELECT doc_id, text, trim(regexp_replace(text,'\\s+',' ','g')) t FROM documents),
         e AS (SELECT *, substr(t,1,200) h, 200-strpos(reverse(substr(t,1,200)),' ') sp FROM c)
         SELECT doc_id, CASE WHEN length(t)<=200 THEN t WHEN strpos(h,' ')>0 AND sp>100 THEN rtrim(substr(h,1,sp))||'…' ELSE rtrim(h)||'…' END quote,
-        replace(replace(replace(replace(replace(substr(text,1,300),'&','&amp;'),'<','&lt;'),'>','&gt;'),'"','&quot;'),'''','&#39;') escaped FROM e""",
+        md5(replace(replace(replace(replace(replace(text,'&','&amp;'),'<','&lt;'),'>','&gt;'),'"','&quot;'),'''','&#39;')) escaped FROM e""",
     "term_match": f"""WITH d AS (SELECT lang, {_FORM.format('text')} f FROM documents),
         m AS (SELECT lang, CASE WHEN {_WORD.format('the'+_END)} THEN 'the' WHEN {_WORD.format('les'+_END)} THEN 'les' WHEN {_WORD.format('der'+_END)} THEN 'der'
           WHEN {_WORD.format('license'+_END)} THEN 'license' WHEN {_WORD.format('of the'+_END)} THEN 'of the' WHEN {_WORD.format('est')} THEN 'est*'
@@ -369,6 +424,13 @@ ORACLES = {
         SELECT p_partkey, regexp_replace(substr(regexp_replace(s,'^-+|-+$','','g'),1,40),'-+$','') slug, (p_size%3)||CASE WHEN p_size%3=1 THEN ' page' ELSE ' pages' END pages,
         lower(substr(p_name,1,1))||substr(upper(p_name),2) AS name, ['de','en',NULL,'fr',NULL][p_size%5+1] "language" FROM r""",
     "references": "SELECT p_partkey, '&® ✓≠ &lt; © 2 €'||p_partkey||' '||chr(CAST(p_partkey%26+65 AS INTEGER))||' € &bogus; é'||p_partkey decoded FROM part",
+    "typed_pages": f"""SELECT page_id, site, row_number() OVER (PARTITION BY site ORDER BY page_id)-1 AS "position", CASE WHEN page_id%3=0 THEN 404 ELSE 200 END status_code
+        FROM (SELECT page_id, {_SITE} site FROM pages WHERE page_id%8 IN (0,1,2,4,5,6))""",
+    "url_kinds": """SELECT page_id, page_id%10 IN (0,1,3,5,7,9) asset, page_id%10 IN (0,3,7,9) AS "document", page_id%11 IN (0,1,2) home, page_id%11 IN (4,6,10) product FROM pages""",
+    "vat_numbers": f"SELECT p_partkey, p_partkey%{2 * len(VAT_EXAMPLES)}%2=0 found FROM part",
+    "script_vendors": (lambda names: f"""WITH v AS (SELECT p_partkey, {names}[p_partkey%{len(names)}+1] n FROM part)
+        SELECT p_partkey, CASE WHEN n LIKE 'chat %' THEN n[6:] END chat, CASE WHEN n LIKE 'site %' THEN n[6:] END consent FROM v""")(
+        [f"{kind} {name}" for kind, vendors in (("chat", rules.CHAT_VENDORS), ("site", rules.CONSENT_VENDORS)) for name, signs in vendors.items() for _ in signs] + ["", ""]),
     "nested_buttons": """WITH h AS (SELECT p_partkey k, regexp_extract_all('<html><body><div>before</div><div class="b" role="button">A'||repeat('<div>n', p_partkey%4)||'x'||
           repeat('</div>', p_partkey%4)||'<div role="button">in'||p_partkey||'<div></div></div> end</div><div>between</div><span role=button>S<span>t</span></span><ul><li role="button">L'||
           '<ul><li>inner</li></ul> tail</li></ul><template><div role="button">no</div><template><i>x</i></template><button>no</button></template><button>B</button>'||

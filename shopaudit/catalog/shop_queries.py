@@ -8,6 +8,7 @@ from ..checks import findings as checks
 from ..operators import crawl, extract, history
 from ..session import stored
 from ..sources import shops
+from ..vocab import copy
 
 NOW = "2026-12-01 00:00:00"
 
@@ -61,12 +62,21 @@ def shop_claims(spark, d):
         "site", "status", F.col("o").cast("long").alias("place"), "c.url", "c.quote", "c.source", "c.rule", "c.reason", "c.rewording", "origin")
 
 
+def answered_findings(spark, d):
+    """Statuses after reviews whose stored answers are read: every tenth answer is cut off, every other tenth is no list."""
+    k = F.col("k")
+    reviewed = _review(spark, d).join(shops.shop_sites(spark, d).select("site", "k"), "site")
+    whole = F.to_json(F.array(F.struct(F.lit(0).alias("index"), "verdict", "rewording", "reason")))
+    answer = F.when(k % 10 == 3, F.substring(whole, 1, 20)).when(k % 10 == 6, F.lit('{"index":0}')).otherwise(whole)
+    verdicts, broken = checks.read_answers(reviewed.select("site", answer.alias("answer")))
+    found = checks.audit(_documents(spark, d), NOW, verdicts, broken=broken).findings
+    return found.select("site", "code", "status", F.get_json_object("meta", "$.v.error").alias("error"))
+
+
 def shop_reports(spark, d):
     """What a report says about each finding besides its quotes: weight, law, and the markup it suggests."""
     found = checks.audit(_documents(spark, d), NOW).findings
-    return found.select("site", "code", "severity", F.col("citation.article").alias("article"), "evidence_total",
-                        F.when(F.col("code").isin("withdrawal_function", "accessibility_statement", "legal_notice", "a11y_sample"),
-                               F.col("fix.html")).alias("html"))
+    return found.select("site", "code", "severity", "title", F.col("citation.article").alias("article"), "evidence_total", F.col("fix.html").alias("html"))
 
 
 def shop_plan(spark, d):
@@ -81,6 +91,18 @@ def shop_limitations(spark, d):
                                                 F.size("errors").cast("long").alias("errors"))
 
 
+def limitation_rows(spark, d):
+    docs = _documents(spark, d)
+    plan = crawl.crawl_plan(shops.shop_seeds(spark, d), docs, shops.shop_robots(spark, d))
+    return crawl.limitation_rows(docs, plan).select("site", "kind", "place", F.regexp_extract("url", "^https?://[^/]+(.*)$", 1).alias("path"), "message")
+
+
+def short_plan(spark, d):
+    """The same plan with six pages a site: what is beyond them is planned, not fetched."""
+    plan = crawl.crawl_plan(shops.shop_seeds(spark, d), _documents(spark, d), shops.shop_robots(spark, d), 6)
+    return plan.groupBy("site", "state").agg(F.count("*").alias("n"))
+
+
 def _planned(spark, d):
     docs = _documents(spark, d)
     plan = crawl.crawl_plan(shops.shop_seeds(spark, d), docs, shops.shop_robots(spark, d))
@@ -104,7 +126,7 @@ def shop_failures(spark, d):
     return crawl.failure_reasons(shops.shop_seeds(spark, d), broken, None)
 
 
-QUERIES = {f.__name__: f for f in (shop_kinds, shop_contents, shop_findings, shop_evidence, shop_claims, shop_reports, shop_plan, shop_limitations, planned_pages, planned_findings, shop_failures)}
+QUERIES = {f.__name__: f for f in (shop_kinds, shop_contents, shop_findings, shop_evidence, shop_claims, answered_findings, shop_reports, shop_plan, shop_limitations, limitation_rows, short_plan, planned_pages, planned_findings, shop_failures)}
 
 _SHOPS = """WITH s AS (SELECT s_suppkey k, 'shop'||s_suppkey||'.'||['de','com','fr','example'][s_suppkey%4+1] site, s_suppkey%20=19 shell,
    (SELECT count(*) FROM part WHERE p_partkey//20=s_suppkey) goods FROM supplier)"""
@@ -149,9 +171,13 @@ _EVIDENCE = _SHOPS + """, r AS (SELECT *, 'https://'||site root, (SELECT min(p_p
      UNION ALL SELECT k, 'legal_notice', 1, root||'/access', 'Tell us' FROM h WHERE NOT shell AND k%6=5 AND k%5=0
      UNION ALL SELECT k, 'eu_targeting', 0, root||'/products/p'||good, '€ '||format('{:.2f}', price) FROM h WHERE NOT shell AND good IS NOT NULL AND k%3<>2
      UNION ALL SELECT k, 'eu_targeting', 1, home, 'We ship to the EU every day.' FROM h WHERE NOT shell AND k%5=2
-     UNION ALL SELECT k, 'eu_targeting', 2, home, 'lang="'||CASE k%5 WHEN 1 THEN 'de' ELSE 'fr' END||'"' FROM h WHERE k%5 IN (1,2)
+     UNION ALL SELECT k, 'eu_targeting', 2, home, 'lang="'||CASE k%5 WHEN 1 THEN 'de' WHEN 2 THEN 'fr' ELSE ['it','es-ES','nl'][k%15//5+1] END||'"' FROM h WHERE k%5 IN (1,2,4)
      UNION ALL SELECT k, 'eu_targeting', 3, home, 'Domain ends in .'||CASE k%4 WHEN 0 THEN 'de' ELSE 'fr' END FROM h WHERE k%4 IN (0,2))"""
 
+_quoted = lambda x: "'" + x.replace("'", "&#39;") + "'"
+_LABEL_ROWS = "[" + ",".join("[" + ",".join(map(_quoted, (lang, *labels))) + "]" for lang, labels in copy.LABELS.items()) + "]"
+_TITLE_ROWS = "[" + ",".join(f"['{code}','{title}']" for code, title in copy.TITLES.items()) + "]"
+
 ORACLES = {
     "shop_evidence": _EVIDENCE + """SELECT site, code, row_number() OVER (PARTITION BY k, code ORDER BY o)-1 AS place, url, quote FROM e JOIN s USING (k)""",
     "shop_claims": _SHOPS + """SELECT site, 'fail' status, 0::BIGINT place, 'https://'||site||'/' url,
@@ -165,16 +191,25 @@ ORACLES = {
           ['green_claims','high','Annex I, points 2a, 4a and 4c'],['accessibility_statement','medium','Art. 13(2) and Annex V'],['a11y_sample','low','Annex I'],
           ['ai_disclosure','medium','Art. 50(1)'],['cookie_parity','medium','Art. 5(3)'],['legal_notice','high','Art. 5(1)'],['eu_targeting','low','Art. 17(1)(c)']]) x),
         n AS (SELECT k of_k, code of_code, count(*) total FROM e GROUP BY 1, 2),
-        f AS (SELECT *, CASE WHEN k%5 IN (1,2) THEN ['de','fr'][k%5] WHEN k%5=3 AND k%4 IN (0,2) THEN CASE k%4 WHEN 0 THEN 'de' ELSE 'fr' END ELSE 'en' END lang FROM h)
-        SELECT site, x[1] code, x[2] severity, x[3] article, coalesce(total, 0)::BIGINT evidence_total, CASE x[1]
-          WHEN 'withdrawal_function' THEN '<a class="button" href="/withdraw">'||CASE lang WHEN 'de' THEN 'Vertrag hier widerrufen' WHEN 'fr' THEN 'Se rétracter du contrat ici' ELSE 'Withdraw from contract here' END||'</a>'
+        f AS (SELECT *, CASE WHEN k%5 IN (1,2) THEN ['de','fr'][k%5] WHEN k%5=4 THEN ['it','es','nl'][k%15//5+1]
+          WHEN k%5=3 AND k%4 IN (0,2) THEN CASE k%4 WHEN 0 THEN 'de' ELSE 'fr' END ELSE 'en' END lang FROM h),
+        l AS (SELECT unnest(""" + _LABEL_ROWS + """) x),
+        t AS (SELECT unnest(""" + _TITLE_ROWS + """) t)
+        SELECT site, x[1] code, x[2] severity, t.t[2] title, x[3] article, coalesce(total, 0)::BIGINT evidence_total, CASE x[1]
+          WHEN 'withdrawal_function' THEN '<a class="button" href="/withdraw">'||w[2]||'</a>'||chr(10)||'<form method="post" action="/withdraw">'||chr(10)||
+            '<p><label for="contract">'||w[6]||'</label> <input id="contract" name="contract" required></p>'||chr(10)||'<p><label for="receipt">'||w[7]||
+            '</label> <input id="receipt" name="receipt" type="email" required></p>'||chr(10)||'<p><button type="submit" name="step" value="confirm">'||w[8]||'</button></p>'||chr(10)||'</form>'
+          WHEN 'withdrawal_policy' THEN '<p>You may withdraw from this contract within 14 days without giving a reason.</p>'
+          WHEN 'green_claims' THEN CASE WHEN k%6=0 AND NOT shell THEN '<p>We pay for climate projects; our products are not neutral for that.</p>'
+            ELSE '<p>Our boxes are made from 100 % recycled board.</p>' END
+          WHEN 'ai_disclosure' THEN '<p>'||w[3]||'</p>'
+          WHEN 'cookie_parity' THEN '<button type="button">Reject all</button><button type="button">Accept all</button>'
           WHEN 'accessibility_statement' THEN '<h1>Accessibility statement</h1>'||chr(10)||'<p>Write to <a href="mailto:accessibility@'||site||'">accessibility@'||site||'</a>.</p>'
-          WHEN 'legal_notice' THEN '<footer><a href="'||CASE WHEN NOT shell AND k%6<>5 THEN '/imprint' WHEN lang='de' THEN '/impressum' WHEN lang='fr' THEN '/mentions-legales' ELSE '/legal-notice' END||'">'||
-            CASE lang WHEN 'de' THEN 'Impressum' WHEN 'fr' THEN 'Mentions légales' ELSE 'Legal notice' END||'</a></footer>'
+          WHEN 'legal_notice' THEN '<footer><a href="'||CASE WHEN NOT shell AND k%6<>5 THEN '/imprint' ELSE w[5] END||'">'||w[4]||'</a></footer>'
           WHEN 'a11y_sample' THEN nullif(concat_ws(chr(10), CASE WHEN k%5=3 AND NOT shell THEN '<html lang="'||lang||'">' END, CASE WHEN k%8=1 OR shell THEN '<h1>Linen shirt</h1>' END,
             CASE WHEN k%5=0 AND NOT shell THEN '<img src="/shirt.jpg" alt="Linen shirt">' END,
             CASE WHEN k%7=0 AND NOT shell THEN '<label for="mail">E-mail</label><input id="mail" name="mail" type="email">' END), '') END html
-        FROM f CROSS JOIN c LEFT JOIN n ON of_k=k AND of_code=x[1]""",
+        FROM f CROSS JOIN c JOIN (SELECT x w FROM l) ON w[1]=lang JOIN t ON t.t[1]=x[1] LEFT JOIN n ON of_k=k AND of_code=x[1]""",
     "shop_contents": _SHOPS + """SELECT site, CASE WHEN shell THEN 0 ELSE goods + CASE k%4 WHEN 0 THEN 2 WHEN 2 THEN 1 ELSE 0 END END buttons,
         CASE WHEN shell THEN 0 ELSE (k%7=0)::INT + (k%5=2)::INT END::BIGINT forms, CASE WHEN shell THEN 0 ELSE 1 END::BIGINT images,
         CASE WHEN shell THEN 6 ELSE 1 + (k%3=0)::INT + (k%4=1)::INT END::BIGINT scripts, CASE WHEN shell THEN 0 ELSE goods END products FROM s""",
@@ -189,7 +224,7 @@ ORACLES = {
           CASE WHEN shell THEN 'unknown' WHEN k%4=0 THEN 'pass' WHEN k%4=2 THEN 'warn' ELSE 'unknown' END cookie_parity,
           CASE WHEN shell THEN 'unknown' WHEN k%6=0 THEN 'pass' WHEN k%6 IN (1,2,3) THEN 'warn' WHEN k%6=4 THEN 'fail'
                WHEN k%5=0 THEN 'warn' ELSE 'fail' END legal_notice,
-          CASE WHEN k%5 IN (1,2) OR k%4 IN (0,2) OR (k%3<>2 AND goods>0 AND NOT shell) THEN 'pass' ELSE 'unknown' END eu_targeting FROM s)
+          CASE WHEN k%5 IN (1,2,4) OR k%4 IN (0,2) OR (k%3<>2 AND goods>0 AND NOT shell) THEN 'pass' ELSE 'unknown' END eu_targeting FROM s)
         SELECT site, code, status FROM (UNPIVOT f ON COLUMNS(* EXCLUDE (site, shell)) INTO NAME code VALUE status)""",
     "shop_kinds": None,
     "shop_plan": _SHOPS + """, p AS (
@@ -223,3 +258,20 @@ ORACLES["planned_pages"] = _SHOPS + """, p AS (
    SELECT site, "position", CASE x[1] WHEN 0 THEN 'home' WHEN 4 THEN 'account' WHEN 9 THEN 'cart' ELSE CASE WHEN x[1]<4 THEN 'legal' ELSE 'product' END END kind,
      CASE WHEN x[1]=4 THEN 404 ELSE 200 END status_code, CASE WHEN x[1] BETWEEN 5 AND 8 THEN '/products/p'||(k*20+x[1]-5)
      ELSE ['/','/imprint','/returns','/access','/account','','','','','/cart'][x[1]+1] END path FROM o WHERE NOT (x[1]=2 AND k%7=6)"""
+ORACLES["limitation_rows"] = _SHOPS + """, g AS (SELECT k, i FROM s, range(4) g(i) WHERE i<goods AND NOT shell AND ((k%15=0 AND (k*20+i)%10<>0) OR (k=8 AND (k*20+i)%3<>1))),
+   r AS (SELECT k, 'shell' kind, 0 o, '/' path, NULL message FROM s WHERE shell
+     UNION ALL SELECT k, 'robots', i, '/products/p'||(k*20+i), NULL FROM g UNION ALL SELECT k, 'robots', 9, '/cart', NULL FROM s WHERE k%10=0 AND NOT shell
+     UNION ALL SELECT k, 'http', 0, '/account', 'HTTP 404' FROM s WHERE NOT shell)
+   SELECT site, kind, row_number() OVER (PARTITION BY k, kind ORDER BY o)-1 place, path, message FROM r JOIN s USING (k)"""
+# Six pages: the start and five of round one, in the order of the slots; a second round only where one of the five is free.
+ORACLES["short_plan"] = _SHOPS + """, w AS (SELECT *, (k%6<>5)::INT + (k%7<>6 OR k%4=0)::INT + (k%5<>4)::INT + 2 - (k%10=0)::INT + least(goods, 4)
+       - (SELECT count(*) FROM range(4) g(i) WHERE i<goods AND ((k%15=0 AND (k*20+i)%10<>0) OR (k=8 AND (k*20+i)%3<>1))) open_ones,
+       (k%10=0)::INT + (SELECT count(*) FROM range(4) g(i) WHERE i<goods AND ((k%15=0 AND (k*20+i)%10<>0) OR (k=8 AND (k*20+i)%3<>1))) shut FROM s),
+   n AS (SELECT site, CASE WHEN shell THEN 1 ELSE 1 + least(5, open_ones) + CASE WHEN open_ones<5 AND k%6<>5 THEN 1 ELSE 0 END END AS "fetch",
+       CASE WHEN shell THEN 0 ELSE shut END blocked, CASE WHEN shell THEN 0 ELSE greatest(open_ones-5, 0) END over_budget FROM w)
+   SELECT site, state, n FROM (UNPIVOT n ON "fetch", blocked, over_budget INTO NAME state VALUE n) WHERE n>0"""
+ORACLES["answered_findings"] = _SHOPS + _STATUSES + """, u AS (SELECT k, shell, code, status FROM (UNPIVOT f ON COLUMNS(* EXCLUDE (site, shell)) INTO NAME code VALUE status) v
+     JOIN (SELECT site of_site, k FROM s) ON of_site=v.site)
+   SELECT site, code, CASE WHEN code<>'green_claims' THEN status WHEN k%10 IN (3,6) THEN 'unknown' WHEN NOT u.shell AND k%6=3 THEN CASE WHEN k%4=1 THEN 'fail' ELSE 'pass' END
+       ELSE status END status, CASE WHEN code='green_claims' THEN CASE k%10 WHEN 3 THEN 'The answer of the review is no JSON.'
+       WHEN 6 THEN 'The answer of the review is no list of verdicts.' END END error FROM u JOIN s USING (k)"""

@@ -278,6 +278,15 @@ def _label(position: int) -> Column:
     return F.element_at(F.create_map(*pairs), F.col("locale"))
 
 
+# A link, and the page it leads to: which contract, where the receipt goes, and a second step that confirms.
+WITHDRAWAL_FORM = """<a class="button" href="/withdraw">%s</a>
+<form method="post" action="/withdraw">
+<p><label for="contract">%s</label> <input id="contract" name="contract" required></p>
+<p><label for="receipt">%s</label> <input id="receipt" name="receipt" type="email" required></p>
+<p><button type="submit" name="step" value="confirm">%s</button></p>
+</form>"""
+
+
 def _text(template: str, *cols: Column) -> Column:
     return F.format_string(template, *cols)
 
@@ -330,7 +339,7 @@ class Rules:
 
     def withdrawal_function(self) -> Column:
         applies = self.applies("withdrawal_function")
-        fix = _fix("withdrawal_function", _text('<a class="button" href="/withdraw">%s</a>', escape_html(_label(0))))
+        fix = _fix("withdrawal_function", _text(WITHDRAWAL_FORM, *[escape_html(_label(i)) for i in (0, 4, 5, 6)]))
         return self.row("withdrawal_function", [
             (self.total("function") > 0, "pass",
              _text("The shop seems to offer withdrawal on the site; confirm the second step by hand. The duty %s.", applies),
@@ -508,10 +517,42 @@ def verdict_rows(reviewed: bool) -> Column:
     return Rules(reviewed).all()
 
 
+ANSWER = "array<struct<index:int,verdict:string,rewording:string,reason:string>>"
+
+
+def read_answers(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored answers of reviews (site, answer: a JSON list of index, verdict, rewording, reason) as verdicts, and the checks
+    that an unreadable answer breaks: (site, code, error). An answer is read as a whole or not at all.
+    """
+    read = answers.select("site", "answer", F.try_parse_json("answer").alias("parsed")).withColumn(
+        "rows", F.try_variant_get("parsed", "$", ANSWER))
+    problem = F.when(F.col("parsed").isNull(), "The answer of the review is no JSON.").when(
+        F.col("rows").isNull(), "The answer of the review is no list of verdicts.")
+    broken = read.filter(problem.isNotNull()).select("site", F.lit("green_claims").alias("code"), problem.alias("error"))
+    verdicts = read.select("site", F.posexplode("rows").alias("seq", "r")).select(
+        "site", "seq", F.col("r.index").cast("long").alias("idx"), "r.verdict", "r.rewording", "r.reason")
+    return verdicts, broken
+
+
+def _contained(details: DataFrame, broken: DataFrame | None) -> DataFrame:
+    """Findings of checks that broke on a site become unknown and carry the error; all others stay as they are."""
+    if broken is None:
+        return details
+    errors = broken.groupBy("site", "code").agg(F.min("error").alias("error"))
+    hit = F.col("error").isNotNull()
+    fix = F.struct(F.lit(copy.BROKEN_FIX).alias("summary"), F.lit(None).cast("string").alias("html"))
+    return details.join(errors, ["site", "code"], "left").withColumns({
+        "status": F.when(hit, "unknown").otherwise(F.col("status")), "detail": F.when(hit, copy.BROKEN_NOTE).otherwise(F.col("detail")),
+        "evidence": F.when(hit, F.array().cast(EVIDENCE)).otherwise(F.col("evidence")), "grp": F.when(hit, "").otherwise(F.col("grp")),
+        "meta": F.when(hit, F.to_json(F.struct(F.struct("error").alias("v")))).otherwise(F.col("meta")),
+        "fix": F.when(hit, fix).otherwise(F.col("fix"))}).drop("error")
+
+
 def audit(documents: DataFrame, now: str, verdicts: DataFrame | None = None, failed: DataFrame | None = None,
-          keep: bool = True, **vocabularies) -> Audit:
+          keep: bool = True, broken: DataFrame | None = None, **vocabularies) -> Audit:
     """Run the nine checks over all sites. ``keep`` stores the page signals and the evidence rows once,
-    as several steps read them."""
+    as several steps read them. ``broken`` (site, code, error) names checks that could not be completed on a site: they
+    become unknown with their error, and nothing else changes."""
     signals = page_signals(documents, **vocabularies)
     categories = classify.page_categories(documents.filter(F.col("status_code").between(200, 299)))
     if keep:
@@ -531,7 +572,7 @@ def audit(documents: DataFrame, now: str, verdicts: DataFrame | None = None, fai
             .join(listed(rows), "site", "left"))
     zero = {n: F.coalesce(n, F.lit(0).cast("long")) for n in ("policy_pages", "accessible_pages", "imprint_pages", "legal_pages")}
     found = wide.withColumns(zero).select("site", "lists", F.posexplode(verdict_rows(verdicts is not None)).alias("position", "f"))
-    details = found.select("site", "position", "f.*", "lists")
+    details = _contained(found.select("site", "position", "f.*", "lists"), broken)
     total = F.when(F.col("grp") != "", F.coalesce(F.element_at("lists", F.col("grp"))["total"], F.lit(0)))
     long_list = F.coalesce(total > F.size("evidence"), F.lit(False))
     # One rule for lists of any length: the digest of all addresses, whether or not the finding carries them all.

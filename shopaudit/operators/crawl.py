@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import urls
-from ..session import built_once, derive, first_by, let, stored
+from ..session import built_once, derive, first_by, let, positions, stored
 from ..vocab.crawl import LEGAL_CATEGORIES
 from .classify import target_of
 
@@ -188,6 +188,25 @@ def limitations(documents: DataFrame, plan: DataFrame) -> DataFrame:
         F.transform("e", lambda x: F.struct(x["url"], x["message"])).alias("errors"))
 
 
+def limitation_rows(documents: DataFrame, plan: DataFrame) -> DataFrame:
+    """What a scan could not see as a long table: (site, kind, place, url, message), for sites of any size.
+
+    ``kind`` is shell (the home page is filled by scripts), robots (addresses the rules block, in the order of the plan) or
+    http (pages that answered with an error, in page order).
+    """
+    shell = first_by(documents.select("site", "position", "url", "js_shell"), ["site"], [F.col("position")]).filter("js_shell").select(
+        "site", F.lit("shell").alias("kind"), F.lit(0).cast("long").alias("order"), "url", F.lit(None).cast("string").alias("message"))
+    # Rounds hold fewer addresses than this.
+    blocked = plan.filter(F.col("state") == "blocked").select(
+        "site", F.lit("robots").alias("kind"), (F.col("round").cast("long") * 1_000_000 + F.col("rank")).alias("order"), "url",
+        F.lit(None).cast("string").alias("message"))
+    errors = documents.filter(~F.col("status_code").between(200, 299)).select(
+        "site", F.lit("http").alias("kind"), F.col("position").cast("long").alias("order"), "url",
+        F.concat(F.lit("HTTP "), F.col("status_code").cast("string")).alias("message"))
+    rows = positions(shell.unionByName(blocked).unionByName(errors), ["site", "kind"], "order", "place")
+    return rows.select("site", "kind", "place", "url", "message")
+
+
 def failure_reasons(seeds: DataFrame, documents: DataFrame, robots: DataFrame | None = None,
                     errors: DataFrame | None = None) -> DataFrame:
     """(site, reason): NULL when a page loaded, else robots, the home page's status, or the first error."""

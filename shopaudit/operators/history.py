@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import trim_all
-from ..session import first_by
+from ..session import first_by, positions
 from ..vocab import copy
 
 STATUSES = ["pass", "fail", "warn", "unknown"]
@@ -176,6 +176,18 @@ def reports(scans: DataFrame, pages: DataFrame, findings: DataFrame) -> DataFram
     return scans.join(page_list, "scan_id", "left").join(found, "scan_id", "left")
 
 
+def report_rows(scans: DataFrame, pages: DataFrame, findings: DataFrame) -> DataFrame:
+    """Pages and findings of each scan as a long table: (scan_id, part, place, url, code, status), for scans of any size."""
+    own = scans.select("scan_id")
+    page_rows = pages.join(own, "scan_id", "left_semi").select(
+        "scan_id", F.lit("page").alias("part"), F.col("position").cast("long").alias("order"), "url",
+        F.lit(None).cast("string").alias("code"), F.lit(None).cast("string").alias("status"))
+    found = findings.join(own, "scan_id", "left_semi").select(
+        "scan_id", F.lit("finding").alias("part"), F.col("position").cast("long").alias("order"), F.lit(None).cast("string").alias("url"), "code", "status")
+    ranked = positions(page_rows.unionByName(found), ["scan_id", "part"], "order", "place")
+    return ranked.select("scan_id", "part", "place", "url", "code", "status")
+
+
 def newest(rows: DataFrame, keys: list[str], limit: int, order: str = "created_at", tie: str = "scan_id") -> DataFrame:
     """Newest-first listing per key, cut to ``limit``."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).desc(), F.col(tie).desc()))

@@ -10,7 +10,8 @@ from ..session import first_by
 
 # Limits per plan (None is unlimited) and anonymous scans per requester and day.
 LIMITS = {"free": {"scans_per_month": 5, "monitored_sites": 1}, "pro": {"scans_per_month": None, "monitored_sites": 10}}
-MOST_MONITORED = 10
+# The most sites any plan covers; a plan without limit would lift it.
+MOST_MONITORED = max(limit["monitored_sites"] or 1 << 31 for limit in LIMITS.values())
 ANONYMOUS_PER_DAY = 3
 PAID_STATES = ["active", "trialing", "past_due"]
 

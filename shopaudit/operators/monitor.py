@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import next_run, payload_text, scan_time
-from ..session import first_by, running_totals
+from ..session import first_by, positions, running_totals
 from . import history
 from .limits import MOST_MONITORED, plan_limit
 
@@ -235,6 +235,12 @@ def call_totals(calls: DataFrame, key: str) -> DataFrame:
     return sums.join(models, key)
 
 
+def model_rows(calls: DataFrame, key: str) -> DataFrame:
+    """Models of a scan's calls in the order of first use as a long table: (key, place, model, calls)."""
+    used = calls.groupBy(key, "model").agg(F.min("seq").alias("seq"), F.count("*").alias("calls"))
+    return positions(used, [key], "seq", "place").select(key, "place", "model", "calls")
+
+
 def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that occur more than once although they should be unique. Keys with a NULL never clash."""
     return df.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > 1)

@@ -38,7 +38,8 @@ def shop_pages(spark: SparkSession, folder: str) -> DataFrame:
     goods = (part.groupBy(slots.alias("k")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name", "p_retailprice"))).alias("goods")))
     sites = shop_sites(spark, folder).join(goods, "k", "left").withColumn("goods", F.coalesce("goods", F.array().cast(
         "array<struct<p_partkey:bigint,p_name:string,p_retailprice:double>>")))
-    lang = F.element_at(F.array(*[F.lit(x) for x in (' lang="en"', ' lang="de"', ' lang="fr"', "", ' lang="en-GB"')]), (k % 5 + 1).cast("int"))
+    lang = F.element_at(F.array(*[F.lit(x) for x in (' lang="en"', ' lang="de"', ' lang="fr"', "")] + [F.concat(
+        F.lit(' lang="'), F.element_at(F.array(F.lit("it"), F.lit("es-ES"), F.lit("nl")), (k % 15 / 5).cast("int") + 1), F.lit('"'))]), (k % 5 + 1).cast("int"))
     head = lambda title, extra="": _text("<!DOCTYPE html><html", lang, "><head><title>", title, "</title>", extra, "</head><body>")
     foot = "<footer><p>Thank you for your visit.</p></footer></body></html>"
     links = F.array_join(F.transform("goods", lambda g: _text(

@@ -47,3 +47,43 @@ def test_findings(spark, documents):
     assert rows["shop.example", "legal_notice"]["evidence"][0]["quote"] == "Lindenstraße 12 10115 Berlin"
     total = sum(r["evidence_total"] for r in rows.values())
     assert audit.evidence.count() == total
+
+
+def test_a_check_that_breaks_stays_alone(documents, spark):
+    whole = {(r["site"], r["code"]): r.asDict(True) for r in findings.audit(documents, "2026-12-01").findings.collect()}
+    broken = spark.createDataFrame([("shop.example", "cookie_parity", "boom"), ("shop.example", "cookie_parity", "later"), ("nowhere", "a11y_sample", "x")],
+                                   "site string, code string, error string")
+    after = {(r["site"], r["code"]): r.asDict(True) for r in findings.audit(documents, "2026-12-01", broken=broken).findings.collect()}
+    assert after.keys() == whole.keys() and len(after) == 18
+    hit = after.pop(("shop.example", "cookie_parity"))
+    assert hit["status"] == "unknown" and '"error":"boom"' in hit["meta"] and hit["evidence"] == [] and hit["evidence_total"] == 0
+    whole.pop(("shop.example", "cookie_parity"))
+    assert after == whole
+
+
+def test_answers_are_read_whole_or_not_at_all(spark):
+    rows = [("a", '[{"index":1,"verdict":"not_environmental","reason":"r"},{"index":0,"verdict":"x","reason":"s","rewording":"w"}]'), ("b", "[{"), ("c", "[]"),
+            ("d", '{"index":1}'), ("e", None)]
+    verdicts, broken = findings.read_answers(spark.createDataFrame(rows, "site string, answer string"))
+    assert [(r["site"], r["seq"], r["idx"], r["verdict"], r["rewording"]) for r in verdicts.orderBy("site", "seq").collect()] == [
+        ("a", 0, 1, "not_environmental", None), ("a", 1, 0, "x", "w")]
+    assert {(r["site"], r["code"]) for r in broken.collect()} == {("b", "green_claims"), ("d", "green_claims"), ("e", "green_claims")}
+
+
+def test_suggested_labels_pass_the_check_they_are_for(spark):
+    from pyspark.sql import functions as F
+    from shopaudit.functions.text import has_term, match_form
+    from shopaudit.vocab import copy, rules
+    rows = spark.createDataFrame([(k, v[0], v[1]) for k, v in copy.LABELS.items()], "lang string, button string, notice string")
+    found = rows.select("lang", has_term(match_form(F.col("button")), rules.WITHDRAWAL_ACTION).alias("named"))
+    assert {r["lang"]: r["named"] for r in found.collect()} == {k: True for k in copy.LABELS}
+
+
+def test_long_lists_are_whole_in_the_evidence(spark):
+    links = "".join(f'<a href="/withdraw/{i}">Withdraw here {i}</a>' for i in range(25))
+    rows = [(1, "s.example", 0, "https://s.example/", "https://s.example/", 200, f"<html lang=en><body><h1>a</h1>{links}</body></html>")]
+    df = spark.createDataFrame(rows, "page_id long, site string, position long, url string, final_url string, status_code int, html string")
+    audit = findings.audit(stored(extract.documents(df), "test_long"), "2026-12-01")
+    row = audit.findings.filter("code = 'withdrawal_function'").first()
+    assert row["status"] == "pass" and len(row["evidence"]) == 10 and row["evidence_total"] == 25
+    assert audit.evidence.filter("code = 'withdrawal_function'").count() == 25
