@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..session import let
 
-KEY = "storefront pages"
+#: Session setting that names the key; it is kept nowhere else.
+KEY_SETTING = "spark.shopaudit.pseudonymKey"
 ROUNDS = 8
 LOWER, UPPER, DIGITS, HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
 
@@ -235,7 +236,7 @@ def pseudonym(text: Column, key: str) -> Column:
     return out.otherwise(whole["password"])
 
 
-def hidden(text: Column, key: str = KEY) -> Column:
+def hidden(text: Column, key: str) -> Column:
     """struct(text, n_found): a whole text with pseudonyms, and how many values were replaced."""
     def rebuilt(gaps, found):
         def joined(new):
@@ -250,15 +251,17 @@ def hidden(text: Column, key: str = KEY) -> Column:
     return F.when(text.rlike("[0-9@]|password="), with_found).otherwise(untouched)
 
 
-def pseudonymised(documents: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymised(documents: DataFrame, key: str) -> DataFrame:
     """``documents`` with the personal data in ``text`` replaced, and the column n_hidden with the number of values.
 
     Found are e-mail names, payment cards (Luhn), IBANs (remainder 97), phone numbers, IPv4 addresses, US social security
     numbers, dates, passwords, access keys and tokens. Each is permuted by a Feistel network of ROUNDS rounds over
     SHA-256 with ``key``, within the values its format allows: separators, lengths, check digits and valid days hold,
     different values stay different, and equal values get equal pseudonyms in every document. Values that fail their
-    check stay as they are, as does all other text.
+    check stay as they are, as does all other text. Limits: domains of e-mail addresses stay; a phone number without any
+    separator, and a day before 1800-03-01, are not seen as such.
 
+    Whoever knows ``key`` can undo the pseudonyms; it has no default and belongs into a session setting, not into code.
     One narrow projection of built-in functions. All other columns stay, whatever their names; an existing n_hidden is
     replaced. A null text stays null with n_hidden 0; rows that repeat are treated alike; an empty table stays empty.
     """

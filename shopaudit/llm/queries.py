@@ -38,7 +38,8 @@ def op2_packed_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
-    return pseudonyms.pseudonymised(_table(spark, folder, "documents").select("doc_id", "text", "lang", "source"))
+    key = spark.conf.get(pseudonyms.KEY_SETTING, "a key for tests")
+    return pseudonyms.pseudonymised(_table(spark, folder, "documents").select("doc_id", "text", "lang", "source"), key)
 
 
 def op4_page_quality(spark: SparkSession, folder: str) -> DataFrame:

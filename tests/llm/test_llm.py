@@ -81,10 +81,29 @@ def test_packing_holds_every_id_once(spark):
     assert packing.pack_pages(pages(spark, []), path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_feistel_against_a_plain_network(spark):
+    def plain(left, right, a, b, key, tweak):
+        for i in range(1, pseudonyms.ROUNDS + 1):
+            noise = int(hashlib.sha256(f"{key}|{tweak}|{i}|{right if i % 2 else left}".encode()).hexdigest()[:15], 16)
+            left, right = ((left + noise) % a, right) if i % 2 else (left, (right + noise) % b)
+        return left, right
+    pairs = [(x, y) for x in range(9) for y in range(7)]
+    df = spark.createDataFrame(pairs, "l long, r long").select("l", "r", pseudonyms.feistel(F.col("l"), F.col("r"), 9, 7, "k", "t").alias("p"))
+    found = {(r["l"], r["r"]): tuple(r["p"]) for r in df.collect()}
+    assert found == {(x, y): plain(x, y, 9, 7, "k", "t") for x, y in pairs} and set(found.values()) == set(pairs)
+    numbers = ["0", "07", "123", "000000", "4918187128635271"]
+    rows = spark.createDataFrame([(n,) for n in numbers], "n string").select("n", pseudonyms.permuted_digits(F.col("n"), "other", "t").alias("p")).collect()
+    for r in rows:
+        half = (len(r["n"]) + 1) // 2
+        rest = len(r["n"]) - half
+        x, y = plain(int(r["n"][:half]), int(r["n"][half:] or 0), 10 ** half, 10 ** rest, "other", "t")
+        assert r["p"] == str(x).zfill(half) + (str(y).zfill(rest) if rest else "")
+
+
 def test_pseudonyms_keep_form_and_links(spark):
     rows = [(1, "mail ab.71@mail0.example.com, card 4918187128635271 on 1999-12-31"), (2, "31.12.1999 ab.71@mail0.example.com 4918-1871-2863-5271"),
             (3, "4918187128635272 fails, 2023-02-30 too, 999.1.1.1 too"), (4, "ip 10.0.0.1, +1 (578) 555-6437, DE89 3704 0044 0532 0130 00, 078-05-1120"), *ODD]
-    got = [r for r in pseudonyms.pseudonymised(pages(spark, rows)).collect()]
+    got = [r for r in pseudonyms.pseudonymised(pages(spark, rows), "k").collect()]
     assert [r["n_hidden"] for r in got[:4]] == [3, 3, 0, 4] and got[2]["text"] == rows[2][1]
     assert [r["text"] for r in got[4:]] == [t for _, t in ODD] and got[0]["size"] == "mine"
     one, two = got[0]["text"], got[1]["text"]
