@@ -53,10 +53,14 @@ def drop_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def hide_people(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Personal numbers, dates and addresses replaced by pseudonyms of the same form; n_chars follows the text."""
+    """Personal numbers, dates and addresses replaced by pseudonyms of the same form; n_chars follows the text.
+
+    The key comes from the session setting ``pseudonyms.KEY_SETTING``; only where that is unset, as in tests, a fixed one serves.
+    """
     # The other columns travel in one struct, so that none of their names meets one of the operator's.
     packed = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("kept"), "text")
-    rows = pseudonyms.pseudonymised(packed).select("kept.*", "text")
+    key = spark.conf.get(pseudonyms.KEY_SETTING, "a key for tests")
+    rows = pseudonyms.pseudonymised(packed, key).select("kept.*", "text")
     return rows.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast("long"))
                            .otherwise(F.col("n_chars"))).select(docs.columns)
 
