@@ -5,8 +5,9 @@ before they are gathered, so no site, however large, is gathered whole. Full evi
 """
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,13 +27,18 @@ INLINE = scalars.DIRECT_URLS
 EVIDENCE = "array<struct<url:string,quote:string>>"
 
 
-@dataclass
+@dataclass(eq=False)
 class Audit:
     """``findings``: nine rows per site. ``evidence``: every quote behind them, one row each, in order. ``claims``: every
     environmental claim with its source, rule, reason and rewording."""
     findings: DataFrame
-    evidence: DataFrame
     claims: DataFrame
+    build_evidence: Callable[[], DataFrame]
+
+    @cached_property
+    def evidence(self) -> DataFrame:
+        """Put together when it is first asked for, from the findings' own lists and the stored rows."""
+        return self.build_evidence()
 
 
 def guessed_locales(documents: DataFrame) -> DataFrame:
@@ -585,7 +591,12 @@ def audit(documents: DataFrame, now: str, verdicts: DataFrame | None = None, fai
         F.when(long_list, total).otherwise(F.size("evidence")).cast("long").alias("evidence_total"),
         print_.alias("fingerprint"),
         "citation", "fix", "meta", "grp")
-    return Audit(findings.drop("grp", "shown"), full_evidence(findings, rows), claims.filter(F.col("grp") == "claim").drop("grp"))
+
+    def evidence() -> DataFrame:
+        narrow = findings.select("site", "code", "grp", "evidence", "evidence_total", "shown")
+        return full_evidence(stored(narrow, "narrow") if keep else narrow, rows)
+
+    return Audit(findings.drop("grp", "shown"), claims.filter(F.col("grp") == "claim").drop("grp"), evidence)
 
 
 def full_evidence(findings: DataFrame, rows: DataFrame) -> DataFrame:
