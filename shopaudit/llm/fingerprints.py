@@ -1,6 +1,8 @@
 """I-Match fingerprints of page texts, as column expressions only."""
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -8,12 +10,14 @@ from ..session import derive, let
 
 #: The band: a term of the lexicon occurs in at least one of FEWEST and at most one of MOST texts.
 FEWEST, MOST = 100, 20
+#: Levels over the terms of the band, each of so many subsets; one further level of subsets holds all terms.
 SUBSETS, LEVELS, THINNING = 16, 4, 4
 DIGITS = 8
 EMPTY = "-" * DIGITS
 #: A level is compared if so many of its subsets have terms on either side.
 LEAST_USED = 4
-BUCKET_ROWS, BUCKETS = 2000, 1024
+#: Texts are put in order by ranges of about so many bytes, at most so many of them.
+RANGE_BYTES, RANGES = 4 << 20, 20_000
 
 
 def terms(text: Column) -> Column:
@@ -41,53 +45,49 @@ def lexicon(documents: DataFrame) -> list[int]:
     return [r["code"] for r in counts.filter(F.col("n").between(-(-total // FEWEST), most)).select("code").collect()]
 
 
-def _number(code: Column, below: int, width: int) -> Column:
-    return F.pmod(F.shiftright(code, below.bit_length() - 1), F.lit(width))
-
-
-def _inside(below: int, width: int):
-    return lambda x: _number(x["code"], below, width) < SUBSETS
-
+def _level(found: Column, below: int, width: int) -> Column:
+    """The digits of the SUBSETS subsets of one level, side by side.
 
-def _placed(below: int, width: int):
-    return lambda x: F.struct(_number(x["code"], below, width).alias("slot"), x["term"].alias("term"))
+    All terms of the level are sorted once: each behind the letter of its subset, and every subset behind its letter
+    and a mark that no term holds, where the sorted row is cut.
+    """
+    letters = [chr(ord("A") + i) for i in range(SUBSETS)]
 
+    def number(x: Column) -> Column:
+        return F.pmod(F.shiftright(x["code"], below.bit_length() - 1), F.lit(width))
 
-def _part(level: Column):
-    """The digits of one subset of a level, by its number."""
-    def digits(number):
-        joined = F.array_join(F.transform(F.filter(level, lambda x: x["slot"] == number), lambda x: x["term"]), " ")
-        return let(joined, lambda t: F.when(t == "", EMPTY).otherwise(F.left(F.sha2(F.encode(t, "utf-8"), 256), F.lit(DIGITS))))
-    return digits
+    inside = F.filter(found, lambda x: number(x) < SUBSETS)
+    placed = F.transform(inside, lambda x: F.concat(F.char(number(x) + ord("A")), x["term"]))
+    row = F.array_join(F.sort_array(F.concat(F.array(*[F.lit(f"{c}!") for c in letters]), placed)), " ")
+    subsets = F.slice(F.split(row, f"[{letters[0]}-{letters[-1]}]!"), 2, SUBSETS)
+    return F.array_join(F.transform(subsets, lambda t: F.when(F.trim(t) == "", EMPTY).otherwise(
+        F.left(F.sha2(F.encode(F.trim(t), "utf-8"), 256), F.lit(DIGITS)))), "")
 
 
-def fingerprint(in_band: Column) -> Column:
+def fingerprint(in_band: Column, every: Column) -> Column:
     """DIGITS hexadecimal digits for every subset: of the SHA-256 of the text's terms in it, sorted and joined, or EMPTY.
 
-    ``in_band``: the sorted terms with their hashes. There are LEVELS levels of SUBSETS disjoint randomised subsets of the
-    lexicon; the first level deals out all terms, each further one a THINNING-th of the one before, by other bits of
-    the term's hash.
+    ``in_band``: the text's terms in the band with their hashes; ``every``: all its terms. There are LEVELS levels of SUBSETS
+    disjoint randomised subsets of the band: the first deals out all terms, each further one a THINNING-th of the one
+    before, by other bits of the term's hash. The last level deals out all terms of the text, in the band or not.
     """
     parts, below, width = [], 1, SUBSETS
-    numbers = F.sequence(F.lit(0).cast("long"), F.lit(SUBSETS - 1).cast("long"))
     for _ in range(LEVELS):
-        level = F.transform(F.filter(in_band, _inside(below, width)), _placed(below, width))
-        parts.append(let(level, lambda x: F.array_join(F.transform(numbers, _part(x)), "")))
+        parts.append(_level(in_band, below, width))
         below, width = below * width, width * THINNING
-    return F.concat(*parts)
+    return F.concat(*parts, _level(every, 1, SUBSETS))
 
 
 def fingerprinted(texts: DataFrame, words: list[int], **names: str) -> DataFrame:
-    """``texts`` with a fingerprint by the lexicon ``words`` for each named text column. Equal texts get equal ones.
+    """``texts`` with a fingerprint by the lexicon ``words`` for each named text column, by one rule for every text.
 
-    A text without terms of the lexicon is fingerprinted by all its own terms.
+    Equal texts get equal ones.
     """
     found = derive(texts, **{f"_{name}": hashed(F.col(column)) for name, column in names.items()})
     listed = ", ".join(f"{w}L" for w in sorted(words)).replace("-9223372036854775808L", "NULL") or "NULL"
-    kept = derive(found, **{f"_in_{name}": F.expr(f"sort_array(filter(_{name}, x -> x.code IN ({listed})))") for name in names})
-    kept = derive(kept, **{f"_own_{name}": F.expr(f"if(size(_in_{name}) > 0, _in_{name}, sort_array(_{name}))") for name in names})
-    kept = derive(kept, **{name: fingerprint(F.col(f"_own_{name}")) for name in names})
-    return kept.drop(*[f"{x}{name}" for name in names for x in ("_", "_in_", "_own_")])
+    kept = derive(found, **{f"_in_{name}": F.expr(f"filter(_{name}, x -> x.code IN ({listed}))") for name in names})
+    kept = derive(kept, **{name: fingerprint(F.col(f"_in_{name}"), F.col(f"_{name}")) for name in names})
+    return kept.drop(*[f"{x}{name}" for name in names for x in ("_", "_in_")])
 
 
 def _slot(fingerprint: Column):
@@ -98,38 +98,54 @@ def likeness(a: Column, b: Column) -> Column:
     """0 to 1: the best level's share of equal subsets among those with terms on either side; 1 for equal fingerprints
     with terms, 0 for two without: whether such texts are equal, they cannot say.
 
-    Levels with fewer than LEAST_USED such subsets do not count, but for the first.
+    Levels with fewer than LEAST_USED such subsets do not count, but for the first of the band and the last, which hold all terms.
     """
     levels = []
-    for level in range(LEVELS):
+    for level in range(LEVELS + 1):
         places = F.sequence(F.lit(level * SUBSETS), F.lit((level + 1) * SUBSETS - 1))
         part = [F.transform(places, _slot(x)) for x in (a, b)]
         state = F.zip_with(*part, lambda x, y: F.when((x == EMPTY) & (y == EMPTY), 0).when(x == y, 2).otherwise(1))
         used = F.size(F.filter(state, lambda s: s > 0))
         same = F.size(F.filter(state, lambda s: s == 2))
-        least = 1 if level == 0 else LEAST_USED
+        least = 1 if level in (0, LEVELS) else LEAST_USED
         levels.append(F.when(used >= least, same / F.greatest(used, F.lit(1))).otherwise(0.0))
-    return F.when((a == b) & (a != EMPTY * (SUBSETS * LEVELS)), 1.0).otherwise(F.greatest(*levels))
+    return F.when((a == b) & (a != EMPTY * (SUBSETS * (LEVELS + 1))), 1.0).otherwise(F.greatest(*levels))
+
+
+def _range_of(key: Column, cuts: list[int]) -> Column:
+    """How many of the sorted ``cuts`` are at most ``key``, looked up in two steps, so that long lists stay cheap."""
+    step = max(1, math.isqrt(len(cuts)))
+    groups = [cuts[i:i + step] for i in range(0, len(cuts), step)]
+    if not groups:
+        return F.lit(0)
+    heads = F.array(*[F.lit(g[0]) for g in groups])
+    tails = F.expr("array(" + ", ".join("array(" + ", ".join(f"{c}L" for c in g) + ")" for g in groups) + ")")
+    return let(F.size(F.filter(heads, lambda c: c <= key)), lambda n: F.when(n == 0, 0).otherwise(
+        (n - 1) * step + F.size(F.filter(F.element_at(tails, F.greatest(n, F.lit(1))), lambda c: c <= key))))
 
 
 def in_order(documents: DataFrame) -> DataFrame:
-    """(bucket, place, guest, page_id, text): the rows by page_id in ranges of about BUCKET_ROWS, each range followed by
+    """(bucket, place, guest, page_id, text): the rows by page_id in ranges of about RANGE_BYTES, each range followed by
     its successor's first row as a guest, and the last one by the very first row.
 
-    So a row's successor is in its own range; a range is bounded, whatever the number of rows, up to BUCKETS ranges.
+    So a row's successor is in its own range. Ranges are quantiles of page_id by bytes of text; beyond RANGES of them they
+    grow instead, and a task sorts its range on disk. Rows of one page_id are in one range.
     """
     rows = documents.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("text", F.lit("")).alias("text")).filter(
         "page_id is not null")
-    low, count = rows.agg(F.min("page_id"), F.count("*")).first()
-    ranges = min(BUCKETS, max(1, -(-count // BUCKET_ROWS)))
+    size = F.octet_length("text").cast("long")
+    low, count, total = rows.agg(F.min("page_id"), F.count("*"), F.sum(size)).first()
+    ranges = min(RANGES, max(1, -(-(total or 0) // RANGE_BYTES)))
     shares = [i / ranges for i in range(1, ranges)]
-    cuts = rows.agg(F.percentile_approx("page_id", shares or [0.5], 100_000)).first()[0] if count and shares else []
+    # A row counts once and again for every mean length of a text that it has: at most twice the rows in all.
+    mean = max(1, -(-(total or 0) // max(1, count)))
+    weighed = rows.select("page_id", F.explode(F.array_repeat(F.lit(0), (1 + F.floor(size / mean)).cast("int"))))
+    cuts = weighed.agg(F.percentile_approx("page_id", shares, 100_000)).first()[0] if count and shares else []
     cuts = sorted({c for c in cuts or [] if c > low})
-    bounds = F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>") if cuts else F.array().cast("array<bigint>")
-    bucket = F.size(F.filter(bounds, lambda c: c <= F.col("page_id")))
+    bucket = _range_of(F.col("page_id"), cuts)
     placed = rows.withColumn("bucket", bucket).withColumn("guest", F.lit(False))
     firsts = [*cuts, low] if count else []
-    guests = placed.filter(F.col("page_id").isin(*firsts) if firsts else F.lit(False)).withColumns({
+    guests = placed.filter(F.expr(f"page_id in ({', '.join(f'{c}L' for c in firsts)})") if firsts else F.lit(False)).withColumns({
         "bucket": F.pmod(F.col("bucket") - 1, F.lit(len(cuts) + 1)), "guest": F.lit(True)})
     inside = Window.partitionBy("bucket").orderBy("guest", "page_id", "text")
     return placed.union(guests).withColumn("place", F.row_number().over(inside))
