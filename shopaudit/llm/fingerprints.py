@@ -56,11 +56,11 @@ def _level(found: Column, below: int, width: int) -> Column:
     def number(x: Column) -> Column:
         return F.pmod(F.shiftright(x["code"], below.bit_length() - 1), F.lit(width))
 
-    inside = F.filter(found, lambda x: number(x) < SUBSETS)
+    inside = found if width == SUBSETS else F.filter(found, lambda x: number(x) < SUBSETS)
     placed = F.transform(inside, lambda x: F.concat(F.char(number(x) + ord("A")), x["term"]))
     row = F.array_join(F.sort_array(F.concat(F.array(*[F.lit(f"{c}!") for c in letters]), placed)), " ")
     subsets = F.slice(F.split(row, f"[{letters[0]}-{letters[-1]}]!"), 2, SUBSETS)
-    return F.array_join(F.transform(subsets, lambda t: F.when(F.trim(t) == "", EMPTY).otherwise(
+    return F.array_join(F.transform(subsets, lambda t: F.when(F.length(t) < 2, EMPTY).otherwise(
         F.left(F.sha2(F.encode(F.trim(t), "utf-8"), 256), F.lit(DIGITS)))), "")
 
 
@@ -90,26 +90,31 @@ def fingerprinted(texts: DataFrame, words: list[int], **names: str) -> DataFrame
     return kept.drop(*[f"{x}{name}" for name in names for x in ("_", "_in_")])
 
 
-def _slot(fingerprint: Column):
-    return lambda i: F.substring(fingerprint, i * DIGITS + 1, F.lit(DIGITS))
-
-
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1: the best level's share of equal subsets among those with terms on either side; 1 for equal fingerprints
     with terms, 0 for two without: whether such texts are equal, they cannot say.
 
     Levels with fewer than LEAST_USED such subsets do not count, but for the first of the band and the last, which hold all terms.
     """
-    levels = []
-    for level in range(LEVELS + 1):
+    empty = F.encode(F.lit(EMPTY), "utf-8")
+
+    def at(side: Column, i: Column) -> Column:
+        return F.substring(side, i * DIGITS + 1, F.lit(DIGITS))
+
+    def state(i: Column, x: Column, y: Column) -> Column:
+        return F.when(at(x, i) != at(y, i), 1).when(at(x, i) == empty, 0).otherwise(2)
+
+    def share(level: int, x: Column, y: Column) -> Column:
         places = F.sequence(F.lit(level * SUBSETS), F.lit((level + 1) * SUBSETS - 1))
-        part = [F.transform(places, _slot(x)) for x in (a, b)]
-        state = F.zip_with(*part, lambda x, y: F.when((x == EMPTY) & (y == EMPTY), 0).when(x == y, 2).otherwise(1))
-        used = F.size(F.filter(state, lambda s: s > 0))
-        same = F.size(F.filter(state, lambda s: s == 2))
         least = 1 if level in (0, LEVELS) else LEAST_USED
-        levels.append(F.when(used >= least, same / F.greatest(used, F.lit(1))).otherwise(0.0))
-    return F.when((a == b) & (a != EMPTY * (SUBSETS * (LEVELS + 1))), 1.0).otherwise(F.greatest(*levels))
+        counted = let(F.transform(places, lambda i: state(i, x, y)), lambda found: F.struct(
+            F.size(F.filter(found, lambda v: v > 0)).alias("used"), F.size(F.filter(found, lambda v: v == 2)).alias("same")))
+        return let(counted, lambda c: F.when(c["used"] >= least, c["same"] / F.greatest(c["used"], F.lit(1))).otherwise(0.0))
+
+    # As bytes, whose parts are found without counting characters.
+    sides = F.struct(F.encode(a, "utf-8").alias("x"), F.encode(b, "utf-8").alias("y"))
+    best = let(sides, lambda p: F.greatest(*[share(level, p["x"], p["y"]) for level in range(LEVELS + 1)]))
+    return F.when((a == b) & (a != EMPTY * (SUBSETS * (LEVELS + 1))), 1.0).otherwise(best)
 
 
 def _range_of(key: Column, cuts: list[int]) -> Column:
