@@ -29,7 +29,6 @@ class Vocabulary:
     prefix_space: bool = True
     extra_spaces: bool = False
     escape_spaces: bool = True
-    identity: bool = True
     bytes_of: dict[int, int] = field(default_factory=dict)
 
 
@@ -60,7 +59,10 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
 
 
 def read_vocabulary(path: str) -> Vocabulary:
-    """Pieces, scores, kinds and the normaliser's switches of a SentencePiece model file."""
+    """Pieces, scores, kinds and the normaliser's switches of a SentencePiece model file.
+
+    A model that normalises by a table is refused: its texts would get other pieces than its own coder gives them.
+    """
     out = Vocabulary([], [], [])
     for number, value in _fields(open(path, "rb").read()):
         if number == 1:
@@ -71,7 +73,8 @@ def read_vocabulary(path: str) -> Vocabulary:
         elif number == 3:
             spec = dict(_fields(value))
             out.prefix_space, out.extra_spaces, out.escape_spaces = bool(spec.get(3, 1)), bool(spec.get(4, 1)), bool(spec.get(5, 1))
-            out.identity = not spec.get(2)
+            if spec.get(2):
+                raise ValueError(f"{path} has a table of normalisations, which this coder does not apply")
     out.bytes_of = {i: int(p[3:5], 16) for i, (p, k) in enumerate(zip(out.pieces, out.kinds)) if k == BYTE}
     return out
 
